@@ -8,12 +8,13 @@ block is equal, and a set skips its blocks of few members where they are at most
 list is made of sets that share little. Sets are blocked once for each class of sizes that a partner
 may have, so lists also never mix sizes that cannot meet.
 
-Within a list only the least set (the leader) is compared with the others. Its answers come with the
-differences both ways, and the answers of the others are derived from them: sets linked to the leader
-are connected, and for two sets x, y that are not yet connected, ``|x & y| = |L| - |L\\x | L\\y| +
-|x\\L & y\\L|``, after skipping pairs whose distances to the leader already differ too much. So a
-list of ``g`` similar sets costs ``g`` comparisons and no pairs. Links that are implied by others are
-not listed, but connectivity is exact: every linked pair is connected.
+Within a list only one set (the leader, which meets most others over all lists) is compared with the
+others. Its answers come with the differences both ways, and the answers of the others are derived
+from them: sets linked to the leader are connected, and for two sets x, y that are not yet connected,
+``|x & y| = |L| - |(L-x) | (L-y)| + |(x-L) & (y-L)|``, after skipping pairs whose distances to the
+leader, or whose bit sketches, already differ too much. So a list of ``g`` similar sets costs ``g``
+comparisons and no pairs. Links that are implied by others are not listed, but connectivity is exact:
+every linked pair is connected.
 
 Equal sets are merged before anything else (a set's id is a 64-bit print of all of it), within a task
 before any row leaves it.
@@ -39,6 +40,8 @@ from .common import mix64, settle, texts_of, word_prints
 Maker = Callable[[list[bytes]], list[np.ndarray]]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Texts that a task hashes at once.
+CHUNK = 200
 #: Ids that are shipped to the tasks as a filter; beyond that they are joined.
 SHIPPED = 4_000_000
 
@@ -48,8 +51,8 @@ def shingles(k: int) -> Maker:
 
     def make(texts: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        for i in range(0, len(texts), 500):
-            part = texts[i : i + 500]
+        for i in range(0, len(texts), CHUNK):
+            part = texts[i : i + CHUNK]
             flat = _LOWER[np.frombuffer(b"\n".join(part) + b"\n", np.uint8)]
             starts, prints = word_prints(flat)
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
@@ -119,6 +122,12 @@ def set_id(members: np.ndarray) -> int:
     return int(mix64(value).view(np.int64)[0])
 
 
+def sketch(members: np.ndarray) -> np.ndarray:
+    """Parities of the members in 512 hash classes: two sets differ in at least as many as their sketches."""
+    odd = np.bincount((mix64(members) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _lists(offsets: list[int], parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)))
 
@@ -130,8 +139,8 @@ def indexed(docs: DataFrame, make: Maker, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(i, CHUNK)
                 sets = make(texts_of(part.column("text")))
                 sids, offsets, keys = [], [0], []
                 for members in sets:
@@ -147,7 +156,7 @@ def indexed(docs: DataFrame, make: Maker, percent: int) -> DataFrame:
 
 
 def members_of(docs: DataFrame, make: Maker, wanted: DataFrame) -> DataFrame:
-    """(sid, members) of the sets in ``wanted`` (sid), once each."""
+    """(sid, members, sketch) of the sets in ``wanted`` (sid), once each."""
     few = wanted.count() <= SHIPPED
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["sid"].to_numpy())) if few else None
 
@@ -155,9 +164,9 @@ def members_of(docs: DataFrame, make: Maker, wanted: DataFrame) -> DataFrame:
         seen: set[int] = set()
         ids = shared.value if shared is not None else None
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                sids, offsets, parts = [], [0], []
-                for members in make(texts_of(batch.slice(i, 500).column("text"))):
+            for i in range(0, batch.num_rows, CHUNK):
+                sids, offsets, parts, sketches = [], [0], [], []
+                for members in make(texts_of(batch.slice(i, CHUNK).column("text"))):
                     sid = set_id(members)
                     if sid in seen or not len(members):
                         continue
@@ -166,10 +175,12 @@ def members_of(docs: DataFrame, make: Maker, wanted: DataFrame) -> DataFrame:
                         continue
                     sids.append(sid)
                     parts.append(members)
+                    sketches.append(sketch(members))
                     offsets.append(offsets[-1] + len(members))
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), _lists(offsets, parts)], names=["sid", "members"])
+                widths = list(range(0, 8 * len(sids) + 1, 8))
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), _lists(offsets, parts), _lists(widths, sketches)], names=["sid", "members", "sketch"])
 
-    found = docs.select("text").mapInArrow(run, "sid long, members array<long>")
+    found = docs.select("text").mapInArrow(run, "sid long, members array<long>, sketch array<long>")
     return (found if few else found.join(wanted, "sid", "left_semi")).dropDuplicates(["sid"])
 
 
@@ -197,17 +208,22 @@ def components(docs: DataFrame, make: Maker, percent: int, doc_id: str = "doc_id
     """
     source = docs.select(docs[doc_id].alias("id"), docs[text].cast("string").alias("text"))
     rows = settle(indexed(source, make, percent))
-    entries = rows.select(F.explode("keys").alias("key"), "sid")
-    leaders = entries.groupBy("key").agg(F.min("sid").alias("leader"), F.max("sid").alias("other")).filter("leader <> other").drop("other")
-    lists = settle(entries.join(leaders, "key").distinct())
+    # Dealt once by list: counting and picking the lists of several sets read the same exchange.
+    entries = rows.select(F.explode("keys").alias("key"), "sid").repartition("key")
+    several = entries.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high").select("key")
+    lists = settle(entries.join(several, "key").distinct())
+    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    central = lists.join(sizes, "key").groupBy("sid").agg(F.sum("size").alias("met"))
+    leaders = lists.join(central, "sid").groupBy("key").agg(F.max_by("sid", "met").alias("leader"))
+    lists = settle(lists.join(leaders, "key"))
 
     pairs = settle(lists.filter("sid <> leader").select("leader", "sid").distinct())
     wanted = pairs.select("sid").union(pairs.select(F.col("leader").alias("sid"))).distinct()
     sets = settle(members_of(source, make, wanted))
     led = sets.select(F.col("sid").alias("leader"), F.col("members").alias("l"))
-    met = pairs.join(sets.select("sid", F.col("members").alias("x")), "sid").join(led, "leader")
+    met = pairs.join(sets.select("sid", F.col("members").alias("x"), "sketch"), "sid").join(led, "leader")
     # Sets that are not linked to the leader may be linked with each other, so all keep their differences.
-    answers = met.select("leader", "sid", F.size("l").alias("n_l"), F.size("x").alias("n"), F.array_except("l", "x").alias("gone"), F.array_except("x", "l").alias("extra"))
+    answers = met.select("leader", "sid", "sketch", F.size("l").alias("n_l"), F.size("x").alias("n"), F.array_except("l", "x").alias("gone"), F.array_except("x", "l").alias("extra"))
     answers = settle(answers.withColumn("apart", F.size("gone") + F.size("extra")))
     inter = F.col("n_l") - F.size("gone")
     links = answers.filter(100 * inter >= percent * (F.col("n_l") + F.size("extra"))).select(F.col("leader").alias("a"), F.col("sid").alias("b"))
@@ -216,9 +232,11 @@ def components(docs: DataFrame, make: Maker, percent: int, doc_id: str = "doc_id
     # Lists whose sets are not all connected yet: derive the missing answers from the leader's.
     named = lists.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component")
     split = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    known = named.join(split, "key").filter("sid <> leader").join(answers.select("leader", "sid", "apart", F.col("n").alias("size")), ["leader", "sid"])
+    known = named.join(split, "key").filter("sid <> leader").join(answers.select("leader", "sid", "apart", "sketch", F.col("n").alias("size")), ["leader", "sid"])
     x, y = known.alias("x"), known.alias("y")
-    near = (F.abs(F.col("x.apart") - F.col("y.apart")) * (100 + percent) <= (100 - percent) * (F.col("x.size") + F.col("y.size"))) & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
+    most = (100 - percent) * (F.col("x.size") + F.col("y.size"))  # of differing members, times 100 + percent
+    differ = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
+    near = (F.abs(F.col("x.apart") - F.col("y.apart")) * (100 + percent) <= most) & (differ * (100 + percent) <= most)
     open_pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.part") != F.col("y.part")) & near)
     open_pairs = open_pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.leader").alias("leader")).groupBy("a", "b").agg(F.min("leader").alias("leader"))
     side = lambda s: answers.select("leader", F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), "n_l", F.col("gone").alias(f"gone_{s}"), F.col("extra").alias(f"extra_{s}"))
