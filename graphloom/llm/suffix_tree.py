@@ -9,9 +9,9 @@ suffix (Witten and Bell), the empty context with one count for each byte. A symb
 state of the longest retained suffix of what precedes it.
 
 Every window of ``depth`` + 1 bytes that occurs in any text gets one row with its training count.
-The tree is grown over that table level by level with joins and windows of at most 256 rows, so it
-has no size limit. Scoring broadcasts the finished table (window, log probability) only where its
-counted rows stay under ``broadcast_rows``; otherwise each document's windows are joined with it.
+The tree is grown over that table, dealt by the two newest bytes of context, level by level. Scoring
+broadcasts the tree's states and the words' prints only where the windows and the words counted stay
+under ``broadcast_rows``; otherwise each document's words and windows are joined with their tables.
 
 Defined results: null and empty texts hold only the end symbol; a null id belongs to the training
 part (its checksum text is empty); repeated rows are scored alike and each counts in training; an
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, texts_of, word_prints
@@ -33,6 +33,8 @@ from .common import settle, texts_of, word_prints
 END = 10
 #: Standard normal quantile of the likelihood-ratio test (one in a thousand).
 LEVEL = 3.09
+#: Texts that a task spells at once.
+CHUNK = 500
 #: Windows a task gathers before it sums them up.
 GATHER = 4_000_000
 
@@ -92,10 +94,10 @@ def count(docs: DataFrame, depth: int) -> DataFrame:
                     trained.update(w)
                 else:
                     others.update(w)
-            for i in range(0, len(words), 1000):
-                flat, sizes = spelled(words[i : i + 1000], depth)
+            for i in range(0, len(words), CHUNK):
+                flat, sizes = spelled(words[i : i + CHUNK], depth)
                 keys = windows_of(flat, sizes, depth)
-                use = np.repeat(train[i : i + 1000], sizes)
+                use = np.repeat(train[i : i + CHUNK], sizes)
                 keys = np.sort((keys << np.uint64(1)) | use.astype(np.uint64))
                 first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                 n = np.diff(np.append(first, len(keys)))
@@ -128,28 +130,82 @@ def count(docs: DataFrame, depth: int) -> DataFrame:
     return docs.mapInArrow(run, "word string, gram long, trained long").groupBy("word", "gram").agg(F.sum("trained").alias("trained"))
 
 
-def grow(grams: DataFrame, depth: int) -> DataFrame:
-    """(gram, logp): the tree's log10 probability of each window's newest byte."""
-    mask = [(1 << 8 * (d + 1)) - 1 for d in range(depth + 1)]
-    levels = [grams.select("gram", F.col("trained").alias("c"))]
-    for d in range(depth - 1, -1, -1):
-        levels.insert(0, levels[0].groupBy(F.col("gram").bitwiseAND(F.lit(mask[d])).alias("gram")).agg(F.sum("c").alias("c")))
-    everywhere = Window.partitionBy(F.lit(0))  # the level of single bytes: 256 rows at most
-    total = F.coalesce(F.sum("c").over(everywhere), F.lit(0))
-    tree = levels[0].select("gram", "c", total.alias("n"), ((F.col("c") + 1) / (total + 256)).alias("p"))
-    for d in range(1, depth + 1):
-        state = Window.partitionBy("context")  # 256 rows at most
-        above = tree.select(F.col("gram").alias("suffix"), F.col("c").alias("c_above"), F.col("n").alias("n_above"), F.col("p").alias("p_above"))
-        joined = levels[d].withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask[d - 1]))).withColumn("context", F.shiftright("gram", 8)).join(above, "suffix")
-        met = joined.withColumn("n", F.sum("c").over(state)).withColumn("kinds", F.sum((F.col("c") > 0).cast("long")).over(state))
-        gain = F.when(F.col("c") > 0, 2 * F.col("c") * F.log((F.col("c") / F.col("n")) / (F.col("c_above") / F.col("n_above")))).otherwise(0.0)
-        met = met.withColumn("ratio", F.sum(gain).over(state))
-        free = F.greatest(F.col("kinds") - 1, F.lit(1)).cast("double")
-        bound = free * F.pow(1 - 2 / (9 * free) + LEVEL * F.sqrt(2 / (9 * free)), F.lit(3))
-        retained = (F.col("n") > 0) & (F.col("ratio") > bound)
-        smoothed = (F.col("c") + F.col("kinds") * F.col("p_above")) / (F.col("n") + F.col("kinds"))
-        tree = met.select("gram", "c", "n", F.when(retained, smoothed).otherwise(F.col("p_above")).alias("p"))
-    return tree.select("gram", F.log10("p").alias("logp"))
+def _smoothed(grams: np.ndarray, c: np.ndarray, above: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(p, n, retained) of one level's sorted grams. ``above``: the level above's (p, c, n) for each."""
+    p_above, c_above, n_above = above
+    state = grams >> np.uint64(8)
+    first = np.flatnonzero(np.concatenate([[True], state[1:] != state[:-1]]))
+    spread = np.diff(np.append(first, len(grams)))
+    n = np.repeat(np.add.reduceat(c, first), spread)
+    kinds = np.repeat(np.add.reduceat((c > 0).astype(np.int64), first), spread)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(c > 0, 2 * c * np.log((c / n) / (c_above / n_above)), 0.0)
+        ratio = np.repeat(np.add.reduceat(gain, first), spread)
+        free = np.maximum(kinds - 1, 1).astype(float)
+        retained = (n > 0) & (ratio > free * (1 - 2 / (9 * free) + LEVEL * np.sqrt(2 / (9 * free))) ** 3)
+        p = np.where(retained, (c + kinds * p_above) / (n + kinds), p_above)
+    return p, n, retained
+
+
+def _roots(pairs: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(grams, p, c, n) of the level with one byte of context, from all of its at most 65,536 grams."""
+    symbols = (pairs & np.uint64(255)).astype(np.int64)
+    single = np.bincount(symbols, c, 256)
+    p0 = (single + 1) / (single.sum() + 256)
+    p, n, retained = _smoothed(pairs, c, (p0[symbols], single[symbols], np.full(len(pairs), single.sum())))
+    return pairs, p, c, n
+
+
+def grow(grams: DataFrame, depth: int, whole: bool = False) -> DataFrame:
+    """(gram, logp) of the tree's states; with ``whole``, of each window itself.
+
+    A state's row has the gram of its context and next byte, with the context's length in the top
+    byte; states that are not retained have none. All windows that share their last two context bytes
+    are in one task, where the deeper levels are built: a state's grams and their suffixes' are there.
+    """
+    spark = grams.sparkSession
+    top = grams.groupBy(F.col("gram").bitwiseAND(F.lit(65535)).alias("gram")).agg(F.sum("trained").alias("c")).orderBy("gram").toArrow()
+    roots = _roots(top["gram"].to_numpy().astype(np.uint64), top["c"].to_numpy()) if top.num_rows else None
+    dealt = grams.repartition(F.shiftright("gram", 8).bitwiseAND(F.lit(65535)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("gram").to_numpy().astype(np.uint64), b.column("trained").to_numpy()) for b in batches if b.num_rows]
+        if not parts:
+            return
+        flat, c = np.concatenate([g for g, _ in parts]), np.concatenate([n for _, n in parts])
+        above, p, c_above, n_above = roots
+        for d in range(2, depth + 1):
+            grams, at = np.unique(flat & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+            counts = np.bincount(at, c, len(grams))
+            suffix = np.searchsorted(above, grams & np.uint64((1 << 8 * d) - 1))
+            p, n, retained = _smoothed(grams, counts, (p[suffix], c_above[suffix], n_above[suffix]))
+            above, c_above, n_above = grams, counts, n
+            if not whole:
+                yield from emit(grams[retained] | np.uint64(d << 56), p[retained])
+        if whole:
+            yield from emit(above, p)
+
+    def emit(keys: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(np.log10(p[i : i + 100_000]))], names=["gram", "logp"])
+
+    deep = dealt.select("gram", "trained").mapInArrow(run, "gram long, logp double")
+    if whole or roots is None:
+        return deep
+    pairs, p, _, _ = roots
+    return deep.union(spark.createDataFrame(list(zip((pairs | np.uint64(1 << 56)).view(np.int64).tolist(), np.log10(p).tolist(), strict=True)), "gram long, logp double"))
+
+
+def looked_up(keys: np.ndarray, logp: np.ndarray, grams: np.ndarray, depth: int) -> np.ndarray:
+    """Log probability of each window: that of its longest state in the sorted table."""
+    out, left = np.empty(len(grams)), np.arange(len(grams))
+    for d in range(depth, 0, -1):
+        wanted = (grams[left] & np.uint64((1 << 8 * (d + 1)) - 1)) | np.uint64(d << 56)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[at] == wanted
+        out[left[hit]] = logp[at[hit]]
+        left = left[~hit]
+    return out
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 6, folds: int = 7, fold: int = 2, broadcast_rows: int = 16_000_000) -> DataFrame:
@@ -163,18 +219,18 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
     ).first()
     n, v = (facts["n"] or 0) + seen, facts["v"] + (seen > 0)
     words = counted.filter(F.col("word").isNotNull()).select("word", "trained")
-    tree = grow(counted.filter(F.col("gram").isNotNull()).select("gram", "trained"), depth)
+    grams = counted.filter(F.col("gram").isNotNull()).select("gram", "trained")
     if max(facts["grams"], facts["words"]) <= broadcast_rows:
-        scored = _broadcast_scores(source, words, tree, depth, seen)
+        scored = _broadcast_scores(source, words, grow(grams, depth), depth, seen)
     else:
-        scored = _joined_scores(source, words, tree, depth, seen)
+        scored = _joined_scores(source, words, grow(grams, depth, whole=True), depth, seen)
     base = F.col("gains") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
     return scored.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def _broadcast_scores(source: DataFrame, words: DataFrame, tree: DataFrame, depth: int, ends: int) -> DataFrame:
     rows = tree.toArrow()
-    order = np.argsort(keys := rows["gram"].to_numpy())
+    order = np.argsort(keys := rows["gram"].to_numpy().view(np.uint64))
     keys, logp = keys[order], rows["logp"].to_numpy()[order]
     del rows, order
     names, counts = _printed(words.filter("trained > 0"))
@@ -187,8 +243,8 @@ def _broadcast_scores(source: DataFrame, words: DataFrame, tree: DataFrame, dept
         for batch in batches:
             texts = texts_of(batch.column("text"))
             columns: list[list[np.ndarray]] = [[], [], [], []]
-            for i in range(0, len(texts), 1000):
-                words = [words_of(t) for t in texts[i : i + 1000]]
+            for i in range(0, len(texts), CHUNK):
+                words = [words_of(t) for t in texts[i : i + CHUNK]]
                 flat, sizes = spelled(words, depth)
                 n = np.fromiter(map(len, words), np.int64, len(words))
                 which = np.repeat(np.arange(len(words)), n)
@@ -198,10 +254,10 @@ def _broadcast_scores(source: DataFrame, words: DataFrame, tree: DataFrame, dept
                 gain = np.where(hit, np.log10(counts[slot] + 1.0), 0.0) if len(names) else np.zeros(len(prints))
                 grams = windows_of(flat, sizes, depth)
                 order = np.argsort(grams)
-                ordered = grams[order].astype(np.int64)
+                ordered = grams[order]
                 new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
                 each = np.empty(len(grams))
-                each[order] = np.repeat(logp[np.searchsorted(keys, ordered[new])], np.diff(np.append(np.flatnonzero(new), len(ordered))))
+                each[order] = np.repeat(looked_up(keys, logp, ordered[new], depth), np.diff(np.append(np.flatnonzero(new), len(ordered))))
                 columns[0].append(n + 1)
                 columns[1].append(np.bincount(which, hit, len(words)).astype(np.int64) + (ends > 0))
                 columns[2].append(np.bincount(which, gain, len(words)) + end_gain)
