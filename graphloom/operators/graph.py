@@ -30,6 +30,8 @@ def fold_links(edges: DataFrame, group: DataFrame) -> DataFrame:
 def reach(links: DataFrame, roots: DataFrame, depth: int | None = None, with_roots: bool = False) -> DataFrame:
     """(id, depth) of what the roots (id) reach, at the least depth; roots themselves only on request."""
     pairs = links.select("source", "target").distinct()
+    if depth is None or depth > 2:  # read by every round
+        pairs = settle(pairs)
     frontier = settle(roots.select("id").distinct().withColumn("depth", F.lit(0)))
     seen, level = frontier, 0
     while depth is None or level < depth:
