@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, settle, texts_of, word_prints
@@ -42,6 +42,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Texts that a task hashes at once.
 CHUNK = 200
+#: Bits of a sketch.
+BITS = 1024
 #: Ids that are shipped to the tasks as a filter; beyond that they are joined.
 SHIPPED = 4_000_000
 
@@ -123,8 +125,8 @@ def set_id(members: np.ndarray) -> int:
 
 
 def sketch(members: np.ndarray) -> np.ndarray:
-    """Parities of the members in 512 hash classes: two sets differ in at least as many as their sketches."""
-    odd = np.bincount((mix64(members) & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    """Parities of the members in ``BITS`` hash classes: two sets differ in at least as many as their sketches."""
+    odd = np.bincount((mix64(members) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -133,7 +135,7 @@ def _lists(offsets: list[int], parts: list[np.ndarray]) -> pa.Array:
 
 
 def indexed(docs: DataFrame, make: Maker, percent: int) -> DataFrame:
-    """(id, n, sid, keys): each row's set size and id; the keys once for each set and task."""
+    """(id, n, sid, sketch, keys): each row's set; the sketch and the keys once for each set and task."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,21 +144,25 @@ def indexed(docs: DataFrame, make: Maker, percent: int) -> DataFrame:
             for i in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(i, CHUNK)
                 sets = make(texts_of(part.column("text")))
-                sids, offsets, keys = [], [0], []
+                sids, offsets, keys, widths, sketches = [], [0], [], [0], []
                 for members in sets:
                     sid = set_id(members)
-                    own = np.zeros(0, np.uint64) if sid in seen or not len(members) else block_keys(members, percent)
+                    fresh = sid not in seen and len(members) > 0
+                    own = block_keys(members, percent) if fresh else np.zeros(0, np.uint64)
+                    if fresh:
+                        sketches.append(sketch(members))
+                    widths.append(widths[-1] + (BITS // 64 if fresh else 0))
                     seen.add(sid)
                     sids.append(sid)
                     keys.append(own)
                     offsets.append(offsets[-1] + len(own))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), _lists(offsets, keys)], names=["id", "n", "sid", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), _lists(widths, sketches), _lists(offsets, keys)], names=["id", "n", "sid", "sketch", "keys"])
 
-    return docs.mapInArrow(run, f"id {kind}, n long, sid long, keys array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n long, sid long, sketch array<long>, keys array<long>")
 
 
 def members_of(docs: DataFrame, make: Maker, wanted: DataFrame) -> DataFrame:
-    """(sid, members, sketch) of the sets in ``wanted`` (sid), once each."""
+    """(sid, members) of the sets in ``wanted`` (sid), once each."""
     few = wanted.count() <= SHIPPED
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["sid"].to_numpy())) if few else None
 
@@ -165,7 +171,7 @@ def members_of(docs: DataFrame, make: Maker, wanted: DataFrame) -> DataFrame:
         ids = shared.value if shared is not None else None
         for batch in batches:
             for i in range(0, batch.num_rows, CHUNK):
-                sids, offsets, parts, sketches = [], [0], [], []
+                sids, offsets, parts = [], [0], []
                 for members in make(texts_of(batch.slice(i, CHUNK).column("text"))):
                     sid = set_id(members)
                     if sid in seen or not len(members):
@@ -175,12 +181,10 @@ def members_of(docs: DataFrame, make: Maker, wanted: DataFrame) -> DataFrame:
                         continue
                     sids.append(sid)
                     parts.append(members)
-                    sketches.append(sketch(members))
                     offsets.append(offsets[-1] + len(members))
-                widths = list(range(0, 8 * len(sids) + 1, 8))
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), _lists(offsets, parts), _lists(widths, sketches)], names=["sid", "members", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), _lists(offsets, parts)], names=["sid", "members"])
 
-    found = docs.select("text").mapInArrow(run, "sid long, members array<long>, sketch array<long>")
+    found = docs.select("text").mapInArrow(run, "sid long, members array<long>")
     return (found if few else found.join(wanted, "sid", "left_semi")).dropDuplicates(["sid"])
 
 
@@ -217,34 +221,52 @@ def components(docs: DataFrame, make: Maker, percent: int, doc_id: str = "doc_id
     leaders = lists.join(central, "sid").groupBy("key").agg(F.max_by("sid", "met").alias("leader"))
     lists = settle(lists.join(leaders, "key"))
 
-    pairs = settle(lists.filter("sid <> leader").select("leader", "sid").distinct())
-    wanted = pairs.select("sid").union(pairs.select(F.col("leader").alias("sid"))).distinct()
-    sets = settle(members_of(source, make, wanted))
-    led = sets.select(F.col("sid").alias("leader"), F.col("members").alias("l"))
-    met = pairs.join(sets.select("sid", F.col("members").alias("x"), "sketch"), "sid").join(led, "leader")
-    # Sets that are not linked to the leader may be linked with each other, so all keep their differences.
-    answers = met.select("leader", "sid", "sketch", F.size("l").alias("n_l"), F.size("x").alias("n"), F.array_except("l", "x").alias("gone"), F.array_except("x", "l").alias("extra"))
+    info = settle(rows.filter(F.size("sketch") > 0).select("sid", F.col("n").alias("size"), "sketch").join(lists.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]))
+
+    def near(x: str, y: str) -> Column:
+        """Whether sizes and sketches allow the link: both bound the number of differing members from below."""
+        most = (100 - percent) * (F.col(f"{x}.size") + F.col(f"{y}.size"))  # times 100 + percent
+        differ = F.aggregate(F.zip_with(f"{x}.sketch", f"{y}.sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
+        apart = F.abs(F.col(f"{x}.size") - F.col(f"{y}.size"))
+        return (apart * (100 + percent) <= most) & (differ * (100 + percent) <= most)
+
+    def exact(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """The pairs with their sets ``x`` and ``y``."""
+        wanted = pairs.select(F.col(a).alias("sid")).union(pairs.select(F.col(b).alias("sid"))).distinct()
+        sets = settle(members_of(source, make, wanted))
+        met = pairs.join(sets.select(F.col("sid").alias(a), F.col("members").alias("x")), a)
+        return met.join(sets.select(F.col("sid").alias(b), F.col("members").alias("y")), b)
+
+    pairs = lists.filter("sid <> leader").select("leader", "sid").distinct().alias("p")
+    close = pairs.join(info.alias("x"), F.col("p.sid") == F.col("x.sid")).join(info.alias("l"), F.col("p.leader") == F.col("l.sid")).filter(near("x", "l"))
+    met = exact(settle(close.select("p.leader", "p.sid")), "sid", "leader")
+    answers = met.select("leader", "sid", F.size("y").alias("n_l"), F.size("x").alias("n"), F.array_except("y", "x").alias("gone"), F.array_except("x", "y").alias("extra"))
     answers = settle(answers.withColumn("apart", F.size("gone") + F.size("extra")))
     inter = F.col("n_l") - F.size("gone")
     links = answers.filter(100 * inter >= percent * (F.col("n_l") + F.size("extra"))).select(F.col("leader").alias("a"), F.col("sid").alias("b"))
     parts = connected(links)
 
-    # Lists whose sets are not all connected yet: derive the missing answers from the leader's.
+    # Lists whose sets are not all connected yet: derive the missing answers from the leader's where
+    # both sets have one, and compare the few others themselves.
     named = lists.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component")
     split = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    known = named.join(split, "key").filter("sid <> leader").join(answers.select("leader", "sid", "apart", "sketch", F.col("n").alias("size")), ["leader", "sid"])
+    known = named.join(split, "key").filter("sid <> leader").join(info, "sid").join(answers.select("leader", "sid", "apart"), ["leader", "sid"], "left")
     x, y = known.alias("x"), known.alias("y")
-    most = (100 - percent) * (F.col("x.size") + F.col("y.size"))  # of differing members, times 100 + percent
-    differ = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
-    near = (F.abs(F.col("x.apart") - F.col("y.apart")) * (100 + percent) <= most) & (differ * (100 + percent) <= most)
-    open_pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.part") != F.col("y.part")) & near)
-    open_pairs = open_pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.leader").alias("leader")).groupBy("a", "b").agg(F.min("leader").alias("leader"))
+    bound = F.coalesce(F.abs(F.col("x.apart") - F.col("y.apart")) * (100 + percent) <= (100 - percent) * (F.col("x.size") + F.col("y.size")), F.lit(True))
+    pending = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.part") != F.col("y.part")) & bound & near("x", "y"))
+    shared_leader = F.when(F.col("x.apart").isNotNull() & F.col("y.apart").isNotNull(), F.col("x.leader"))
+    pending = settle(pending.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), shared_leader.alias("leader")).groupBy("a", "b").agg(F.min("leader").alias("leader")))
     side = lambda s: answers.select("leader", F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), "n_l", F.col("gone").alias(f"gone_{s}"), F.col("extra").alias(f"extra_{s}"))
-    derived = open_pairs.join(side("a"), ["leader", "a"]).join(side("b").drop("n_l"), ["leader", "b"])
+    derived = pending.filter("leader is not null").join(side("a"), ["leader", "a"]).join(side("b").drop("n_l"), ["leader", "b"])
     shared = F.col("n_l") - F.size(F.array_union("gone_a", "gone_b")) + F.size(F.array_intersect("extra_a", "extra_b"))
-    late = settle(derived.filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"))
+    late = derived.filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
+    rest = pending.filter("leader is null").select("a", "b")
+    if not rest.isEmpty():
+        common = F.size(F.array_intersect("x", "y"))
+        late = late.unionByName(exact(rest, "a", "b").filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"))
+    late = settle(late)
     if not late.isEmpty():
-        parts = connected(links.union(late))
+        parts = connected(links.unionByName(late))
 
     least = rows.filter("n > 0").groupBy("sid").agg(F.min("id").alias("low"))
     least = least.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component")
