@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.llm import mixture, ngram_join, queries, secrets, toxicity
 from graphloom.llm.common import table
 
+#: Pieces of each output shard that tasks shuffle and write on their own.
+PIECES = 256
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -34,7 +36,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: whole documents, as often as each source's target draws them, shuffled into shards."""
     drawn = mixture.drawn_rows(mixture.mix(docs.select(*COLUMNS), whole=True))
-    shards = drawn.repartition("mix.shard").sortWithinPartitions("mix.shard", "mix.order")
+    pieces = F.pmod(F.col("mix.order"), F.lit(PIECES))
+    shards = drawn.repartition("mix.shard", pieces).sortWithinPartitions("mix.shard", "mix.order")
     return shards.select(*COLUMNS)
 
 

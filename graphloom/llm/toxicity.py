@@ -4,11 +4,12 @@ Categories are predicted in a fixed order. Each has a logistic model over the pr
 over the probabilities of all earlier categories; a later model is trained with the probabilities
 that earlier models gave out of fold, so it sees them as it will on new texts. A document is toxic
 where the last category's probability reaches the threshold that is best (F-measure weighing
-precision twice as high) on the out-of-fold probabilities.
+precision twice as high) on the out-of-fold probabilities, and at least twice that of a text without
+any of the model's words, so that texts the model knows nothing of are never rejected.
 
 Training takes a bounded sample: the ``sample`` labelled documents of least hashed id. Its word counts
 are made by Spark; the words kept (at most ``features`` for each category, by a likelihood-ratio test
-at about one in a million) and the sample's rows over them are small enough for the driver.
+whose level falls with the number of words tested) and the sample's rows over them are small enough for the driver.
 Every document is scored, whole. The model is a few hundred words, so it travels with the tasks.
 
 Defined results: null and empty texts have the models' base rates; a document whose label rows
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 
 WORDS = re.compile(r"[^\W\d_]+")
 FOLDS = 5
-#: Likelihood-ratio statistic (one degree of freedom) of about one in a million.
-SIGNIFICANT = 24.0
+#: A word's likelihood-ratio statistic must exceed this times the logarithm of the number of words.
+SIGNIFICANT = 1.7
 
 
 def words_of(text: str | None) -> set[str]:
@@ -126,13 +127,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc
     if not n:
         return Chain(tuple(names), {}, tuple(np.append([-40.0], np.zeros(k)) for k in range(len(names))), 2.0)
     seen = worded.select(F.explode("words").alias("word"), *[f"y{k}" for k in range(len(names))]).groupBy("word").agg(F.count(F.lit(1)).alias("c"), *[F.sum(f"y{k}").alias(f"y{k}") for k in range(len(names))])
+    least = SIGNIFICANT * float(np.log(max(2, seen.count())))
     kept: set[str] = set()
     for k in range(len(names)):
         total, c, a = float(totals[f"y{k}"]), F.col("c").cast("double"), F.col(f"y{k}").cast("double")
         if 0 < total < n:
             cell = lambda o, e: F.when(o > 0, 2 * o * F.log(o / e)).otherwise(0.0)
             ratio = cell(a, c * total / n) + cell(c - a, c * (n - total) / n) + cell(total - a, (n - c) * total / n) + cell(n - c - total + a, (n - c) * (n - total) / n)
-            kept |= {r["word"] for r in seen.filter("c >= 3").select("word", ratio.alias("ratio")).filter(F.col("ratio") > SIGNIFICANT).orderBy(F.desc("ratio"), "word").limit(features).collect()}
+            kept |= {r["word"] for r in seen.filter("c >= 3").select("word", ratio.alias("ratio")).filter(F.col("ratio") > least).orderBy(F.desc("ratio"), "word").limit(features).collect()}
     slots = {w: i for i, w in enumerate(sorted(kept))}
     allowed = F.array(*[F.lit(w) for w in slots]) if slots else F.array().cast("array<string>")
     got = worded.select("id", *[f"y{k}" for k in range(len(names))], F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FOLDS)).alias("fold"), F.array_intersect("words", allowed).alias("words")).orderBy("id").collect()
@@ -142,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc
         x[i, [slots[w] for w in r["words"]]] = 1
     y = np.array([[r[f"y{k}"] for k in range(len(names))] for r in got], float)
     weights, outside = fit_chain(x, y, np.array([r["fold"] for r in got]))
-    return Chain(tuple(names), slots, tuple(weights), best_threshold(outside[:, -1], y[:, -1]))
+    ready = Chain(tuple(names), slots, tuple(weights), best_threshold(outside[:, -1], y[:, -1]))
+    return replace(ready, threshold=max(ready.threshold, min(0.5, 2 * ready.probabilities(set())[-1])))
 
 
 def classify(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str] | None = None) -> DataFrame:
