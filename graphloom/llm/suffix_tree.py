@@ -34,9 +34,9 @@ END = 10
 #: Standard normal quantile of the likelihood-ratio test (one in a thousand).
 LEVEL = 3.09
 #: Texts that a task spells at once.
-CHUNK = 500
+CHUNK = 200
 #: Windows a task gathers before it sums them up.
-GATHER = 4_000_000
+GATHER = 1_000_000
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -88,14 +88,15 @@ def count(docs: DataFrame, depth: int) -> DataFrame:
         waiting = 0
         for batch in batches:
             train = np.asarray(batch.column("train"))
-            words = [words_of(t) for t in texts_of(batch.column("text"))]
-            for w, t in zip(words, train, strict=True):
-                if t:
-                    trained.update(w)
-                else:
-                    others.update(w)
-            for i in range(0, len(words), CHUNK):
-                flat, sizes = spelled(words[i : i + CHUNK], depth)
+            texts = texts_of(batch.column("text"))
+            for i in range(0, len(texts), CHUNK):
+                words = [words_of(t) for t in texts[i : i + CHUNK]]
+                for w, t in zip(words, train[i : i + CHUNK], strict=True):
+                    if t:
+                        trained.update(w)
+                    else:
+                        others.update(w)
+                flat, sizes = spelled(words, depth)
                 keys = windows_of(flat, sizes, depth)
                 use = np.repeat(train[i : i + CHUNK], sizes)
                 keys = np.sort((keys << np.uint64(1)) | use.astype(np.uint64))
