@@ -31,6 +31,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Merged chunks that a task keeps at most; the memo is emptied beyond that.
 MEMO = 400_000
+#: Characters up to which a chunk is merged in a plain list.
+SHORT = 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -170,6 +172,25 @@ class Model:
 
     def merge(self, text: str) -> list[tuple[int, int]]:
         """(id, bytes of the normalised text) of each token of one chunk, by best-score-first merges."""
+        return self._tokens(self._merged_short(text) if len(text) <= SHORT else self._merged_long(text))
+
+    def _merged_short(self, text: str) -> list[str]:
+        """Merged symbols of a word: the ranks of neighbours in a list, the least merged, its sides ranked anew."""
+        symbols = list(text)
+        rank, none = self.ranks.get, len(self.pieces)
+        ranks = [rank(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            del ranks[i]
+            symbols[i] += symbols.pop(i + 1)
+            if i < len(ranks):
+                ranks[i] = rank(symbols[i] + symbols[i + 1], none)
+            if i:
+                ranks[i - 1] = rank(symbols[i - 1] + symbols[i], none)
+        return symbols
+
+    def _merged_long(self, text: str) -> list[str]:
+        """The same for any length, with a heap in n log n."""
         symbols = list(text)
         ids, scores = self.ids, self.scores
         after = list(range(1, len(symbols))) + [-1]
@@ -194,8 +215,12 @@ class Model:
                 offer(left, after[left])
             if before[left] >= 0:
                 offer(before[left], left)
+        return [x for x in symbols if x]
+
+    def _tokens(self, symbols: list[str]) -> list[tuple[int, int]]:
+        ids = self.ids
         out: list[tuple[int, int]] = []
-        for symbol in filter(None, symbols):
+        for symbol in symbols:
             raw = symbol.encode()
             if symbol in ids:
                 out.append((ids[symbol], len(raw)))
@@ -207,6 +232,17 @@ class Model:
                 out.append((self.unknown, len(raw)))
         return out
 
+    @functools.cached_property
+    def neighbours(self) -> set[tuple[str, str]]:
+        """Characters that stand side by side in some piece."""
+        return {pair for piece in self.ids for pair in zip(piece, piece[1:])}
+
+    @functools.cached_property
+    def ranks(self) -> dict[str, int]:
+        """Order of merging: pieces of higher score first, equal scores alike."""
+        order = {score: i for i, score in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
+        return {piece: order[self.scores[i]] for piece, i in self.ids.items()}
+
     @functools.cached_property
     def byte_ids(self) -> dict[int, int]:
         return {b: i for i, b in self.bytes_at.items()}
@@ -240,13 +276,21 @@ class Encoder:
 
     def _forget(self) -> None:
         self.memo.clear()
-        self.ids: list[list[int]] = []
-        self.lengths: list[list[int]] = []
+        self.ids: list[tuple[int, ...]] = []
+        self.lengths: list[tuple[int, ...]] = []
 
     def _slot(self, chunk: str) -> int:
-        got = self.model.merge(chunk)
-        self.ids.append([i for i, _ in got])
-        self.lengths.append([n for _, n in got])
+        """Where a chunk's tokens are kept; parts between characters that no piece joins are merged alone."""
+        joined = self.model.neighbours
+        cuts = [i for i, pair in enumerate(zip(chunk, chunk[1:]), 1) if pair not in joined]
+        if cuts and self.model.fallback:
+            parts = [self.memo[p] if p in self.memo else self._slot(p) for p in (chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True))]
+            ids, lengths = tuple([i for s in parts for i in self.ids[s]]), tuple([n for s in parts for n in self.lengths[s]])
+        else:
+            got = self.model.merge(chunk)
+            ids, lengths = tuple([i for i, _ in got]), tuple([n for _, n in got])
+        self.ids.append(ids)
+        self.lengths.append(lengths)
         self.memo[chunk] = slot = len(self.ids) - 1
         return slot
 
