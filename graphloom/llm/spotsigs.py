@@ -2,9 +2,12 @@
 
 A spot signature is an anchor, one of the most common words of a language, with the chain of the next
 ``CHAIN`` content words after it (words that are not common). A text's fingerprint is the set of its
-signatures, each as a 32-bit print, so it follows the running prose and passes over menus, numbers and
-markup that hold no common words. The start of a text counts as an anchor, so every text with content
-words has a signature; one without any has a single signature of all its words.
+signatures, each as a 32-bit print, so it follows the running prose and passes over the menus, numbers
+and markup between it. The start of a text counts as an anchor. Where anchors are missing, every content
+word starts a chain: all of them in a text without anchors (lists, names, other languages), and in other
+texts those more than ``GAP`` content words behind the last anchor, so no text is known by its start
+alone, and an edit changes only the signatures around it. A text whose words are all common has a single
+signature of all its words.
 
 Likeness is the Jaccard similarity of two sets, given up early where their sizes alone, or what is
 left to compare, keep it under a floor. For joins, sets are partitioned by their length (see
@@ -40,6 +43,8 @@ ANCHORS = frozenset(
 WORDS = re.compile(r"[^\W_]+")
 #: Content words in a chain.
 CHAIN = 2
+#: Content words behind an anchor that are passed over; those beyond start chains of their own.
+GAP = 4
 #: Sampled ids for each boundary between slices.
 SAMPLE = 64
 
@@ -54,11 +59,16 @@ def signatures(text: str) -> set[int]:
     pairs = [f"{a} {b}" for a, b in zip(content, [*content[1:], ""], strict=True)]
     spots.add(" " + pairs[0])
     at, n = 0, len(pairs)
+    passed = 0 if len(content) < len(words) else GAP  # content words since the last anchor
     for w in words:
         if w in ANCHORS:
             if at < n:
                 spots.add(w + " " + pairs[at])
+            passed = 0
         else:
+            if passed >= GAP:
+                spots.add(" " + pairs[at])
+            passed += 1
             at += 1
     digest = xxhash.xxh32_intdigest
     return {digest(s) for s in spots}

@@ -122,6 +122,17 @@ def test_spots_follow_anchors_and_prune_safely():
         assert spotsigs.likeness(a, b, 0.6) == (exact if exact >= 0.6 else 0.0)
 
 
+def test_texts_without_anchors_are_fingerprinted_whole():
+    signed = spotsigs.signatures
+    menu = [f"item{i} price{i}" for i in range(60)]
+    changed = [*menu[:30], "other thing", *menu[31:]]
+    assert len(signed(" ".join(menu))) == 120 and 0.9 < spotsigs.likeness(signed(" ".join(menu)), signed(" ".join(changed))) < 1
+    assert signed("Reouti anatha.") != signed("Reouti anatha. 19.37.233.111")
+    assert signed("see the list " + " ".join(menu)) != signed("see the list " + " ".join(changed))
+    covered = [f"the word{i} thing{i} item{i} name{i}" for i in range(9)]  # never more than GAP words behind an anchor
+    assert len(signed(" ".join(covered))) == 9 + 1
+
+
 def test_spot_classes(docs):
     assert_components(docs, spotsigs.classes(docs.filter("doc_id is not null"), 80), lambda t: spotsigs.signatures(t or ""), 80)
 
