@@ -2,14 +2,16 @@
 
 Patterns: splitting a text at a pattern gives the gaps, extracting it gives the matches, and running
 sums of both lengths give code-point positions. Battery: every run of 16 or more letters, digits and
-``+/_=-`` gets the encoding its symbols infer (hexadecimal, base 32, base 64), and three p-values
+``+/_=-`` gets the encoding its symbols infer (see ``ENCODINGS``), and three p-values
 under uniformly random symbols: a chi-squared test of the alphabet, the runs test about the
 alphabet's middle, and lag-one serial correlation; three times the least of them, at most 1, is its
 p-value. Over all texts, per encoding and length class, the Benjamini-Hochberg procedure at level
 ``level`` decides which runs are too regular to be random, so at most that share of truly random
 strings is dismissed at every length. Runs that stay, hold at least ``bits`` bits and overlap no
-pattern's span are reported as ``random``. Runs without digits, or with fewer than three of lower
-case, upper case and digits outside hexadecimal and base 32, infer no encoding: they are words.
+pattern's span are reported as ``random``. Evidence for an encoding is a digit beside letters, or an
+upper-case letter behind a lower-case one. Runs of one case without digits, capitalised words, and
+numbers with a digit outside 2-7 have none and infer no encoding. Digits beside
+letters of one case are read without the signs between them (as in a UUID); other runs keep their signs.
 
 The procedure works on counts of p-values in bins of a twentieth of a decade, taken at their upper
 ends: a few thousand counts at most, whatever the input.
@@ -34,7 +36,10 @@ RUN = "[A-Za-z0-9+/_=-]{16,}"
 #: Alphabets in the order of their values.
 HEX = "0123456789abcdef"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+BASE36 = "0123456789abcdefghijklmnopqrstuvwxyz"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+#: Encodings a run can infer: each has an alphabet, and strata of its own in the procedure.
+ENCODINGS = {"hex": HEX, "base32": BASE32, "base32_lower": BASE32.lower(), "base36": BASE36.upper(), "base36_lower": BASE36, "base52": BASE64[:52], "base64": BASE64, "base64_letters": BASE64}
 #: Coefficients of a published approximation of the normal tail (error under 1e-7).
 TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 BIN = 20
@@ -83,24 +88,30 @@ def tested(text: Column) -> Column:
 
     def measure(m: Column) -> Column:
         bare = F.rtrim(m["text"], F.lit("="))
-        kinds = sum(bare.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]"))
-        is_hex = bare.rlike("^([0-9a-f]+|[0-9A-F]+)$") & bare.rlike("[0-9]") & bare.rlike("[A-Fa-f]")
-        encoding = F.when(is_hex, 16).when(bare.rlike("^[A-Z2-7]+$") & bare.rlike("[2-7]"), 32).when(kinds == 3, 64).otherwise(0)
-        straight = F.translate(F.when(encoding == 16, F.lower(bare)).otherwise(bare), "-_=", "+/")
+        flat = F.translate(bare, "-_=+/", "")
+        lower, upper, digit = (bare.rlike(p) for p in ("[a-z]", "[A-Z]", "[0-9]"))
+        single = digit & (lower != upper)
+        encoding = (
+            F.when(single & flat.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
+            .when((single & upper & flat.rlike("^[A-Z2-7]+$")) | bare.rlike("^[2-7]+$"), "base32").when(single & flat.rlike("^[a-z2-7]+$"), "base32_lower")
+            .when(single & upper, "base36").when(single, "base36_lower").when(digit & lower & upper, "base64")
+            .when(bare.rlike("[a-z].*[A-Z]"), F.when(bare == flat, "base52").otherwise("base64_letters"))
+        )
+        straight = F.when(encoding == "hex", F.lower(flat)).when(single, flat).otherwise(F.translate(bare, "-_=", "+/"))
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), encoding.alias("encoding"), straight.alias("run"))
 
     def spelled(x: Column) -> Column:
-        alphabet = F.when(x["encoding"] == 16, HEX).when(x["encoding"] == 32, BASE32).otherwise(BASE64)
+        alphabet = F.element_at(F.create_map(*[F.lit(v) for pair in ENCODINGS.items() for v in pair]), x["encoding"])
         values = F.transform(F.split(x["run"], ""), lambda c: F.instr(alphabet, c) - 1)
         counts = F.transform(F.split(alphabet, ""), lambda c: F.length(x["run"]) - F.length(F.replace(x["run"], c, F.lit(""))))
-        return F.struct(*[x[f].alias(f) for f in ("start", "end", "encoding")], F.filter(values, lambda v: v >= 0).alias("v"), counts.alias("counts"))
+        return F.struct(*[x[f].alias(f) for f in ("start", "end", "encoding")], F.length(alphabet).alias("k"), F.filter(values, lambda v: v >= 0).alias("v"), counts.alias("counts"))
 
     def summed(x: Column) -> Column:
-        v, half = x["v"], x["encoding"] / 2
+        v, half = x["v"], x["k"] / 2
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, y: s + y)
         pairs = F.arrays_zip(F.slice(v, 1, F.size(v) - 1).alias("a"), F.slice(v, 2, F.size(v) - 1).alias("b"))
         return F.struct(
-            *[x[f].alias(f) for f in ("start", "end", "encoding")],
+            *[x[f].alias(f) for f in ("start", "end", "encoding", "k")],
             F.size(v).cast("double").alias("n"),
             total(F.transform(x["counts"], lambda c: (c * c).cast("double"))).alias("squares"),
             total(v).alias("s1"), total(F.transform(v, lambda y: (y * y).cast("double"))).alias("s2"),
@@ -111,7 +122,7 @@ def tested(text: Column) -> Column:
         )
 
     def judge(x: Column) -> Column:
-        k, n, high = x["encoding"].cast("double"), x["n"], x["high"]
+        k, n, high = x["k"].cast("double"), x["n"], x["high"]
         chi, free = k / n * x["squares"] - n, k - 1
         p_chi = _tail((F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
         mean = 2 * high * (n - high) / n + 1
@@ -125,7 +136,7 @@ def tested(text: Column) -> Column:
         band = F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-20))) * BIN), F.lit(20 * BIN)).cast("int")
         return F.struct(*[x[f].alias(f) for f in ("start", "end", "encoding")], F.floor(F.log2(n) * 2).cast("int").alias("class"), band.alias("bin"), (n * F.log2(k)).alias("bits"))
 
-    runs = F.filter(F.transform(_matches(text, RUN), measure), lambda x: (x["encoding"] > 0) & (F.length(x["run"]) > 3))
+    runs = F.filter(F.transform(_matches(text, RUN), measure), lambda x: x["encoding"].isNotNull() & (F.length(x["run"]) > 3))
     return F.transform(F.transform(F.transform(runs, spelled), summed), judge)
 
 

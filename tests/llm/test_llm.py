@@ -497,6 +497,24 @@ def test_battery_keeps_random_strings(spark):
     assert sum(i in found for i in range(300)) >= 270 and not any(i in found for i in range(300, 360))
 
 
+def test_battery_reads_every_encoding(spark):
+    """Random tokens of each alphabet are reported whole; words, numbers and regular tokens are not."""
+    rng = random.Random(5)
+    of = lambda alphabet, n=40: "".join(rng.choice(alphabet) for _ in range(n))
+    makers = [
+        lambda: of(secrets.BASE36), lambda: of(secrets.BASE36.upper()), lambda: of(secrets.BASE32), lambda: of(secrets.BASE32.lower()), lambda: of(secrets.BASE64[:52]),
+        lambda: of(secrets.BASE64[:52] + "+/"), lambda: "-".join(of(secrets.HEX, n) for n in (8, 4, 4, 4, 12)), lambda: "-".join(of(secrets.BASE36.upper(), 5) for _ in range(5)),
+    ]
+    tokens = [make() for make in makers for _ in range(40)]
+    dull = ["internationalisierung", "Verantwortlichkeitsbereich", "4111111111111111", "SOME_CONSTANT_NAME", "a1" * 20, "-" * 20, "a-1" + "-" * 20]
+    df = spark.createDataFrame(list(enumerate(["see " + t + " there" for t in tokens + dull])), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["rank"] == 3] for r in secrets.find(df).collect()}
+    for kind in range(len(makers)):
+        own = range(40 * kind, 40 * kind + 40)
+        assert sum(found[i] == [(4, 4 + len(tokens[i]))] for i in own) >= 34, kind
+    assert not any(found[len(tokens) + i] for i in range(len(dull)))
+
+
 def test_scan_without_rows(empty):
     assert secrets.find(empty).count() == 0
 
