@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import mixture, ngram_join, queries, secrets, toxicity
-from graphloom.llm.common import table
+from graphloom.llm.common import settle, table
 
 #: Pieces of each output shard that tasks shuffle and write on their own.
 PIECES = 256
@@ -20,10 +20,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at 0.8 on five-word shingles, the document of least id."""
-    found = ngram_join.components(docs, ngram_join.shingles(5), 80)
-    extra = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group linked at 0.8 on five-word shingles, exactly one row: that of least id.
+
+    Copies are told apart as rows, not by id: of rows that share an id, only those in a group with a
+    lesser row go; null ids come last; of wholly equal rows one stays. Texts without words are no copies
+    of each other and all stay.
+    """
+    own = [F.col(c) for c in COLUMNS]
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.xxhash64(*own, *[c.isNull() for c in own]).alias("print"))
+    keyed = docs.select(*own, key.alias("row"))
+    found = settle(ngram_join.components(keyed, ngram_join.shingles(5), 80, doc_id="row").filter("n > 0").select(F.col("id").alias("row"), "component"))
+    extra = found.filter("row <> component").select("row").distinct()
+    again = found.filter("row = component").groupBy("row").count().filter("count > 1").select("row")
+    single = keyed.join(extra.union(again), "row", "left_anti")
+    return single.union(keyed.join(again, "row", "left_semi").dropDuplicates(["row"]).select(*single.columns)).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -547,6 +547,17 @@ def test_pipeline_stages(spark):
     assert encoded.count() == mixed.count()
 
 
+def test_one_row_of_each_group_of_copies_stays(spark):
+    import corpus_pipeline
+
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(1, texts["a"]), (2, texts["a"]), (2, texts["b"]), (3, texts["c"]), (3, texts["c"]), (None, texts["d"]), (None, texts["d"]), (None, texts["a"]), (4, ""), (4, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3).cache()
+    left = by_row(corpus_pipeline.drop_near_copies(spark, docs, SMALL), "doc_id", "text")
+    want = [(1, texts["a"]), (2, texts["b"]), (3, texts["c"]), (None, texts["d"]), (4, ""), (4, ""), (5, None)]
+    assert left == sorted(want, key=repr)
+
+
 def test_tokenizer_files_are_not_copied():
     import pathlib
 
