@@ -14,7 +14,8 @@ group) and one step inside each block, so no group grows with the data. Reruns a
 is a hash or a seeded draw.
 
 Defined results: null texts have size 0; a null source is a source of its own and sorts last; sources
-without words get target 0; repeated rows are separate rows; an empty table gives no rows; all other
+without words get target 0; rows without words have no draws, except with ``whole``, where they are drawn
+like any other row of their source (never of a source with target 0); repeated rows are separate rows; an empty table gives no rows; all other
 columns are carried along, the result being one struct column ``into``.
 """
 
@@ -80,13 +81,14 @@ def mix(
     kept = [c for c in docs.columns if c.lower() != into.lower()]
     measured = docs.select(F.struct(*kept).alias("row"), docs[source].cast("string").alias("source"), (n_words(docs[text]) if size is None else size).alias("size"))
     hashed = measured.withColumn("hash", F.xxhash64(F.lit(seed), F.col("row").getField(key), F.col("source"), "size"))
-    found = hashed.groupBy("source").agg(F.sum("size").alias("words")).limit(max_sources + 1).collect()
+    load = F.greatest("size", F.lit(1)) if whole else F.col("size")
+    found = hashed.groupBy("source").agg(F.sum("size").alias("words"), F.sum(load).alias("load")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["words"] for r in found]
     wanted = targets(sizes, weights, share, most)
-    rows = [(r["source"], s, t, max(1, -(-s // block_words)), int(t) // s if s else 0, int(t) % s if s else 0) for r, s, t in zip(found, sizes, wanted, strict=True)]
+    rows = [(r["source"], s, t, max(1, -(-r["load"] // block_words)), int(t) // s if s else 0, int(t) % s if s else 0) for r, s, t in zip(found, sizes, wanted, strict=True)]
     facts = spark.createDataFrame(rows, "name string, source_size long, target double, blocks long, passes long, rest long")
     small = (lambda df: F.broadcast(df)) if len(rows) <= 100_000 else (lambda df: df)
 
@@ -112,7 +114,8 @@ def mix(
     lined = dealt.drop("rest_").withColumn("upto", F.sum("size").over(within))
     lined = lined.join(placed.drop("rest"), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b"))).join(small(cuts), F.col("source").eqNullSafe(F.col("c_source")))
     room = F.col("rest") - (F.col("block_at") + F.col("upto") - F.col("size"))
-    part = F.when(2 * room >= F.col("size"), F.col("size")).otherwise(F.lit(0)) if whole else F.greatest(F.lit(0), F.least(room, F.col("size")))
+    inside = (room > 0) & (2 * room >= F.col("size"))
+    part = F.when(inside, F.col("size")).otherwise(F.lit(0)) if whole else F.greatest(F.lit(0), F.least(room, F.col("size")))
     part = F.when(room > 0, part).otherwise(F.lit(0)).cast("long")
 
     def draw(turn: Column) -> Column:
@@ -121,7 +124,8 @@ def mix(
         words = F.when(turn < F.col("passes"), F.col("size")).otherwise(part)
         return F.struct(turn.cast("int").alias("pass"), shard.alias("shard"), F.xxhash64(F.lit(seed), shard, turn, F.col("hash")).alias("order"), words.alias("words"))
 
-    draws = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), draw), lambda d: d["words"] > 0)
+    kept_draw = (lambda d: (d["pass"] < F.col("passes")) | inside) if whole else (lambda d: d["words"] > 0)
+    draws = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), draw), kept_draw)
     taken = F.col("passes") * F.col("size") + part
     result = F.struct("size", "source_size", "target", taken.alias("taken"), draws.alias("draws"))
     return lined.select("row", result.alias("__mix")).select("row.*", F.col("__mix").alias(into))

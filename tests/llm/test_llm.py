@@ -171,6 +171,17 @@ def test_mix_meets_targets(docs, empty, whole):
     assert mixture.drawn_rows(mixture.mix(docs.withColumn("MIX", F.lit(1)), block_words=50)).count() > 0
 
 
+def test_whole_passes_draw_rows_without_words(spark):
+    texts = [*["two words"] * 20, *[None, "", " \n"] * 20]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for s in ("a", "b") for i, t in enumerate(texts)], SCHEMA)
+    mixed = mixture.mix(docs, block_words=4, shards=3, whole=True).select("source", "mix.*").collect()
+    for source, passes in (("a", 2), ("b", 1)):  # targets of two full passes, and of one
+        own = [r for r in mixed if r["source"] == source]
+        assert {r["target"] for r in own} == {40.0 * passes}
+        assert all([d["pass"] for d in r["draws"]] == list(range(passes)) for r in own)
+    assert all(r["target"] == 0 and not r["draws"] for r in mixture.mix(docs.filter("trim(text) = '' or text is null"), whole=True).select("mix.*").collect() if not r["source_size"])
+
+
 # 4
 
 
