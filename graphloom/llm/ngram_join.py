@@ -4,18 +4,25 @@ A set is kept as its sorted 64-bit prints. The print space is cut into equal ran
 block of consecutive positions of every sorted set. Two sets of at most ``u`` members and similarity
 ``t`` differ in at most ``H = 2u(1-t)/(1+t)`` members, so of ``H + 1 + s`` blocks at least ``s + 1``
 are equal in both. The index has one list for each block content; whole lists are skipped unless a
-block is equal, and a set skips its blocks of few members where they are at most ``s``, so that no
-list is made of sets that share little. Sets are blocked once for each class of sizes that a partner
-may have, so lists also never mix sizes that cannot meet.
-
-Within a list only one set (the leader, which meets most others over all lists) is compared with the
-others. Its answers come with the differences both ways, and the answers of the others are derived
-from them: sets linked to the leader are connected, and for two sets x, y that are not yet connected,
+block is equal, and a set skips its blocks of few members where they are at most half of ``s``, so
+that no list is made of sets that share little. Sets are blocked once for each class of sizes that a
+partner may have, so lists also never mix sizes that cannot meet.
+
+Within a list only one set (the leader, that of least id, which is a random but common order of all
+sets) is compared with the others: first each set with the leader that it shares most lists with, then
+with those of other leaders that are not connected to it by then. A leader's answers come with the
+differences both ways, and the answers of the others are derived from them: sets linked to the leader
+are connected, and for two sets x, y that are not yet connected,
 ``|x & y| = |L| - |(L-x) | (L-y)| + |(x-L) & (y-L)|``, after skipping pairs whose distances to the
 leader, or whose bit sketches, already differ too much. So a list of ``g`` similar sets costs ``g``
 comparisons and no pairs. Links that are implied by others are not listed, but connectivity is exact:
 every linked pair is connected.
 
+A passage that very many otherwise different texts share makes crowded lists without a common leader.
+A set leaves all its crowded lists of a size class where they are so few that every link must show in
+another list as well (``skippable``): the equal blocks of a linked pair outnumber them. Only sets that
+mostly consist of such passages stay and are compared with each other, by sizes and sketches first.
+
 Equal sets are merged before anything else (a set's id is a 64-bit print of all of it), within a task
 before any row leaves it.
 
@@ -42,8 +49,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Texts that a task hashes at once.
 CHUNK = 200
-#: Bits of a sketch.
+#: Least bits of a sketch; larger sets have two bits a member, rounded up to a power of two.
 BITS = 1024
+#: Sets of a list from which on it is crowded.
+CROWD = 64
 #: Ids that are shipped to the tasks as a filter; beyond that they are joined.
 SHIPPED = 4_000_000
 
@@ -101,8 +110,22 @@ def families(n: int, percent: int) -> Iterator[tuple[int, int, int]]:
         f += 1
 
 
+def few_blocks(spare: int) -> int:
+    """Blocks of few members that a set may skip; the rest of ``spare`` is for crowded lists."""
+    return (spare + 1) // 2
+
+
+def skippable(percent: int) -> list[int]:
+    """For each size class: blocks less those of few members less one, so what equal blocks leave over the differing members."""
+    out = []
+    for f in range(64):
+        found = [(blocks, spare) for g, blocks, spare in families(STARTS[f], percent) if g == f]
+        out.append(found[0][0] - few_blocks(found[0][1]) - 1 if found else 0)
+    return out
+
+
 def block_keys(members: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the index lists that a sorted set is on."""
+    """Keys of the index lists that a sorted set is on; the six low bits are those of the size class."""
     out = []
     mixed = mix64(members)
     top = members >> np.uint64(32)
@@ -114,7 +137,8 @@ def block_keys(members: np.ndarray, percent: int) -> np.ndarray:
         sums[filled] = np.add.reduceat(mixed, np.concatenate([[0], np.cumsum(sizes[filled])[:-1]]))
         few = sizes < max(1, len(members) // (2 * blocks))
         keys = mix64(sums + mix64(np.arange(blocks, dtype=np.uint64) + np.uint64(f << 40)))
-        out.append(keys[~few] if few.sum() <= spare else keys)
+        keys = keys & ~np.uint64(63) | np.uint64(f & 63)
+        out.append(keys[~few] if few.sum() <= few_blocks(spare) else keys)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -125,8 +149,12 @@ def set_id(members: np.ndarray) -> int:
 
 
 def sketch(members: np.ndarray) -> np.ndarray:
-    """Parities of the members in ``BITS`` hash classes: two sets differ in at least as many as their sketches."""
-    odd = np.bincount((mix64(members) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    """Parities of the members in hash classes: two sets differ in at least as many as their sketches.
+
+    A longer sketch folds to half its length by the exclusive or of its halves.
+    """
+    bits = max(BITS, 1 << (2 * len(members) - 1).bit_length())
+    odd = np.bincount((mix64(members) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -134,31 +162,52 @@ def _lists(offsets: list[int], parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)))
 
 
-def indexed(docs: DataFrame, make: Maker, percent: int) -> DataFrame:
-    """(id, n, sid, sketch, keys): each row's set; the sketch and the keys once for each set and task."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, CHUNK):
+            yield batch.slice(i, CHUNK)
+
+
+def described(docs: DataFrame, make: Maker) -> DataFrame:
+    """(id, n, sid, sketch): each row's set; the sketch once for each set and task."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            for i in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(i, CHUNK)
-                sets = make(texts_of(part.column("text")))
-                sids, offsets, keys, widths, sketches = [], [0], [], [0], []
-                for members in sets:
-                    sid = set_id(members)
-                    fresh = sid not in seen and len(members) > 0
-                    own = block_keys(members, percent) if fresh else np.zeros(0, np.uint64)
-                    if fresh:
-                        sketches.append(sketch(members))
-                    widths.append(widths[-1] + (BITS // 64 if fresh else 0))
+        for part in _chunks(batches):
+            sets = make(texts_of(part.column("text")))
+            sids, widths, sketches = [], [0], []
+            for members in sets:
+                sid = set_id(members)
+                if sid not in seen and len(members):
+                    seen.add(sid)
+                    sketches.append(sketch(members))
+                    widths.append(widths[-1] + len(sketches[-1]))
+                else:
+                    widths.append(widths[-1])
+                sids.append(sid)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), _lists(widths, sketches)], names=["id", "n", "sid", "sketch"])
+
+    return docs.mapInArrow(run, f"id {kind}, n long, sid long, sketch array<long>")
+
+
+def index_entries(docs: DataFrame, make: Maker, percent: int) -> DataFrame:
+    """(key, sid): the lists of each set, once for each set and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part in _chunks(batches):
+            sids, keys = [], [np.zeros(0, np.uint64)]
+            for members in make(texts_of(part.column("text"))):
+                sid = set_id(members)
+                if sid not in seen and len(members):
                     seen.add(sid)
                     sids.append(sid)
-                    keys.append(own)
-                    offsets.append(offsets[-1] + len(own))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), _lists(widths, sketches), _lists(offsets, keys)], names=["id", "n", "sid", "sketch", "keys"])
+                    keys.append(block_keys(members, percent))
+            own = np.repeat(np.array(sids, np.int64), [len(k) for k in keys[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(own)], names=["key", "sid"])
 
-    return docs.mapInArrow(run, f"id {kind}, n long, sid long, sketch array<long>, keys array<long>")
+    return docs.select("text").mapInArrow(run, "key long, sid long")
 
 
 def members_of(docs: DataFrame, make: Maker, wanted: DataFrame) -> DataFrame:
@@ -169,20 +218,19 @@ def members_of(docs: DataFrame, make: Maker, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         ids = shared.value if shared is not None else None
-        for batch in batches:
-            for i in range(0, batch.num_rows, CHUNK):
-                sids, offsets, parts = [], [0], []
-                for members in make(texts_of(batch.slice(i, CHUNK).column("text"))):
-                    sid = set_id(members)
-                    if sid in seen or not len(members):
-                        continue
-                    seen.add(sid)
-                    if ids is not None and not (len(ids) and (k := int(np.searchsorted(ids, sid))) < len(ids) and ids[k] == sid):
-                        continue
-                    sids.append(sid)
-                    parts.append(members)
-                    offsets.append(offsets[-1] + len(members))
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), _lists(offsets, parts)], names=["sid", "members"])
+        for part in _chunks(batches):
+            sids, offsets, parts = [], [0], []
+            for members in make(texts_of(part.column("text"))):
+                sid = set_id(members)
+                if sid in seen or not len(members):
+                    continue
+                seen.add(sid)
+                if ids is not None and not (len(ids) and (k := int(np.searchsorted(ids, sid))) < len(ids) and ids[k] == sid):
+                    continue
+                sids.append(sid)
+                parts.append(members)
+                offsets.append(offsets[-1] + len(members))
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), _lists(offsets, parts)], names=["sid", "members"])
 
     found = docs.select("text").mapInArrow(run, "sid long, members array<long>")
     return (found if few else found.join(wanted, "sid", "left_semi")).dropDuplicates(["sid"])
@@ -211,24 +259,22 @@ def components(docs: DataFrame, make: Maker, percent: int, doc_id: str = "doc_id
     Sets link where 100 * |x & y| >= percent * |x | y|.
     """
     source = docs.select(docs[doc_id].alias("id"), docs[text].cast("string").alias("text"))
-    rows = settle(indexed(source, make, percent))
-    # Dealt once by list: counting and picking the lists of several sets read the same exchange.
-    entries = rows.select(F.explode("keys").alias("key"), "sid").repartition("key")
-    several = entries.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high").select("key")
+    rows = settle(described(source, make))
+    # Dealt once by list: finding the lists of several sets and picking their entries read the same exchange.
+    entries = index_entries(source, make, percent).repartition("key")
+    several = entries.groupBy("key").agg(F.min("sid").alias("leader"), F.max("sid").alias("high")).filter("leader <> high").select("key", "leader")
     lists = settle(entries.join(several, "key").distinct())
-    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    central = lists.join(sizes, "key").groupBy("sid").agg(F.sum("size").alias("met"))
-    leaders = lists.join(central, "sid").groupBy("key").agg(F.max_by("sid", "met").alias("leader"))
-    lists = settle(lists.join(leaders, "key"))
-
     info = settle(rows.filter(F.size("sketch") > 0).select("sid", F.col("n").alias("size"), "sketch").join(lists.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]))
 
     def near(x: str, y: str) -> Column:
         """Whether sizes and sketches allow the link: both bound the number of differing members from below."""
         most = (100 - percent) * (F.col(f"{x}.size") + F.col(f"{y}.size"))  # times 100 + percent
-        differ = F.aggregate(F.zip_with(f"{x}.sketch", f"{y}.sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
+        width = F.least(F.size(f"{x}.sketch"), F.size(f"{y}.sketch"))
+        halves = lambda s: F.zip_with(F.slice(s, F.lit(1), width), F.slice(s, width + 1, width), lambda p, q: p.bitwiseXOR(q))
+        p, q = (F.when(F.size(s) > width, halves(s)).otherwise(s) for s in (F.col(f"{x}.sketch"), F.col(f"{y}.sketch")))
+        differ = F.aggregate(F.zip_with(p, q, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, d: n + F.coalesce(d, F.lit(0)))
         apart = F.abs(F.col(f"{x}.size") - F.col(f"{y}.size"))
-        return (apart * (100 + percent) <= most) & (differ * (100 + percent) <= most)
+        return F.when(apart * (100 + percent) <= most, differ * (100 + percent) <= most).otherwise(F.lit(False))
 
     def exact(pairs: DataFrame, a: str, b: str) -> DataFrame:
         """The pairs with their sets ``x`` and ``y``."""
@@ -237,20 +283,44 @@ def components(docs: DataFrame, make: Maker, percent: int, doc_id: str = "doc_id
         met = pairs.join(sets.select(F.col("sid").alias(a), F.col("members").alias("x")), a)
         return met.join(sets.select(F.col("sid").alias(b), F.col("members").alias("y")), b)
 
-    pairs = lists.filter("sid <> leader").select("leader", "sid").distinct().alias("p")
+    def answered(pairs: DataFrame) -> DataFrame:
+        """Of (leader, sid) pairs: both sizes, the members that each has alone, and how many those are."""
+        met = exact(pairs, "sid", "leader")
+        both = met.select("leader", "sid", F.size("y").alias("n_l"), F.size("x").alias("n"), F.array_except("y", "x").alias("gone"), F.array_except("x", "y").alias("extra"))
+        return settle(both.withColumn("apart", F.size("gone") + F.size("extra")))
+
+    def linked(answers: DataFrame) -> DataFrame:
+        inter = F.col("n_l") - F.size("gone")
+        return answers.filter(100 * inter >= percent * (F.col("n_l") + F.size("extra"))).select(F.col("leader").alias("a"), F.col("sid").alias("b"))
+
+    pairs = lists.filter("sid <> leader").groupBy("leader", "sid").agg(F.count(F.lit(1)).alias("met")).alias("p")
     close = pairs.join(info.alias("x"), F.col("p.sid") == F.col("x.sid")).join(info.alias("l"), F.col("p.leader") == F.col("l.sid")).filter(near("x", "l"))
-    met = exact(settle(close.select("p.leader", "p.sid")), "sid", "leader")
-    answers = met.select("leader", "sid", F.size("y").alias("n_l"), F.size("x").alias("n"), F.array_except("y", "x").alias("gone"), F.array_except("x", "y").alias("extra"))
-    answers = settle(answers.withColumn("apart", F.size("gone") + F.size("extra")))
-    inter = F.col("n_l") - F.size("gone")
-    links = answers.filter(100 * inter >= percent * (F.col("n_l") + F.size("extra"))).select(F.col("leader").alias("a"), F.col("sid").alias("b"))
+    close = settle(close.select("p.leader", "p.sid", "p.met"))
+    first = close.groupBy("sid").agg(F.max_by("leader", F.struct("met", "leader")).alias("leader")).select("leader", "sid")
+    answers = answered(settle(first))
+    links = linked(answers)
     parts = connected(links)
+    part = lambda s: parts.select(F.col("node").alias(s), F.col("component").alias(f"{s}_part"))
+    others = close.join(first, ["leader", "sid"], "left_anti").join(part("leader"), "leader", "left").join(part("sid"), "sid", "left")
+    others = settle(others.filter(F.coalesce("leader_part", "leader") != F.coalesce("sid_part", "sid")).select("leader", "sid"))
+    if not others.isEmpty():
+        answers = answers.unionByName(answered(others))
+        links = linked(answers)
+        parts = connected(links)
 
     # Lists whose sets are not all connected yet: derive the missing answers from the leader's where
     # both sets have one, and compare the few others themselves.
     named = lists.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component")
-    split = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    known = named.join(split, "key").filter("sid <> leader").join(info, "sid").join(answers.select("leader", "sid", "apart"), ["leader", "sid"], "left")
+    split = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("met")).filter("low <> high").select("key", "met")
+    open_lists = settle(named.join(split, "key").filter("sid <> leader").join(info.select("sid", "size"), "sid"))
+    family = F.col("key").bitwiseAND(F.lit(63))
+    crowded = open_lists.filter(F.col("met") > CROWD).groupBy("sid", family.alias("family")).agg(F.count(F.lit(1)).alias("crowds"), F.first("size").alias("size"))
+    largest = F.least(F.element_at(F.array(*[F.lit(STARTS[f + 1] - 1) for f in range(64)]), F.col("family").cast("int") + 1), F.floor(F.col("size") * 100 / percent))
+    room = F.element_at(F.array(*[F.lit(n) for n in skippable(percent)]), F.col("family").cast("int") + 1)
+    differ = F.floor((100 - percent) * (F.col("size") + largest) / (100 + percent))
+    leaves = crowded.filter((F.col("size") < STARTS[63]) & (F.col("crowds") <= room - differ)).select("sid", "family", F.lit(True).alias("leaves"))
+    stay = open_lists.withColumn("family", family).join(leaves, ["sid", "family"], "left").filter((F.col("met") <= CROWD) | F.col("leaves").isNull())
+    known = stay.select("key", "sid", "leader", "part").join(info, "sid").join(answers.select("leader", "sid", "apart"), ["leader", "sid"], "left")
     x, y = known.alias("x"), known.alias("y")
     bound = F.coalesce(F.abs(F.col("x.apart") - F.col("y.apart")) * (100 + percent) <= (100 - percent) * (F.col("x.size") + F.col("y.size")), F.lit(True))
     pending = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.part") != F.col("y.part")) & bound & near("x", "y"))

@@ -234,6 +234,34 @@ def test_a_family_without_a_centre(spark):
     assert_components(df, ngram_join.components(df, ngram_join.shingles(3), 90), lambda t: shingle_set(t, 3), 90)
 
 
+def test_crowded_lists_and_joined_members(spark, monkeypatch):
+    """A passage in most texts, near copies among them, lists that count as crowded, members fetched by a join."""
+    monkeypatch.setattr(ngram_join, "CROWD", 3)
+    monkeypatch.setattr(ngram_join, "SHIPPED", 0)
+    random.seed(12)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        own = [f"u{i}_{j}" for j in range(random.choice([5, 20, 60, 240]))]
+        at = random.randrange(len(own))
+        w = own[:at] + passage + own[at:]
+        rows.append((i, " ".join(w)))
+        if i % 4 == 0:
+            w[random.randrange(len(w))] = "changed"
+            rows.append((100 + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert_components(df, ngram_join.components(df, ngram_join.shingles(3), 80), lambda t: shingle_set(t, 3), 80)
+
+
+def test_sketches_fold():
+    rng = np.random.default_rng(5)
+    a, b = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (700, 500))
+    long, short = ngram_join.sketch(a), ngram_join.sketch(b)
+    assert (len(long), len(short)) == (32, 16)
+    count = lambda x: sum(int(v).bit_count() for v in x.view(np.uint64))
+    assert count((long[:16] ^ long[16:]) ^ short) <= len(np.setxor1d(a, b))
+
+
 def test_blocks_of_linked_sets_meet():
     rng = np.random.default_rng(3)
     for _ in range(200):
