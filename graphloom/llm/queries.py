@@ -63,12 +63,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
-    """Token counts and digests of ids and decoded texts; ``covered_bytes``: where the last span ends."""
-    model = model_bytes()
-    tokens = sentencepiece_codec.encode(docs, model, keep=["doc_id"])
-    tokens = tokens.select("doc_id", "ids", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).alias("covered_bytes"))
-    back = sentencepiece_codec.decode(tokens, model)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "covered_bytes")
+    """Token counts and digests of ids, decoded texts and spans."""
+    return sentencepiece_codec.digests(docs, model_bytes())
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,9 @@ replaced by it. Texts are never cut: a text without any space is merged with a h
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -29,10 +31,12 @@ from .common import texts_of
 SPACE = "▁"
 #: Kinds of pieces in the model file (fixed values of the public model format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Merged chunks that a task keeps at most; the memo is emptied beyond that.
-MEMO = 400_000
-#: Characters up to which a chunk is merged in a plain list.
+#: Merged chunks that a task keeps; beyond that the older half goes.
+MEMO = 300_000
+#: Characters up to which chunks are merged together, one merge of each chunk a round.
 SHORT = 64
+#: Bytes of text whose chunks are looked up and merged together.
+GATHER = 2_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -172,25 +176,81 @@ class Model:
 
     def merge(self, text: str) -> list[tuple[int, int]]:
         """(id, bytes of the normalised text) of each token of one chunk, by best-score-first merges."""
-        return self._tokens(self._merged_short(text) if len(text) <= SHORT else self._merged_long(text))
+        return self._tokens(self._merged_long(text))
+
+    def merge_all(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of many chunks after all merges, one behind another, and how many each chunk has.
+
+        A round merges in every chunk the best pair, of equal ones the leftmost, until none is left. A
+        symbol is a piece's id, or, of characters that are no piece, the code point above all ids.
+        """
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        code = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
+        symbol = self.of_characters[code]
+        owner = np.repeat(np.arange(len(chunks)), sizes)
+        rank, merged = self._joined(symbol[:-1], symbol[1:])
+        none = len(self.pieces)
+        rank, merged = np.append(rank, none), np.append(merged, 0)
+        rank[np.cumsum(sizes) - 1] = none
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbol):
+            edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            counts = np.diff(np.append(edge, len(owner)))
+            least = np.minimum.reduceat(rank, edge)
+            if (ready := least == none).any():
+                mask = np.repeat(ready, counts)
+                done.append((owner[mask], symbol[mask]))
+                owner, symbol, rank, merged = (x[~mask] for x in (owner, symbol, rank, merged))
+                if not len(symbol):
+                    break
+                least, counts = least[~ready], counts[~ready]
+            hits = np.flatnonzero(rank == np.repeat(least, counts))
+            own = owner[hits]
+            at = hits[np.concatenate([[True], own[1:] != own[:-1]])]
+            symbol[at] = merged[at]
+            keep = np.ones(len(symbol), bool)
+            keep[at + 1] = False
+            at = at - np.arange(len(at))  # places after the right halves are gone
+            owner, symbol, rank, merged = (x[keep] for x in (owner, symbol, rank, merged))
+            behind = at[(at + 1 < len(owner)) & (owner[np.minimum(at + 1, len(owner) - 1)] == owner[at])]
+            before = at[(at > 0) & (owner[at - 1] == owner[at])]
+            rank[at] = none
+            rank[behind], merged[behind] = self._joined(symbol[behind], symbol[behind + 1])
+            rank[before - 1], merged[before - 1] = self._joined(symbol[before - 1], symbol[before])
+        owner, symbol = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in (0, 1))
+        order = np.argsort(owner, kind="stable")
+        return symbol[order], np.bincount(owner, minlength=len(chunks))
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of the piece that two symbols make; the number of pieces stands for none."""
+        keys, ranks, ids = self.pairs
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, ranks[at], len(self.pieces)), ids[at]
 
-    def _merged_short(self, text: str) -> list[str]:
-        """Merged symbols of a word: the ranks of neighbours in a list, the least merged, its sides ranked anew."""
-        symbols = list(text)
-        rank, none = self.ranks.get, len(self.pieces)
-        ranks = [rank(a + b, none) for a, b in zip(symbols, symbols[1:])]
-        while ranks and (least := min(ranks)) < none:
-            i = ranks.index(least)
-            del ranks[i]
-            symbols[i] += symbols.pop(i + 1)
-            if i < len(ranks):
-                ranks[i] = rank(symbols[i] + symbols[i + 1], none)
-            if i:
-                ranks[i - 1] = rank(symbols[i - 1] + symbols[i], none)
-        return symbols
+    @functools.cached_property
+    def of_characters(self) -> np.ndarray:
+        """The symbol of each code point."""
+        out = np.arange(0x110000, dtype=np.int64) + len(self.pieces)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                out[ord(piece)] = i
+        return out
+
+    @functools.cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs of symbols that make a piece: sorted keys, ranks, ids."""
+
+        def symbol(part: str) -> int | None:
+            return self.ids.get(part, len(self.pieces) + ord(part) if len(part) == 1 else None)
+
+        rows = [(a << 32 | b, self.ranks[p], i) for p, i in self.ids.items() for k in range(1, len(p)) if (a := symbol(p[:k])) is not None and (b := symbol(p[k:])) is not None]
+        keys, ranks, ids = np.array(rows or [(-1, 0, 0)], np.int64).T
+        order = np.argsort(keys)
+        return keys[order], ranks[order], ids[order]
 
     def _merged_long(self, text: str) -> list[str]:
-        """The same for any length, with a heap in n log n."""
+        """Merged symbols of a chunk of any length, with a heap in n log n."""
         symbols = list(text)
         ids, scores = self.ids, self.scores
         after = list(range(1, len(symbols))) + [-1]
@@ -249,8 +309,7 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """The library's decoding: spaces restored, the dummy prefix dropped, bytes joined."""
-        surface = self.surfaces
-        data = b"".join([surface[i] for i in ids])
+        data = b"".join(map(self.surfaces.__getitem__, ids))
         if self.dummy_prefix and ids:
             skip = next((k for k, i in enumerate(ids) if self.kinds[i] != CONTROL), None)
             if skip is not None and self.pieces[ids[skip]].startswith(SPACE):
@@ -266,63 +325,93 @@ class Model:
 
 
 class Encoder:
-    """Encodes texts of a task, remembering how chunks between spaces were merged."""
+    """Encodes texts of a task, remembering how chunks between spaces were merged.
+
+    A chunk's tokens are kept as 64-bit integers: the id and, above it, the length in the normalised text.
+    """
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.memo: dict[str, int] = {}
-        self._forget()
+        self.memo: dict[str, bytes] = {}
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if model.splits else re.compile(r"(?s).+")
-
-    def _forget(self) -> None:
-        self.memo.clear()
-        self.ids: list[tuple[int, ...]] = []
-        self.lengths: list[tuple[int, ...]] = []
-
-    def _slot(self, chunk: str) -> int:
-        """Where a chunk's tokens are kept; parts between characters that no piece joins are merged alone."""
+        self.decimals = [str(i) for i in range(len(model.pieces))]
+        self.packed = np.array([i | len(p.encode()) << 32 for i, p in enumerate(model.pieces)], np.int64)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Merge chunks that the memo does not hold."""
+        model, memo = self.model, self.memo
+        short = [c for c in chunks if len(c) <= SHORT]
+        if short:
+            symbols, counts = model.merge_all(short)
+            known = symbols < len(model.pieces)
+            flat = self.packed[np.where(known, symbols, 0)].tobytes()
+            ends = np.cumsum(counts)
+            high = (8 * ends).tolist()
+            memo.update(zip(short, [flat[a:b] for a, b in zip([0, *high], high)], strict=True))
+            for i in np.flatnonzero(~np.logical_and.reduceat(known, ends - counts)).tolist():
+                memo[short[i]] = self._spelled([model.pieces[x] if x < len(model.pieces) else chr(x - len(model.pieces)) for x in symbols[ends[i] - counts[i] : ends[i]].tolist()])
+        for chunk in chunks:
+            if len(chunk) > SHORT:
+                memo[chunk] = self._long(chunk)
+
+    def _spelled(self, symbols: list[str]) -> bytes:
+        return np.array([i | n << 32 for i, n in self.model._tokens(symbols)], np.int64).tobytes()
+
+    def _long(self, chunk: str) -> bytes:
+        """A long chunk; parts between characters that no piece joins are merged alone."""
         joined = self.model.neighbours
         cuts = [i for i, pair in enumerate(zip(chunk, chunk[1:]), 1) if pair not in joined]
-        if cuts and self.model.fallback:
-            parts = [self.memo[p] if p in self.memo else self._slot(p) for p in (chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True))]
-            ids, lengths = tuple([i for s in parts for i in self.ids[s]]), tuple([n for s in parts for n in self.lengths[s]])
-        else:
-            got = self.model.merge(chunk)
-            ids, lengths = tuple([i for i, _ in got]), tuple([n for _, n in got])
-        self.ids.append(ids)
-        self.lengths.append(lengths)
-        self.memo[chunk] = slot = len(self.ids) - 1
-        return slot
-
-    def encode(self, source: bytes, spans: bool = True) -> tuple[list[int], np.ndarray | None, np.ndarray | None]:
-        """Ids and, with ``spans``, the begin and end of each token in the bytes of ``source``."""
+        if not cuts or not self.model.fallback:
+            return self._spelled(self.model._merged_long(chunk))
+        parts = [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)]
+        self.learn([p for p in dict.fromkeys(parts) if p not in self.memo])
+        return b"".join([self.memo[p] for p in parts])
+
+    def tokens(self, sources: list[bytes]) -> Iterator[tuple[bytes, np.ndarray | None, np.ndarray, np.ndarray]]:
+        """Of each text: normalised bytes, their alignment, and the ids and lengths of its tokens."""
+        model, memo = self.model, self.memo
+        at = 0
+        while at < len(sources):
+            if len(memo) > MEMO:
+                for old in list(itertools.islice(memo, len(memo) // 2)):
+                    del memo[old]
+            cut, low, size = [], at, 0
+            while at < len(sources) and (size == 0 or size + len(sources[at]) <= GATHER):
+                flat, align = model.normalise(sources[at])
+                text = flat.decode()
+                if model.escape:
+                    text = text.replace(" ", SPACE)
+                if model.dummy_prefix and flat:
+                    text = SPACE + text
+                cut.append((flat, align, self.chunk.findall(text)))
+                size += len(sources[at])
+                at += 1
+            self.learn([c for c in dict.fromkeys(itertools.chain.from_iterable(found for _, _, found in cut)) if c not in memo])
+            for flat, align, found in cut:
+                own = np.frombuffer(b"".join([memo[c] for c in found]), np.int64)
+                yield flat, align, own.astype(np.int32), own >> 32
+
+    def spans(self, flat: bytes, align: np.ndarray | None, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The begin and end of each token in the bytes of the source."""
         model = self.model
-        flat, align = model.normalise(source)
         if not flat:
-            empty = np.zeros(0, np.int32)
-            return [], empty, empty
-        text = flat.decode()
-        if model.escape:
-            text = text.replace(" ", SPACE)
-        if model.dummy_prefix:
-            text = SPACE + text
-        if len(self.memo) > MEMO:
-            self._forget()
-        memo = self.memo
-        slots = [memo[c] if c in memo else self._slot(c) for c in self.chunk.findall(text)]
-        ids = [i for s in slots for i in self.ids[s]]
-        if not spans:
-            return ids, None, None
-        ends = np.cumsum(np.fromiter((n for s in slots for n in self.lengths[s]), np.int64, len(ids)))
-        # Tokens lie in the escaped text; starts has where each normalised byte begins there.
-        wide, lead = len(SPACE.encode()), len(SPACE.encode()) if model.dummy_prefix else 0
-        widths = np.where(np.frombuffer(flat, np.uint8) == 32, wide if model.escape else 1, 1)
-        starts = lead + np.cumsum(widths) - widths
-        stops = np.searchsorted(starts, ends, "left")
-        begins = np.concatenate([[0], stops[:-1]])
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        # Tokens lie in the escaped text: mark where each normalised byte begins there, and count marks.
+        wide, lead = len(SPACE.encode()) if model.escape else 1, len(SPACE.encode()) if model.dummy_prefix else 0
+        widths = np.where(np.frombuffer(flat, np.uint8) == 32, wide, 1)
+        ends = np.cumsum(widths)
+        marks = np.zeros(lead + int(ends[-1]) + 1, np.int8)
+        marks[lead + ends - widths + 1] = 1
+        stops = np.cumsum(marks, dtype=np.int32)[np.cumsum(lengths)]
+        begins = np.concatenate([np.zeros(1, np.int32), stops[:-1]])
         if align is not None:
-            begins, stops = align[begins], align[stops]
-        return ids, begins.astype(np.int32), stops.astype(np.int32)
+            begins, stops = align[begins].astype(np.int32), align[stops].astype(np.int32)
+        return begins, stops
+
+    def encode(self, source: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Ids and the begin and end of each token in the bytes of ``source``."""
+        ((flat, align, ids, lengths),) = self.tokens([source])
+        return ids.tolist(), *self.spans(flat, align, lengths)
 
 
 ENCODED = T.StructType([
@@ -355,20 +444,47 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] |
         encoder = Encoder(_model(model))
         for batch in batches:
             offsets, ids, begins, ends = [0], [], [], []
-            for source in texts_of(batch.column("__text")):
-                got, begin, end = encoder.encode(source, spans)
-                ids.append(np.asarray(got, np.int32))
-                offsets.append(offsets[-1] + len(got))
+            for flat, align, own, lengths in encoder.tokens(texts_of(batch.column(batch.num_columns - 1))):
+                ids.append(own)
+                offsets.append(offsets[-1] + len(own))
                 if spans:
+                    begin, end = encoder.spans(flat, align, lengths)
                     begins.append(begin)
                     ends.append(end)
             lists = [pa.ListArray.from_arrays(pa.array(offsets if x else [0] * len(offsets), pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, np.int32), pa.int32())) for x in (ids, begins, ends)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + lists, names=[*kept, "ids", "begins", "ends"])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + lists, names=[*kept, "ids", "begins", "ends"])
 
-    schema = _with(source.drop("__text").schema, *ENCODED.fields)
+    schema = T.StructType(source.schema.fields[:-1] + ENCODED.fields)
     return source.mapInArrow(run, schema)
 
 
+def digests(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each row's tokens: their number, and digests of ids, decoded text and spans, in one pass.
+
+    (key, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256, covered_bytes: where
+    the last span ends, spans_sha256 of begins and then ends as little-endian 32-bit integers.)
+    """
+    source = docs.select(docs[key].alias(key), docs[text].cast("string").alias("__text"))
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes", "spans_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _model(model)
+        encoder, sha = Encoder(own), hashlib.sha256
+        for batch in batches:
+            rows = []
+            for flat, align, ids, lengths in encoder.tokens(texts_of(batch.column(1))):
+                begins, ends = encoder.spans(flat, align, lengths)
+                listed = ids.tolist()
+                decimal = ",".join(map(encoder.decimals.__getitem__, listed))
+                rows.append((len(ends), sha(decimal.encode()).hexdigest(), sha(own.decode(listed).encode()).hexdigest(), int(ends[-1]) if len(ends) else 0, sha(begins.tobytes() + ends.tobytes()).hexdigest()))
+            if rows:
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
+
+    kinds = ("long", "string", "string", "int", "string")
+    return source.mapInArrow(run, T.StructType([T.StructField(key, source.schema[0].dataType), *(T.StructField(n, T._parse_datatype_string(k)) for n, k in zip(names[1:], kinds, strict=True))]))
+
+
 def decode(encoded: DataFrame, model: bytes, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add the text that the ids stand for (null ids: an empty text)."""
     schema = _with(encoded.schema, T.StructField(into, T.StringType(), False))

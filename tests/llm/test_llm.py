@@ -430,10 +430,27 @@ def test_encoding_equals_the_library(docs, empty, model):
         want = library.encode(text)
         assert r["ids"] == want and r["decoded"] == library.decode(want)
         assert ([0, *r["ends"][:-1]] if want else []) == r["begins"] and (not want or r["ends"][-1] == len(text.encode()))
-    assert sentencepiece_codec.encode(empty, model).count() == 0
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    spans = {(r["doc_id"], r["text"]): np.array(r["begins"] + r["ends"], "<i4") for r in got}
+    want = []
+    for r in docs.collect():
+        ids, at = library.encode(r["text"] or ""), spans[r["doc_id"], r["text"]]
+        want.append((r["doc_id"], len(ids), sha(",".join(map(str, ids)).encode()), sha(library.decode(ids).encode()), int(at[-1]) if len(at) else 0, sha(at.tobytes())))
+    assert by_row(sentencepiece_codec.digests(docs, model), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes", "spans_sha256") == sorted(want, key=repr)
+    assert sentencepiece_codec.encode(empty, model).count() == 0 == sentencepiece_codec.digests(empty, model).count()
     assert sentencepiece_codec.encode(docs.withColumn("IDS", F.lit(1)), model).count() == docs.count()
 
 
+def test_a_small_memo_forgets_and_relearns(model, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "MEMO", 5)
+    monkeypatch.setattr(sentencepiece_codec, "GATHER", 30)
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    random.seed(2)
+    texts = [" ".join(random.choice(["able", "baker", "é🙂", "x" * 90, "日" * 70, "1,2.3"]) for _ in range(random.randint(0, 8))) for _ in range(60)]
+    got = sentencepiece_codec.Encoder(sentencepiece_codec.Model.parse(model)).tokens([t.encode() for t in texts])
+    assert [ids.tolist() for _, _, ids, _ in got] == [library.encode(t) for t in texts]
+
+
 def test_random_texts_encode_like_the_library(model):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     own = sentencepiece_codec.Model.parse(model)
@@ -441,7 +458,7 @@ def test_random_texts_encode_like_the_library(model):
     random.seed(6)
     for _ in range(800):
         text = "".join(random.choice(" ▁abé日🙂\n<>0x1the") for _ in range(random.randint(0, 50)))
-        ids = encoder.encode(text.encode(), False)[0]
+        ids = encoder.encode(text.encode())[0]
         assert ids == library.encode(text) and own.decode(ids) == library.decode(ids)
 
 
