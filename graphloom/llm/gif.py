@@ -3,16 +3,16 @@
 Decoding reads a stream's codes a table at a time. Between two clear codes the width of the n-th
 code depends on n alone, so all codes of a table are cut out of the bits at once. The entry that
 code n adds is the text of code n and one more sample, which is a stretch of what is being written,
-so each code is a copy from a known place of the output. Tables that hold single samples only, as
-writers of uncompressed streams leave them, are read many at a time.
+so each code is a copy from a known place of the output.
 
-``store`` writes such streams unless it is told to compress: one code a sample and a clear code
-before codes would widen. They take 9 bits a sample, and building and unrolling string tables in
-Python costs about 20 times the processor time (the figures are in the README).
+``store`` compresses a payload into timed frames, each twice as high as the one before, with shared and
+local palettes, transparency and every disposal in turn. The samples are palette places, so the payload
+is exact whatever colours, transparency and disposal make of the canvas.
 
 Defined results: null content gives no frames; a file that breaks off gives the frames and samples
-that are whole (missing samples are 0) and ``complete`` false; bytes that are no GIF give no frames;
-repeated rows are decoded alike. Payloads are stored whole: beyond one frame's 65,535 rows of 64
+that are whole (missing samples are 0) and ``complete`` false; so does a stream whose sample size is not 2
+to 8 bits, and a frame or canvas of more than ``MOST_PIXELS``, which is never allocated; bytes that are
+no GIF give no frames; a place beyond the palette is black; repeated rows are decoded alike. Payloads are stored whole: beyond one frame's 65,535 rows of 64
 samples they continue in further frames.
 """
 
@@ -34,7 +34,10 @@ from .common import texts_of
 TABLE = 4096
 WIDTH = 64
 MOST_ROWS = 65_535
+FIRST_ROWS = 32
 BINS = 8
+#: Pixels of a frame or canvas that a reader allocates at most (64 MB in RGBA).
+MOST_PIXELS = 1 << 24
 
 
 @functools.lru_cache(maxsize=64)
@@ -90,48 +93,11 @@ def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
     return stream.astype(np.uint8)[:-3].tobytes()
 
 
-def lzw_literals(samples: bytes) -> bytes:
-    """A code stream of 8-bit samples in which every code stands for one sample."""
-    most = 254  # codes after which the next would take ten bits
-    data = np.frombuffer(samples, np.uint8)
-    tables = -(-len(data) // most) or 1
-    codes = np.full(tables * (most + 1), 256, np.uint16)
-    grid = codes.reshape(tables, most + 1)
-    grid[:, 1:] = np.concatenate([data, np.zeros(tables * most - len(data), np.uint8)]).reshape(tables, most)
-    codes = codes[: len(data) + tables]
-    codes = np.concatenate([codes, [257], np.zeros(-(len(codes) + 1) % 8, np.int64)]).astype(np.uint16).reshape(-1, 8)
-    out = np.zeros((len(codes), 9), np.uint16)
-    for k in range(8):
-        out[:, k] |= (codes[:, k] << k) & 255
-        out[:, k + 1] |= codes[:, k] >> 8 - k
-    bits = 9 * (len(data) + tables + 1)
-    return out.astype(np.uint8).tobytes()[: bits + 7 >> 3]
-
-
-def _literals(stream: bytes, bits: int) -> tuple[bytes, int]:
-    """What the leading tables without string codes stand for, and at which bit they end."""
-    width, clear = bits + 1, 1 << bits
-    n = len(stream) * 8 // width
-    data = np.concatenate([np.frombuffer(stream, np.uint8), np.zeros(2, np.uint8)]).astype(np.uint32)
-    at = np.arange(n) * width
-    byte = at >> 3
-    codes = (data[byte] | data[byte + 1] << 8 | data[np.minimum(byte + 2, len(data) - 1)] << 16) >> (at & 7).astype(np.uint32) & np.uint32((2 << bits) - 1)
-    odd = np.flatnonzero(codes > clear)
-    clears = np.flatnonzero(codes[: odd[0] if len(odd) else n] == clear)
-    if not len(clears) or clears[0]:
-        return b"", 0
-    long = np.flatnonzero(np.diff(clears) > clear - 1)  # such a table has codes of more bits
-    end = int(clears[long[0]] if len(long) else clears[-1])
-    codes = codes[:end]
-    return codes[codes < clear].astype(np.uint8).tobytes(), end * width
-
-
 def lzw_decode(stream: bytes, bits: int, most: int) -> tuple[bytes, bool]:
     """At most ``most`` samples of a code stream, and whether it was whole."""
     clear, free = 1 << bits, (1 << bits) + 2
     data = np.concatenate([np.frombuffer(stream, np.uint8), np.zeros(4, np.uint8)]).astype(np.uint32)
-    lead, at = _literals(stream, bits)
-    span, out = len(stream) * 8, bytearray(lead)
+    at, span, out = 0, len(stream) * 8, bytearray()
     first_widths = _widths(free, TABLE - free + 2 + 1)
     while len(out) < most:
         # All codes that one table can hold; a full table goes on with 12 bits until it is cleared.
@@ -214,16 +180,20 @@ class Frame:
     transparent: int | None
 
 
-def write(frames: list[tuple[np.ndarray, int]], palette: np.ndarray, compress: bool = True) -> bytes:
-    """A GIF of 8-bit frames (rows x columns, delay in ms) that share one palette of 256 colours."""
-    height, width = max(f.shape[0] for f, _ in frames), max(f.shape[1] for f, _ in frames)
+def write(frames: list[Frame], palette: np.ndarray) -> bytes:
+    """A GIF of 8-bit frames; a palette other than the shared one (256 colours) is written with its frame."""
+    width = max(f.left + f.samples.shape[1] for f in frames)
+    height = max(f.top + f.samples.shape[0] for f in frames)
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette.astype(np.uint8).tobytes()]
-    for samples, delay in frames:
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 4, delay // 10, 0, 0))
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, samples.shape[1], samples.shape[0], 0) + b"\x08")
-        stream = (lzw_encode if compress else lzw_literals)(samples.tobytes())
-        out += [bytes([len(part)]) + part for part in (stream[i : i + 255] for i in range(0, len(stream), 255))]
-        out.append(b"\0")
+    for f in frames:
+        seen = f.transparent is not None
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", f.disposal << 2 | seen, f.delay_ms // 10, f.transparent if seen else 0, 0))
+        local = f.palette is not palette
+        out.append(b"\x2c" + struct.pack("<HHHHB", f.left, f.top, f.samples.shape[1], f.samples.shape[0], 0x87 if local else 0))
+        if local:
+            out.append(f.palette.astype(np.uint8).tobytes())
+        stream = lzw_encode(f.samples.tobytes())
+        out += [b"\x08", *(bytes([len(part)]) + part for part in (stream[i : i + 255] for i in range(0, len(stream), 255))), b"\0"]
     return b"".join([*out, b"\x3b"])
 
 
@@ -232,6 +202,8 @@ def read(content: bytes) -> tuple[tuple[int, int], list[Frame], bool]:
     if content[:6] not in (b"GIF87a", b"GIF89a") or len(content) < 13:
         return (0, 0), [], False
     width, height, flags = struct.unpack_from("<HHB", content, 6)
+    if width * height > MOST_PIXELS:
+        return (width, height), [], False
     at, shared = 13, np.zeros((0, 3), np.uint8)
 
     def palette(flags: int) -> np.ndarray:
@@ -276,7 +248,7 @@ def read(content: bytes) -> tuple[tuple[int, int], list[Frame], bool]:
             bits = content[at]
             at += 1
             stream, whole = blocks()
-            if not 1 <= bits <= 11:
+            if not 2 <= bits <= 8 or rows * columns > MOST_PIXELS:
                 return (width, height), frames, False
             data, all_there = lzw_decode(stream, bits, rows * columns)
             grid = np.frombuffer(data.ljust(rows * columns, b"\0"), np.uint8).reshape(rows, columns)
@@ -346,14 +318,22 @@ def decode_frames(media: DataFrame, key: str, content: str = "content") -> DataF
 
 
 ARROW = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), *(pa.list_(pa.int64()),) * 3]
-#: Place i is a grey of brightness i, so samples can be read back from colours as well.
+#: Place i is a grey of brightness i in the shared palette and of brightness 255 - i in the local one.
 GREYS = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, 1)
+NEGATIVE = GREYS[::-1].copy()
 
 
-def store(payload: bytes, compress: bool = False) -> bytes:
-    """A GIF whose samples are the payload (a positive multiple of 64 bytes), 100 ms a frame."""
+def store(payload: bytes) -> bytes:
+    """A GIF whose samples are the payload (a positive multiple of 64 bytes), 100 to 300 ms a frame."""
     grid = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    return write([(grid[i : i + MOST_ROWS], 100) for i in range(0, len(grid), MOST_ROWS)], GREYS, compress)
+    frames: list[Frame] = []
+    at, rows = 0, FIRST_ROWS
+    while at < len(grid):
+        k = len(frames)
+        frames.append(Frame(grid[at : at + rows], NEGATIVE if k % 2 else GREYS, 0, 0, 100 + k % 3 * 100, k % 3 + 1, 0 if k else None))
+        at += rows
+        rows = min(2 * rows, MOST_ROWS)
+    return write(frames, GREYS)
 
 
 def stored_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,7 +341,7 @@ def stored_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature):
     the payload is the text's UTF-8 and zeros up to a positive multiple of 64 bytes; the feature has
-    the number of frames, their time and size, and the brightness histogram of all frames shown.
+    the number of frames, their time and size, and the brightness histogram of all canvases shown.
     """
     source = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
