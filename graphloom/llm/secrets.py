@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns and a randomness test battery, in built-in functions only.
 
 Patterns: splitting a text at a pattern gives the gaps, extracting it gives the matches, and running
-sums of both lengths give code-point positions. Battery: every run of 16 or more letters, digits and
+sums of both lengths give code-point positions. Running sums and extrema of an array of n are made by
+doubling steps, so a text of n runs costs n log n. Battery: every run of 16 or more letters, digits and
 ``+/_=-`` gets the encoding its symbols infer (see ``ENCODINGS``), and three p-values
 under uniformly random symbols: a chi-squared test of the alphabet, the runs test about the
 alphabet's middle, and lag-one serial correlation; three times the least of them, at most 1, is its
@@ -23,6 +24,7 @@ named like the result is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,20 +48,35 @@ BIN = 20
 SPAN = "array<struct<start:int,end:int,text:string,own:int>>"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def scan(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative ``step`` over an array: a step of width 1, 2, 4, ... combines all neighbours."""
+
+    def widened(acc: Column, width: Column) -> Column:
+        return F.transform(acc, lambda x, i: F.when(i >= width, step(F.get(acc, i - width), x)).otherwise(x))
+
+    def run(own: Column) -> Column:
+        widths = F.filter(F.array(*[F.lit(1 << k) for k in range(30)]), lambda w: w < F.size(own))
+        return F.aggregate(widths, own, widened)
+
+    return _let(values, lambda own: F.when(F.size(own) > 1, run(own)).otherwise(own))
+
+
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Array of (start, end, text, own): code-point spans, the match, and the length of its group."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    own = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    each = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), own.alias("own"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text"), F.length(x["own"]).alias("own")))).alias("out"))
+    def placed(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        ends = scan(F.zip_with(gaps, hits, lambda gap, hit: F.length(gap) + F.length(hit)), lambda x, y: x + y)
+        own = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
+        each = F.arrays_zip(ends.alias("end"), hits.alias("hit"), own.alias("own"))
+        return F.transform(each, lambda x: F.struct((x["end"] - F.length(x["hit"])).alias("start"), x["end"].alias("end"), x["hit"].alias("text"), F.length(x["own"]).alias("own")))
 
-    none = F.from_json(F.lit("[]"), SPAN)
-    spans = F.aggregate(each, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    return F.when(text.rlike(pattern), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(F.from_json(F.lit("[]"), SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -156,14 +173,33 @@ def find(docs: DataFrame, text: str = "text", level: float = 0.05, bits: float =
     bounds = limits(docs, text, level)
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
     table = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]) if bounds else None
-    out = docs.withColumn("__base", base_spans(body))
 
-    def random(x: Column) -> Column:
+    def irregular(x: Column) -> Column:
         regular = F.lit(False) if table is None else x["bin"] >= F.coalesce(F.try_element_at(table, F.concat_ws(":", x["encoding"], x["class"])), F.lit(1 << 30))
-        return ~regular & (x["bits"] >= bits) & ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        return ~regular & (x["bits"] >= bits)
+
+    runs = F.transform(F.filter(tested(body), irregular), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("rank"), x["end"].alias("end")))
+    found = _let(base_spans(body), lambda base: _let(runs, lambda own: F.when((F.size(base) > 0) & (F.size(own) > 0), _merged(base, own)).otherwise(F.concat(base, own))))
+    return docs.withColumn(into, found)
 
-    added = F.transform(F.filter(tested(body), random), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("rank"), x["end"].alias("end")))
-    return out.withColumn(into, F.array_sort(F.concat("__base", added))).drop("__base")
+
+def _merged(base: Column, runs: Column) -> Column:
+    """Base spans and the runs that overlap none of them, in order.
+
+    In the order of starts, a run overlaps a base span before it if the greatest end so far is beyond
+    its start, and one behind it if the least start from there on is before its end.
+    """
+    far = F.lit((1 << 31) - 1)
+    is_base = lambda s: s["rank"] < 3
+
+    def sifted(spans: Column) -> Column:
+        reach = scan(F.transform(spans, lambda s: F.when(is_base(s), s["end"]).otherwise(0)), F.greatest)
+        behind = F.reverse(scan(F.reverse(F.transform(spans, lambda s: F.when(is_base(s), s["start"]).otherwise(far))), F.least))
+        each = F.arrays_zip(spans.alias("span"), reach.alias("reach"), behind.alias("behind"))
+        free = F.filter(each, lambda x: is_base(x["span"]) | ((x["reach"] <= x["span"]["start"]) & (x["behind"] >= x["span"]["end"])))
+        return F.transform(free, lambda x: x["span"])
+
+    return _let(F.array_sort(F.concat(base, runs)), sifted)
 
 
 def listed(spans: Column) -> Column:
@@ -173,11 +209,20 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each stretch that spans cover replaced by ``mark``."""
+    """The text with each stretch that spans (in order of starts) cover replaced by ``mark``; spans that touch get a mark each."""
+
+    def pieces(spans: Column, characters: Column, before: Column) -> Column:
+        cut = lambda low, n: F.array_join(F.slice(characters, low + 1, n), "")
+
+        def piece(s: Column, i: Column) -> Column:
+            at = F.get(before, i)
+            return F.when(s["start"] < at, F.lit("")).otherwise(F.concat(cut(at, s["start"] - at), F.lit(mark)))
+
+        tail = F.element_at(before, -1)
+        return F.concat(F.array_join(F.transform(spans, piece), ""), cut(tail, F.size(characters) - tail))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+    def reach(own: Column) -> Column:  # the greatest end before each span and before the tail
+        return F.concat(F.array(F.lit(0)), scan(F.transform(own, lambda s: s["end"]), F.greatest))
 
-    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    characters = F.split(text, "")
+    return F.when(F.size(spans) > 0, _let(spans, lambda own: _let(characters, lambda c: _let(reach(own), lambda r: pieces(own, c, r))))).otherwise(text)

@@ -593,6 +593,58 @@ def test_battery_reads_every_encoding(spark):
     assert not any(found[len(tokens) + i] for i in range(len(dull)))
 
 
+def test_many_runs_in_one_text(spark):
+    """Positions, overlaps and masks of thousands of runs equal those of plain Python."""
+    rng = random.Random(7)
+    parts = []
+    for _ in range(3000):
+        kind = rng.randrange(4)
+        run = "".join(rng.choice(secrets.BASE64[:-2]) for _ in range(rng.randint(30, 50)))
+        parts.append(["é🙂 words", "token=" + run, "".join(rng.choice(secrets.HEX) for _ in range(20)), run][kind])
+    text = " ".join(parts)
+    row = secrets.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).withColumn("masked", secrets.redacted(F.col("text"), F.col("spans"))).first()
+    spans = [tuple(s) for s in row["spans"]]
+    base = base_of(text)
+    assert [s for s in spans if s[1] < 3] == base and spans == sorted(spans)
+    added = [s for s in spans if s[1] == 3]
+    assert len(added) > 500 and not any(a < d and c < b for a, _, b in added for c, _, d in base)
+    masked, at = "", 0
+    for start, _, end in spans:
+        if start >= at:
+            masked += text[at:start] + "[SECRET]"
+        at = max(at, end)
+    assert row["masked"] == masked + text[at:]
+
+
+def test_battery_against_plain_python(spark):
+    """Encoding, class, bin and bits of each run from the tests' definitions."""
+    rng = random.Random(8)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    of = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    cases = [("base64", secrets.BASE64, "aB1" + of(secrets.BASE64[:-2], rng.randint(20, 90))) for _ in range(60)]
+    cases += [("hex", secrets.HEX, "a1" + of(secrets.HEX, rng.randint(20, 90))) for _ in range(60)] + [("base64", secrets.BASE64, "aB1" * k) for k in range(6, 30)]
+    got = spark.createDataFrame([(i, c[2]) for i, c in enumerate(cases)], "i int, text string").select("i", F.col("text"), secrets.tested(F.col("text")).alias("r")).collect()
+    for r in got:
+        kind, alphabet, text = cases[r["i"]]
+        ((start, end, encoding, size_class, bin_, bits),) = (tuple(x) for x in r["r"])
+        assert (start, end, encoding) == (0, len(text), kind)
+        v, k, n = [alphabet.index(c) for c in text], len(alphabet), len(text)
+        assert size_class == math.floor(math.log2(n) * 2) and abs(bits - n * math.log2(k)) < 1e-6
+        chi, free = k / n * sum(v.count(x) ** 2 for x in set(v)) - n, k - 1
+        p_chi = tail((max(chi, 0) / free) ** (1 / 3) / math.sqrt(2 / (9 * free)) - (1 - 2 / (9 * free)) / math.sqrt(2 / (9 * free)))
+        high = [x >= k / 2 for x in v]
+        up = sum(high)
+        mean = 2 * up * (n - up) / n + 1
+        spread = (mean - 1) * (mean - 2) / (n - 1)
+        p_runs = 2 * tail(abs(1 + sum(a != b for a, b in zip(high, high[1:])) - mean) / math.sqrt(spread)) if spread > 0 else 0.0
+        centre = sum(v) / n
+        power = sum((x - centre) ** 2 for x in v)
+        lag = sum((a - centre) * (b - centre) for a, b in zip(v, v[1:]))
+        p_serial = 2 * tail(abs(lag / power + 1 / n) * math.sqrt(n)) if power else 0.0
+        p = min(1.0, 3 * min(p_chi, p_runs, p_serial))
+        assert abs(min(-math.log10(max(p, 1e-20)) * secrets.BIN, 20 * secrets.BIN) - bin_) < 1.2 or p < 1e-6
+
+
 def test_scan_without_rows(empty):
     assert secrets.find(empty).count() == 0
 
