@@ -49,8 +49,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Texts that a task hashes at once.
 CHUNK = 200
-#: Least bits of a sketch; larger sets have two bits a member, rounded up to a power of two.
-BITS = 1024
+#: Least bits of a sketch; larger sets have one bit a member, rounded up to a power of two.
+BITS = 512
 #: Sets of a list from which on it is crowded.
 CROWD = 64
 #: Ids that are shipped to the tasks as a filter; beyond that they are joined.
@@ -153,7 +153,7 @@ def sketch(members: np.ndarray) -> np.ndarray:
 
     A longer sketch folds to half its length by the exclusive or of its halves.
     """
-    bits = max(BITS, 1 << (2 * len(members) - 1).bit_length())
+    bits = max(BITS, 1 << (len(members) - 1).bit_length())
     odd = np.bincount((mix64(members) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -310,9 +310,10 @@ def components(docs: DataFrame, make: Maker, percent: int, doc_id: str = "doc_id
 
     # Lists whose sets are not all connected yet: derive the missing answers from the leader's where
     # both sets have one, and compare the few others themselves.
-    named = lists.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component")
+    # (Leaders have been compared with all of their lists, so a list needs two other sets in two parts.)
+    named = lists.filter("sid <> leader").join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component")
     split = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("met")).filter("low <> high").select("key", "met")
-    open_lists = settle(named.join(split, "key").filter("sid <> leader").join(info.select("sid", "size"), "sid"))
+    open_lists = settle(named.join(split, "key").join(info.select("sid", "size"), "sid"))
     family = F.col("key").bitwiseAND(F.lit(63))
     crowded = open_lists.filter(F.col("met") > CROWD).groupBy("sid", family.alias("family")).agg(F.count(F.lit(1)).alias("crowds"), F.first("size").alias("size"))
     largest = F.least(F.element_at(F.array(*[F.lit(STARTS[f + 1] - 1) for f in range(64)]), F.col("family").cast("int") + 1), F.floor(F.col("size") * 100 / percent))

@@ -257,9 +257,9 @@ def test_sketches_fold():
     rng = np.random.default_rng(5)
     a, b = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (700, 500))
     long, short = ngram_join.sketch(a), ngram_join.sketch(b)
-    assert (len(long), len(short)) == (32, 16)
+    assert (len(long), len(short)) == (16, 8)
     count = lambda x: sum(int(v).bit_count() for v in x.view(np.uint64))
-    assert count((long[:16] ^ long[16:]) ^ short) <= len(np.setxor1d(a, b))
+    assert count((long[:8] ^ long[8:]) ^ short) <= len(np.setxor1d(a, b))
 
 
 def test_blocks_of_linked_sets_meet():
