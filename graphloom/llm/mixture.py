@@ -15,7 +15,8 @@ is a hash or a seeded draw.
 
 Defined results: null texts have size 0; a null source is a source of its own and sorts last; sources
 without words get target 0; rows without words have no draws, except with ``whole``, where they are drawn
-like any other row of their source (never of a source with target 0); repeated rows are separate rows; an empty table gives no rows; all other
+like any other row of their source (never of a source with target 0); repeated rows are separate rows, and
+rows whose hashes tie are ordered by a hash of all their columns (columns must not be maps); an empty table gives no rows; all other
 columns are carried along, the result being one struct column ``into``.
 """
 
@@ -110,8 +111,8 @@ def mix(
     ends = np.cumsum(split_quotas(quotas, shards, seed), axis=1).tolist()
     cuts = spark.createDataFrame([(r[0], drawn[r[0]][0], e) for r, e in zip(rows, ends, strict=True)], "c_source string, source_blocks long, ends array<long>")
 
-    within = Window.partitionBy("source", "block").orderBy("hash").rowsBetween(Window.unboundedPreceding, 0)
-    lined = dealt.drop("rest_").withColumn("upto", F.sum("size").over(within))
+    within = Window.partitionBy("source", "block").orderBy("hash", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    lined = dealt.withColumn("tie", F.xxhash64("row")).withColumn("upto", F.sum("size").over(within))
     lined = lined.join(placed.drop("rest"), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b"))).join(small(cuts), F.col("source").eqNullSafe(F.col("c_source")))
     room = F.col("rest") - (F.col("block_at") + F.col("upto") - F.col("size"))
     inside = (room > 0) & (2 * room >= F.col("size"))

@@ -14,7 +14,7 @@ Every document is scored, whole. The model is a few hundred words, so it travels
 
 Defined results: null and empty texts have the models' base rates; a document whose label rows
 disagree counts as positive in a category if one says so; null labels and labels of unknown documents
-are left out; without any labelled document nothing is toxic and all probabilities are 0; repeated
+are left out; of rows that share an id the least text is learned from; without any labelled document nothing is toxic and all probabilities are 0; repeated
 rows score alike; other columns are carried along, except that columns named like results are replaced.
 """
 
@@ -112,9 +112,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc
     marked = marked.groupBy("id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(names))])
     picked = marked.join(docs.select(docs[doc_id].alias("id")).dropna().distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)
     picked = docs.sparkSession.createDataFrame(picked.collect(), picked.schema)
-    rows = docs.select(docs[doc_id].alias("id"), docs[text].cast("string").alias("text")).join(F.broadcast(picked), "id")
-
     marks = [f"y{k}" for k in range(len(names))]
+    rows = docs.select(docs[doc_id].alias("id"), docs[text].cast("string").alias("text")).join(F.broadcast(picked), "id")
+    rows = rows.groupBy("id", *marks).agg(F.min("text").alias("text"))  # one row an id, whatever repeats
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,8 +158,8 @@ def classify(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frozenset(chain.slots)
         for batch in batches:
-            p = [chain.probabilities(known.intersection(WORDS.findall(t.lower()))) if t else chain.probabilities(set()) for t in batch.column("__text").to_pylist()]
+            p = [chain.probabilities(known.intersection(WORDS.findall(t.lower()))) if t else chain.probabilities(set()) for t in batch.column(len(kept)).to_pylist()]
             columns = [pa.array([row[k] for row in p], pa.float64()) for k in range(len(chain.categories))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns, pa.array([row[-1] >= chain.threshold for row in p], pa.bool_())], names=[*kept, *added])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *columns, pa.array([row[-1] >= chain.threshold for row in p], pa.bool_())], names=[*kept, *added])
 
     return source.mapInArrow(run, schema)
