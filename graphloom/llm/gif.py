@@ -53,15 +53,11 @@ def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
     clear = 1 << bits
     codes: list[list[int]] = [[]]
     out, table, free = codes[0], {}, clear + 2
-    at = -1
-    for sample in samples:
-        if at < 0:
-            at = sample
-            continue
+    at = samples[0] if samples else -1
+    for sample in samples[1:]:
         pair = at << 8 | sample
-        known = table.get(pair)
-        if known is not None:
-            at = known
+        if pair in table:
+            at = table[pair]
             continue
         out.append(at)
         at = sample
@@ -102,7 +98,7 @@ def lzw_decode(stream: bytes, bits: int, most: int) -> tuple[bytes, bool]:
     while len(out) < most:
         # All codes that one table can hold; a full table goes on with 12 bits until it is cleared.
         n = len(first_widths) if at + 9 * len(first_widths) <= span + 9 * TABLE else TABLE
-        widths = first_widths[:n]
+        widths = first_widths[: min(n, (span - at) // (bits + 1) + 1)]  # no code is shorter
         ends = np.cumsum(widths) + at
         here = ends - widths
         use = int(np.searchsorted(ends, span, "right"))
