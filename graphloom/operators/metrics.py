@@ -132,11 +132,14 @@ def external_importers(dependencies: DataFrame) -> DataFrame:
     return dependencies.groupBy("specifier").agg(F.count_distinct("source").alias("importers"))
 
 
-def outbound(edges: DataFrame, inside: DataFrame) -> DataFrame:
-    """(source, targets): what each inside node reaches outside, sorted."""
-    ids = inside.select("id").distinct()
-    out = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_anti")
-    return out.groupBy("source").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+def outbound(edges: DataFrame, home: DataFrame, group: str) -> DataFrame:
+    """(group, source, targets): what each node of a group links to outside that group, sorted.
+
+    ``home``: (id, group), one row an id; targets without a group are outside of every group.
+    """
+    a, b = home.select(F.col("id").alias("source"), F.col(group).alias("own")), home.select(F.col("id").alias("target"), F.col(group).alias("other"))
+    out = edges.join(a, "source").join(b, "target", "left").filter(~F.col("own").eqNullSafe(F.col("other")))
+    return out.groupBy(F.col("own").alias(group), "source").agg(F.array_sort(F.collect_set("target")).alias("targets"))
 
 
 def realised_rate(edges: DataFrame, adjacent: DataFrame) -> DataFrame:

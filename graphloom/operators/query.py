@@ -63,24 +63,45 @@ def find(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return scored.orderBy(F.desc("score"), F.length("label"), "id").limit(limit)
 
 
-def palette_score(label: Column, node: Column, query: str) -> Column:
-    """1000 exact, 800 prefix, 600 substring, 400 scattered plus up to 150 for hits at word starts; ids up to 390."""
+def _match_score(text: Column, query: str) -> Column:
+    """1000 exact, 800 prefix, 600 substring, 400 scattered plus 40 (at most 150) for each letter found at a word start; else null.
+
+    Scattered letters are taken at their next place each. A word starts at the first letter, after what is
+    neither letter nor digit, and at a capital after a small letter or digit.
+    """
     q = query.lower()
-    low = F.lower(label)
-    starts = F.regexp_replace(F.regexp_replace(label, r"([a-z0-9])([A-Z])", "$1 $2"), r"[^A-Za-z0-9]+", " ")
-    initials = F.lower(F.regexp_replace(starts, r"(\S)\S*\s*", "$1"))
-    hits = F.aggregate(F.split(F.lit(q), ""), F.struct(F.lit(0).alias("n"), initials.alias("rest")), lambda acc, c: F.when((c != "") & (F.instr(acc["rest"], c) > 0), F.struct((acc["n"] + 1).alias("n"), F.substring(acc["rest"], F.instr(acc["rest"], c) + 1, F.length(acc["rest"])).alias("rest"))).otherwise(acc), lambda acc: acc["n"])
-    loose = ".*".join(re.escape(c) for c in q)
-    own = F.when(low == q, 1000).when(low.startswith(q), 800).when(F.instr(low, q) > 0, 600).when(low.rlike(loose), 400 + F.least(F.lit(150), 40 * hits)).otherwise(0)
-    ids = F.lower(node)
-    by_id = F.when(ids == q, 1000).when(ids.startswith(q), 800).when(F.instr(ids, q) > 0, 600).when(ids.rlike(loose), 400).otherwise(0) / 1000 * 390
-    return F.when(own > 0, own).otherwise(by_id)
+    low = F.lower(text)
+
+    def starts(at: Column) -> Column:
+        before, here = F.substring(text, at - 1, F.lit(1)), F.substring(text, at, F.lit(1))
+        return (at == 1) | ~before.rlike("[A-Za-z0-9]") | (here.rlike("[A-Z]") & before.rlike("[a-z0-9]"))
+
+    def step(state: Column, letter: Column) -> Column:
+        """Places count from 1; 0 before the first letter, -1 once a letter is missing."""
+        place = F.when(state["at"] >= 0, F.position(letter, low, state["at"] + 1)).otherwise(0)
+        at = F.when(place > 0, place).otherwise(-1)
+        return F.struct(at.cast("int").alias("at"), (state["hits"] + F.when((place > 0) & starts(place), 1).otherwise(0)).cast("int").alias("hits"))
+
+    walk = F.aggregate(F.array(*[F.lit(c) for c in q]), F.struct(F.lit(0).alias("at"), F.lit(0).alias("hits")), step)
+    scattered = F.when(walk["at"] > 0, 400 + F.least(F.lit(150), 40 * walk["hits"]))
+    return F.when(low == q, 1000).when(low.startswith(q), 800).when(F.instr(low, q) > 0, 600).otherwise(scattered)
+
+
+def palette_score(label: Column, node: Column, query: str) -> Column:
+    """The label's match; where it has none, 0.39 of the id's; null where neither fits."""
+    return F.coalesce(_match_score(label, query).cast("double"), _match_score(node, query) / 1000 * 390)
 
 
 def palette(nodes: DataFrame, query: str, limit: int = 12) -> DataFrame:
-    kinds = ("service", "module", "directory", "file", "class", "symbol", "block")
-    rank = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
-    scored = nodes.select("id", "label", "kind", palette_score(F.col("label"), F.col("id"), query).alias("score")).filter("score > 0")
+    """(id, label, kind, score): best first, ties by shorter label, by kind (leaves before what holds them), by id.
+
+    The query is trimmed; an empty one finds nothing. Unknown kinds come last.
+    """
+    wanted = query.strip()
+    kind = F.col("kind")
+    rank = F.when(kind.isin("symbol", "block"), 0).when(kind.isin("class", "file"), 1).when(kind == "directory", 2).when(kind == "module", 3).when(kind == "service", 4).otherwise(9)
+    score = palette_score(F.col("label"), F.col("id"), wanted) if wanted else F.lit(None).cast("double")
+    scored = nodes.select("id", "label", "kind", score.alias("score")).filter("score is not null")
     return scored.orderBy(F.desc("score"), F.length("label"), rank, "id").limit(limit)
 
 

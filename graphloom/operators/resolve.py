@@ -123,7 +123,7 @@ def tested_subjects(tests: DataFrame, sources: DataFrame, edges: DataFrame) -> D
 
     ``edges``: (source, target, ord) with one row an import; ties go to the first seen.
     """
-    pattern = r"\.(test|spec)(?=\.[^./]+$)|_test(?=\.[^./]+$)|_wbtest(?=\.[^./]+$)"
+    pattern = r"\.(test|spec)(?=\.[cm]?[jt]sx?$)|_test(?=\.go$)|_(test|wbtest)(?=\.mbt$)"
     named = tests.select(F.col("id").alias("test"), F.regexp_replace("id", pattern, "").alias("id")).join(sources.select("id"), "id").select("test", F.col("id").alias("by_name"))
     used = edges.join(tests.select(F.col("id").alias("source")), "source", "left_semi").join(sources.select(F.col("id").alias("target")), "target", "left_semi")
     counted = used.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))

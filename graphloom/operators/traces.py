@@ -48,10 +48,10 @@ def folded_stacks(lines: DataFrame, text: str = "line") -> tuple[DataFrame, Data
     return nodes.groupBy("name").agg(F.sum("own").alias("self_samples")), edges
 
 
-def comet(steps: DataFrame, at: int, trail: int = TRAIL, decay: float = DECAY) -> DataFrame:
-    """(symbol_id, heat): the last ``trail`` steps up to step ``at``, fading by age."""
+def comet(steps: DataFrame, at: int, trail: int = TRAIL, decay: float = DECAY, plane: str = "plane") -> DataFrame:
+    """(plane, symbol_id, heat): in every plane the last ``trail`` steps up to step ``at``, fading by age."""
     age = F.lit(at) - F.col("step")
-    return steps.filter(F.col("step").between(at - trail, at)).groupBy("symbol_id").agg(F.max(F.pow(F.lit(decay), age)).alias("heat"))
+    return steps.filter(F.col("step").between(at - trail, at)).groupBy(plane, "symbol_id").agg(F.max(F.pow(F.lit(decay), age)).alias("heat"))
 
 
 def transitions(steps: DataFrame, plane: str = "plane") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import ids, text
 from graphloom.operators import diff, graph, layout, metrics, project, query, resolve, services, traces
-from graphloom.plans.fixture import GRAPH_SQL, SNAP_SQL, SYMBOLS_SQL, TOP_SQL, Fixture
+from graphloom.plans.fixture import FILES_SQL, GRAPH_SQL, SNAP_SQL, SYMBOLS_SQL, TOP_SQL, Fixture
 from graphloom.sources import artifacts, git, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,10 +178,10 @@ def folded_edges(t: Fixture) -> DataFrame:
     return metrics.fold_symbol_edges(t.edges(), ids.scope_of(F.col("source")), ids.scope_of(F.col("target")))
 
 
-@register(f"WITH {GRAPH_SQL}, first AS (SELECT min(scope) AS s FROM files), x AS (SELECT source, target FROM e JOIN files a ON a.id = source JOIN files b ON b.id = target, first WHERE a.scope = s AND b.scope <> s) SELECT source, string_agg(DISTINCT target, ',' ORDER BY target) AS targets FROM x GROUP BY source")
+@register(f"WITH {GRAPH_SQL}, x AS (SELECT a.scope AS scope, source, target FROM e JOIN files a ON a.id = source JOIN files b ON b.id = target WHERE a.scope <> b.scope) SELECT scope, source, string_agg(DISTINCT target, ',' ORDER BY target) AS targets FROM x GROUP BY scope, source")
 def outbound_links(t: Fixture) -> DataFrame:
-    first = t.files().agg(F.min("scope").alias("scope"))
-    return metrics.outbound(t.edges(), t.files().join(F.broadcast(first), "scope")).select("source", F.array_join("targets", ",").alias("targets"))
+    home = t.files().select("id", "scope")
+    return metrics.outbound(t.edges(), home, "scope").select("scope", "source", F.array_join("targets", ",").alias("targets"))
 
 
 # Lens, find, describe
@@ -205,9 +205,19 @@ def find_ranked(t: Fixture) -> DataFrame:
     return query.find(t.files(), "P1").withColumn("score", F.col("score").cast("int"))
 
 
-@register()
+def _scattered_sql(name: str, text: str, letters: str) -> str:
+    """CTEs that end in ``name`` (id, score): a letter at a time, the next place of each and whether a word starts there."""
+    steps = [f"{name}0 AS (SELECT id, {text} AS o, lower({text}) AS low, 0 AS pos, 0 AS hits FROM files)"]
+    for i, letter in enumerate(letters):
+        steps.append(f"{name}{i}x AS (SELECT id, o, low, hits, CASE WHEN strpos(substr(low, pos + 1), '{letter}') > 0 THEN pos + strpos(substr(low, pos + 1), '{letter}') END AS pos FROM {name}{i})")
+        steps.append(f"{name}{i + 1} AS (SELECT id, o, low, pos, hits + CASE WHEN pos = 1 OR NOT regexp_matches(substr(o, pos - 1, 1), '[A-Za-z0-9]') OR (regexp_matches(substr(o, pos, 1), '[A-Z]') AND regexp_matches(substr(o, pos - 1, 1), '[a-z0-9]')) THEN 1 ELSE 0 END AS hits FROM {name}{i}x)")
+    score = f"CASE WHEN low = '{letters}' THEN 1000 WHEN starts_with(low, '{letters}') THEN 800 WHEN contains(low, '{letters}') THEN 600 WHEN pos IS NOT NULL THEN 400 + least(150, 40 * hits) END"
+    return ", ".join([*steps, f"{name} AS (SELECT id, {score} AS score FROM {name}{len(letters)})"])
+
+
+@register(f"WITH {FILES_SQL}, {_scattered_sql('l', "split_part(id, '/', 3)", 'p12')}, {_scattered_sql('n', 'id', 'p12')}, s AS (SELECT id, split_part(id, '/', 3) AS label, 'file' AS kind, coalesce(CAST(l.score AS DOUBLE), CAST(n.score AS DOUBLE) / 1000 * 390) AS score FROM l JOIN n USING (id)) SELECT * FROM s WHERE score IS NOT NULL ORDER BY score DESC, length(label), id LIMIT 12")
 def palette_search(t: Fixture) -> DataFrame:
-    return query.palette(t.files(), "p12")
+    return query.palette(t.files(), " P12")
 
 
 @register(f"WITH {GRAPH_SQL} SELECT id, loc, (SELECT count(*) FROM e WHERE target = files.id) AS in_degree, (SELECT count(*) FROM e WHERE source = files.id) AS out_degree FROM files")
@@ -258,9 +268,9 @@ def symbol_cells(t: Fixture) -> DataFrame:
     return project.symbol_cells(t.files().select(F.col("id").alias("path"), "loc"), t.symbols()).select("id", "file", "loc", "exported")
 
 
-@register(f"WITH {GRAPH_SQL}, {SYMBOLS_SQL}, x AS (SELECT path, min(symbol_id) AS id, count(*) AS n FROM symbols WHERE exported GROUP BY path) SELECT DISTINCT a.id AS source, b.id AS target FROM e JOIN x a ON a.path = source AND a.n = 1 JOIN x b ON b.path = target AND b.n = 1")
+@register(f"WITH {GRAPH_SQL}, {SYMBOLS_SQL}, x AS (SELECT path, min(symbol_id) AS id, count(*) AS n FROM symbols WHERE ord % 29 = 0 GROUP BY path) SELECT DISTINCT a.id AS source, b.id AS target FROM e JOIN x a ON a.path = source AND a.n = 1 JOIN x b ON b.path = target AND b.n = 1")
 def api_edges(t: Fixture) -> DataFrame:
-    return project.api_graph(t.symbols().select(F.col("symbol_id").alias("id"), F.col("path").alias("file"), "exported"), t.edges())[1]
+    return project.api_graph(t.symbols().select(F.col("symbol_id").alias("id"), F.col("path").alias("file"), (F.col("ord") % 29 == 0).alias("exported")), t.edges())[1]
 
 
 @register(f"WITH {GRAPH_SQL} SELECT DISTINCT target AS id FROM e JOIN files a ON a.id = source JOIN files b ON b.id = target WHERE a.module <> b.module")
@@ -321,10 +331,10 @@ def reference_edges(t: Fixture) -> DataFrame:
     return resolve.reference_edges(refs, t.symbols())
 
 
-@register(f"WITH {GRAPH_SQL}, d AS (SELECT DISTINCT module, k % 2 AS odd FROM files) SELECT DISTINCT f.id AS source, g.id AS target FROM files f JOIN files g ON g.module = f.module WHERE f.loc >= 49 AND f.id <> g.id")
+@register(f"WITH {GRAPH_SQL}, d AS (SELECT DISTINCT module, k % 2 AS odd FROM files) SELECT DISTINCT f.id AS source, g.id AS target FROM files f JOIN files g ON g.module = f.module WHERE f.id <> g.id")
 def package_imports(t: Fixture) -> DataFrame:
     files = t.files()
-    wanted = files.filter("loc >= 49").select(F.col("id").alias("source"), F.concat(F.lit("pkg:"), "module").alias("spec"))
+    wanted = files.select(F.col("id").alias("source"), F.concat(F.lit("pkg:"), "module").alias("spec"))
     packages = files.select(F.concat(F.lit("pkg:"), "module").alias("spec"), F.col("module").alias("dir")).distinct()
     return resolve.package_directory_edges(wanted, packages, files.select(F.col("id").alias("path"))).select("source", "target")
 
@@ -445,11 +455,9 @@ def timeline_transitions(t: Fixture) -> DataFrame:
     return traces.transitions(traces.timeline(t.samples()))
 
 
-@register(f"WITH {TIMELINE} SELECT symbol_id, CAST(round(max(pow(0.85, 30 - step)) * 1000000) AS BIGINT) AS heat FROM steps WHERE plane = (SELECT min(user_id) FROM events) AND step BETWEEN 6 AND 30 GROUP BY symbol_id")
+@register(f"WITH {TIMELINE} SELECT plane, symbol_id, CAST(round(max(pow(0.85, 30 - step)) * 1000000) AS BIGINT) AS heat FROM steps WHERE step BETWEEN 6 AND 30 GROUP BY plane, symbol_id")
 def comet_frame(t: Fixture) -> DataFrame:
-    first = t.table("events").agg(F.min("user_id").alias("plane"))
-    steps = traces.timeline(t.samples().join(F.broadcast(first), "plane"))
-    return traces.comet(steps, 30).select("symbol_id", F.round(F.col("heat") * 1000000).cast("long").alias("heat"))
+    return traces.comet(traces.timeline(t.samples()), 30).select("plane", "symbol_id", F.round(F.col("heat") * 1000000).cast("long").alias("heat"))
 
 
 @register("WITH s AS (SELECT event_type AS symbol_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS weight FROM events WHERE event_type <> 'error' GROUP BY 1) SELECT symbol_id, weight, CAST(round(weight * 10000.0 / (SELECT max(weight) FROM s)) AS BIGINT) AS heat FROM s")
@@ -535,30 +543,40 @@ def line_counts(t: Fixture) -> DataFrame:
     return t.table("documents").select("doc_id", text.count_loc(F.col("text")).alias("loc"), text.raw_lines(F.regexp_replace("text", r"\r\n?", "\n")).alias("raw"))
 
 
-PORCELAIN = " M src/a.ts\nMM src/b.ts\n?? src/new.ts\nA  src/c.ts\n D src/d.ts\nR  src/old.ts -> src/moved.ts\n"
+def _order_text(t: Fixture, *lines: str) -> DataFrame:
+    """One row an order: the lines, each a SQL expression of the order's key ``k`` as text and ``n`` as number."""
+    own = t.table("orders").select(F.col("o_orderkey").alias("n"), F.col("o_orderkey").cast("string").alias("k"))
+    return own.select(F.concat_ws("\n", *[F.expr(line) for line in lines], F.lit("")).alias("text"))
+
 
+KEYS_SQL = "o AS (SELECT o_orderkey AS n, CAST(o_orderkey AS VARCHAR) AS k FROM orders)"
 
-@register("SELECT * FROM (VALUES ('src/a.ts', 'modified'), ('src/b.ts', 'modified'), ('src/new.ts', 'added'), ('src/c.ts', 'added'), ('src/d.ts', 'removed'), ('src/old.ts', 'removed'), ('src/moved.ts', 'added')) v(path, kind)")
+
+@register(f"WITH {KEYS_SQL} SELECT 'src/' || k || '.ts' AS path, CASE n % 5 WHEN 0 THEN 'modified' WHEN 3 THEN 'removed' ELSE 'added' END AS kind FROM o UNION ALL SELECT 'src/old ' || k || '.ts', 'removed' FROM o WHERE n % 5 = 4 UNION ALL SELECT 'lib/' || k || '.ts', 'modified' FROM o")
 def git_status_parse(t: Fixture) -> DataFrame:
-    return git.status(t.spark.createDataFrame([(PORCELAIN,)], "text string")).select("path", "kind")
+    first = "case n % 5 when 0 then ' M src/' when 1 then '?? src/' when 2 then 'A  src/' when 3 then ' D src/' else concat('R  src/old ', k, '.ts -> src/') end"
+    return git.status(_order_text(t, f"concat({first}, k, '.ts')", "concat('MM lib/', k, '.ts')")).select("path", "kind")
 
 
-@register("SELECT * FROM (VALUES ('a.ts', 'removed'), ('b.ts', 'added'), ('c2.ts', 'added'), ('d.ts', 'removed'), ('e.ts', 'modified')) v(path, kind)")
+@register(f"WITH {KEYS_SQL} SELECT 'b/' || k AS path, 'added' AS kind FROM o UNION ALL SELECT 'a/' || k, 'removed' FROM o WHERE n % 2 = 0 UNION ALL SELECT 'd/' || k, CASE n % 3 WHEN 0 THEN 'removed' WHEN 1 THEN 'modified' ELSE 'added' END FROM o")
 def name_status_parse(t: Fixture) -> DataFrame:
-    return git.name_status(t.spark.createDataFrame([("R100\ta.ts\tb.ts\nC75\tc.ts\tc2.ts\nD\td.ts\nM\te.ts\n",)], "text string")).select("path", "kind")
+    moved = "concat(if(n % 2 = 0, 'R100', 'C75'), '\t', 'a/', k, '\t', 'b/', k)"
+    own = "concat(case n % 3 when 0 then 'D' when 1 then 'M' else 'A' end, '\t', 'd/', k)"
+    return git.name_status(_order_text(t, moved, own)).select("path", "kind")
 
 
-@register("SELECT path, CAST(added AS BIGINT) AS added, CAST(deleted AS BIGINT) AS deleted FROM (VALUES ('src/a.ts', 3, 1), ('src/new/x.ts', 5, 0), ('b.ts', 0, 2)) v(path, added, deleted)")
+@register(f"WITH {KEYS_SQL} SELECT 'src/new/' || k || '.ts' AS path, CAST(n % 7 AS BIGINT) AS added, CAST(n % 3 AS BIGINT) AS deleted FROM o UNION ALL SELECT 'to ' || k, CAST(n % 11 AS BIGINT), CAST(0 AS BIGINT) FROM o")
 def numstat_parse(t: Fixture) -> DataFrame:
-    return git.numstat(t.spark.createDataFrame([("3\t1\tsrc/a.ts\n-\t-\timg.png\n5\t0\tsrc/{old => new}/x.ts\n0\t2\ta.ts => b.ts\n",)], "text string")).select("path", "added", "deleted")
-
-
-PATCH = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -10,2 +10,4 @@\n@@ -30 +32,0 @@\n--- a/y\n+++ /dev/null\n@@ -1,9 +0,0 @@\n--- /dev/null\n+++ b/z\n@@ -1 +1 @@\n"
+    braced = "concat(n % 7, '\t', n % 3, '\t', 'src/{old => new}/', k, '.ts')"
+    plain = "concat(n % 11, '\t', 0, '\t', 'from ', k, ' => to ', k)"
+    return git.numstat(_order_text(t, braced, "concat('-\t-\timg/', k, '.png')", plain)).select("path", "added", "deleted")
 
 
-@register("SELECT path, CAST(a AS INT) AS old_start, CAST(b AS INT) AS old_lines, CAST(c AS INT) AS new_start, CAST(d AS INT) AS new_lines FROM (VALUES ('x', 10, 2, 10, 4), ('x', 30, 1, 32, 0), ('z', 1, 1, 1, 1)) v(path, a, b, c, d)")
+@register(f"WITH {KEYS_SQL} SELECT 'x/' || k AS path, CAST(1 + n % 90 AS INT) AS old_start, 2 AS old_lines, CAST(1 + n % 80 AS INT) AS new_start, CAST(n % 5 AS INT) AS new_lines FROM o UNION ALL SELECT 'x/' || k, CAST(100 + n % 9 AS INT), 1, 120, 0 FROM o UNION ALL SELECT 'z/' || k, 0, 0, 1, 1 FROM o")
 def hunk_parse(t: Fixture) -> DataFrame:
-    return git.hunks(t.spark.createDataFrame([(PATCH,)], "text string"))
+    first = ("concat('diff --git a/x/', k, ' b/x/', k)", "concat('--- a/x/', k)", "concat('+++ b/x/', k)", "concat('@@ -', 1 + n % 90, ',2 +', 1 + n % 80, ',', n % 5, ' @@')", "concat('@@ -', 100 + n % 9, ' +120,0 @@')")
+    gone, new = ("concat('--- a/y/', k)", "'+++ /dev/null'", "'@@ -1,9 +0,0 @@'"), ("'--- /dev/null'", "concat('+++ b/z/', k)", "'@@ -0,0 +1 @@'")
+    return git.hunks(_order_text(t, *first, *gone, *new))
 
 
 @register("SELECT o_orderkey AS hash, o_orderdate AS ts FROM orders")

@@ -11,14 +11,11 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.ids import basename, layer_of, module_of
 
-#: Least quantity of a line that counts as an import.
-LEAST = 44
-
 FILES_SQL = """files AS (SELECT p_partkey AS k, lower(p_type) || '/' || lower(replace(p_brand, '#', '')) || '/p' || p_partkey || CASE p_partkey % 10 WHEN 3 THEN '.test.ts' WHEN 7 THEN '_test.go' ELSE '.ts' END AS id,
   CAST(p_size AS BIGINT) AS loc, lower(p_type) || '/' || lower(replace(p_brand, '#', '')) AS module, lower(p_type) AS scope,
   CASE WHEN p_partkey % 10 IN (3, 7) THEN 'test' ELSE 'source' END AS layer FROM part)"""
-USES_SQL = f"""uses AS (SELECT src, dst, year FROM (SELECT l_partkey AS src, year(l_shipdate) AS year, lead(l_partkey) OVER (PARTITION BY l_orderkey
-  ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS dst FROM lineitem WHERE l_quantity >= {LEAST}) t WHERE dst IS NOT NULL AND src <> dst),
+USES_SQL = """uses AS (SELECT src, dst, year FROM (SELECT l_partkey AS src, year(l_shipdate) AS year, lead(l_partkey) OVER (PARTITION BY l_orderkey
+  ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS dst FROM lineitem) t WHERE dst IS NOT NULL AND src <> dst),
 imports AS (SELECT a.id AS source, b.id AS target, year FROM uses JOIN files a ON src = a.k JOIN files b ON dst = b.k),
 e AS (SELECT DISTINCT source, target FROM imports)"""
 GRAPH_SQL = f"{FILES_SQL}, {USES_SQL}"
@@ -26,7 +23,7 @@ TOP_SQL = "top AS (SELECT target AS id FROM e GROUP BY target ORDER BY count(*)
 SYMBOLS_SQL = """symbols AS (SELECT DISTINCT f.id AS path, 'symbol:' || f.id || ':function:s' || l_suppkey || ':' || (1 + (l_suppkey * 7) % 40) AS symbol_id, 's' || l_suppkey AS name, 'function' AS kind,
   CAST(1 + (l_suppkey * 7) % 40 AS INT) AS start_line, CAST(1 + (l_suppkey * 7) % 40 + 2 + l_suppkey % 9 AS INT) AS end_line, CAST(3 + l_suppkey % 9 AS BIGINT) AS loc, l_suppkey % 3 = 0 AS exported, l_suppkey AS ord
   FROM lineitem JOIN files f ON l_partkey = f.k)"""
-SNAP_SQL = f"""parts_of AS (SELECT l_partkey AS k, year(l_shipdate) AS year, count(*) AS n FROM lineitem WHERE l_quantity >= {LEAST} GROUP BY 1, 2),
+SNAP_SQL = """parts_of AS (SELECT l_partkey AS k, year(l_shipdate) AS year, count(*) AS n FROM lineitem GROUP BY 1, 2),
 snap AS (SELECT CAST(year AS VARCHAR) AS graph_id, year, f.id, f.loc + 40 * CAST(n AS BIGINT) AS loc FROM parts_of JOIN files f USING (k)),
 snap_edges AS (SELECT DISTINCT year, source, target FROM imports)"""
 
@@ -50,7 +47,7 @@ class Fixture:
     def imports(self) -> DataFrame:
         """(source, target, year): one row an import, repeats included."""
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-        lines = self.table("lineitem").filter(F.col("l_quantity") >= LEAST)
+        lines = self.table("lineitem")
         pairs = lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), F.year("l_shipdate").alias("year")).filter("dst is not null and src <> dst")
         ids = self.files().select("k", "id")
         return pairs.join(ids.select(F.col("k").alias("src"), F.col("id").alias("source")), "src").join(ids.select(F.col("k").alias("dst"), F.col("id").alias("target")), "dst").select("source", "target", "year")
@@ -71,12 +68,12 @@ class Fixture:
 
     def snapshot(self, year: int) -> DataFrame:
         """(id, loc) of the files of a year."""
-        n = self.table("lineitem").filter((F.col("l_quantity") >= LEAST) & (F.year("l_shipdate") == year)).groupBy(F.col("l_partkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        n = self.table("lineitem").filter(F.year("l_shipdate") == year).groupBy(F.col("l_partkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
         return self.files().join(n, "k").select("id", (F.col("loc") + 40 * F.col("n")).alias("loc"))
 
     def snapshots(self) -> DataFrame:
         """(graph_id, id, loc) of all years."""
-        n = self.table("lineitem").filter(F.col("l_quantity") >= LEAST).groupBy(F.col("l_partkey").alias("k"), F.year("l_shipdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+        n = self.table("lineitem").groupBy(F.col("l_partkey").alias("k"), F.year("l_shipdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
         return self.files().join(n, "k").select(F.col("year").cast("string").alias("graph_id"), "id", (F.col("loc") + 40 * F.col("n")).alias("loc"))
 
     def snapshot_edges(self, year: int) -> DataFrame:

@@ -84,27 +84,21 @@ HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 def hunks(df: DataFrame, text: str = "text") -> DataFrame:
     """Unified diff hunks (path, old_start, old_lines, new_start, new_lines); a missing count is 1.
 
-    Each text is scanned in order by a fold over its lines, so texts stay independent rows.
+    A text is cut at its ``+++`` lines into one row a file; removed files (``/dev/null``) have no hunks.
     """
-    state = "struct<path:string,out:array<struct<path:string,old_start:int,old_lines:int,new_start:int,new_lines:int>>>"
 
     def number(line: Column, group: int) -> Column:
         got = F.regexp_extract(line, HUNK, group)
         return F.when(got == "", 1).otherwise(got.try_cast("int"))
 
-    def step(acc: Column, line: Column) -> Column:
-        target = F.regexp_replace(F.substring(line, 5, 1 << 30), r"^b/|\t.*$", "")
-        header = F.when(target == "/dev/null", F.lit(None)).otherwise(target)
-        hunk = F.struct(acc["path"].alias("path"), number(line, 1).alias("old_start"), number(line, 2).alias("old_lines"), number(line, 3).alias("new_start"), number(line, 4).alias("new_lines"))
-        return (
-            F.when(line.startswith("+++ "), F.struct(header.alias("path"), acc["out"].alias("out")))
-            .when(line.rlike(HUNK) & acc["path"].isNotNull(), F.struct(acc["path"].alias("path"), F.concat(acc["out"], F.array(hunk)).alias("out")))
-            .otherwise(acc)
-        )
-
-    start = F.from_json(F.lit('{"out":[]}'), state)
     others = [c for c in df.columns if c != text]
-    return df.select(*others, F.explode(F.aggregate(F.split(text, "\r?\n"), start, step, lambda acc: acc["out"])).alias("h")).select(*others, "h.*")
+    parts = df.select(*others, F.explode(F.filter(F.split(text, r"(?md)^\+\+\+ "), lambda _, i: i > 0)).alias("__part"))
+    lines = parts.select(*others, F.split("__part", "\r?\n").alias("__lines"))
+    path = F.regexp_replace(F.get("__lines", F.lit(0)), r"^b/|\t.*$", "")
+    marks = F.filter("__lines", lambda line, i: (i > 0) & line.rlike(HUNK))
+    found = lines.select(*others, path.alias("__path"), F.explode(marks).alias("__mark")).filter("__path <> '/dev/null'")
+    mark = F.col("__mark")
+    return found.select(*others, F.col("__path").alias("path"), number(mark, 1).alias("old_start"), number(mark, 2).alias("old_lines"), number(mark, 3).alias("new_start"), number(mark, 4).alias("new_lines"))
 
 
 def touched_lines(new_lines: Column, old_lines: Column) -> Column:

@@ -81,6 +81,54 @@ def test_find_ranks_exact_prefix_substring(spark):
     assert [r["label"] for r in query.find(nodes, "store").collect()] == ["store", "storefront", "restore"]
 
 
+def plain_palette(q, nodes, limit=12):
+    """The scores in plain Python."""
+    ranks = {"symbol": 0, "block": 0, "class": 1, "file": 1, "directory": 2, "module": 3, "service": 4}
+
+    def match(target):
+        a, b, at, hits = q.strip().lower(), target.lower(), -1, 0
+        if a == b or b.startswith(a) or a in b:
+            return 1000 if a == b else 800 if b.startswith(a) else 600
+        for c in a:
+            at = b.find(c, at + 1)
+            if at < 0:
+                return None
+            before = target[at - 1] if at else " "
+            hits += not before.isalnum() or (target[at].isupper() and (before.islower() or before.isdigit()))
+        return 400 + min(150, 40 * hits)
+
+    out = []
+    for node, label, kind in nodes if q.strip() else []:
+        own, other = match(label), match(node)
+        if own is not None or other is not None:
+            out.append((node, label, kind, own if own is not None else other / 1000 * 390))
+    return sorted(out, key=lambda r: (-r[3], len(r[1]), ranks.get(r[2], 9), r[0]))[:limit]
+
+
+@pytest.mark.parametrize("q", ["rms", " RMS ", "map", "Rings", "a.b", "r/m", "", "  ", "zzz", "mm"])
+def test_palette(spark, q):
+    labels = ("RingsMapSvg", "map", "rings-map", "aMapOfMany", "Rings", "arms", "rIMmS2M", "a.b", "")
+    kinds = ("service", "module", "directory", "file", "class", "symbol", "block", "other")
+    nodes = [(f"src/{k}/r/{n}", n, k) for n in labels for k in kinds]
+    df = spark.createDataFrame(nodes, "id string, label string, kind string")
+    got = [tuple(r) for r in query.palette(df, q, 30).select("id", "label", "kind", "score").collect()]
+    assert got == plain_palette(q, nodes, 30)
+
+
+def test_tests_point_to_their_subjects(spark):
+    ids = ["a.test.ts", "b.spec.mjs", "c_test.go", "d_wbtest.mbt", "e_test.ts", "f.test.py"]
+    tests = spark.createDataFrame([(i,) for i in ids], "id string")
+    sources = spark.createDataFrame([(i,) for i in ("a.ts", "b.mjs", "c.go", "d.mbt", "e.ts", "f.py")], "id string")
+    edges = spark.createDataFrame([("e_test.ts", "a.ts", 1), ("e_test.ts", "c.go", 2), ("e_test.ts", "c.go", 2)], "source string, target string, ord int")
+    assert rows(resolve.tested_subjects(tests, sources, edges), "test", "subject") == [("a.test.ts", "a.ts"), ("b.spec.mjs", "b.mjs"), ("c_test.go", "c.go"), ("d_wbtest.mbt", "d.mbt"), ("e_test.ts", "c.go")]
+
+
+def test_outbound_of_each_group(spark):
+    home = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "id string, scope string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "b"), ("c", "a"), ("b", "else"), ("else", "a")], "source string, target string")
+    assert rows(metrics.outbound(edges, home, "scope"), "scope", "source", "targets") == [("x", "a", ["c"]), ("x", "b", ["else"]), ("y", "c", ["a", "b"])]
+
+
 def test_interval_join_takes_the_latest_start(spark):
     symbols = spark.createDataFrame([("f", "outer", 1, 20, 0), ("f", "inner", 5, 10, 1)], "path string, symbol_id string, start_line int, end_line int, ord int")
     points = spark.createDataFrame([("f", 7), ("f", 15), ("f", 30), ("g", 1)], "file string, line int")

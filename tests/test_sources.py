@@ -22,6 +22,25 @@ def test_status_and_hunks(spark):
     assert rows(got, "path", "old_start", "old_lines", "new_start", "new_lines", "touched") == [("x", 10, 2, 10, 4, 4), ("x", 30, 1, 32, 0, 1), ("y", 1, 1, 1, 1, 1)]
 
 
+def test_name_status_and_numstat(spark):
+    got = git.name_status(texts(spark, "R100\ta.ts\tb.ts\nC75\tc.ts\tc2.ts\nD\td.ts\nM\te.ts\n"))
+    assert rows(got, "path", "kind") == [("a.ts", "removed"), ("b.ts", "added"), ("c2.ts", "added"), ("d.ts", "removed"), ("e.ts", "modified")]
+    got = git.numstat(texts(spark, "3\t1\tsrc/a.ts\n-\t-\timg.png\n5\t0\tsrc/{old => new}/x.ts\n0\t2\ta.ts => b.ts\n"))
+    assert rows(got, "path", "added", "deleted") == [("b.ts", 0, 2), ("src/a.ts", 3, 1), ("src/new/x.ts", 5, 0)]
+
+
+def test_hunks_of_many_files_and_of_none(spark):
+    parts = "".join(f"diff --git a/f{i} b/f{i}\n--- a/f{i}\n+++ b/f{i}\t2020\r\n@@ -{i} +{i},2 @@ f()\r\n+x\r\n" for i in range(1, 500))
+    got = rows(git.hunks(texts(spark, parts, None, "@@ -1 +1 @@\n", "x +++ b/y\n@@ -1 +1 @@\n")), "path", "old_start", "old_lines", "new_start", "new_lines")
+    assert got == sorted([(f"f{i}", i, 1, i, 2) for i in range(1, 500)], key=repr)
+
+
+def test_comet_keeps_planes_apart(spark):
+    steps = spark.createDataFrame([(1, 1, "a"), (1, 3, "a"), (1, 2, "b"), (2, 3, "b"), (2, 4, "a")], "plane int, step int, symbol_id string")
+    got = {(r["plane"], r["symbol_id"]): r["heat"] for r in traces.comet(steps, 3, trail=1, decay=0.5).collect()}
+    assert got == {(1, "a"): 1.0, (1, "b"): 0.5, (2, "b"): 1.0}
+
+
 def test_since(spark):
     df = spark.createDataFrame([("6.months",), ("2 weeks",), ("2024-01-01",)], "s string").select(text.since(F.col("s")).alias("s"))
     assert rows(df, "s") == [("2 weeks ago",), ("2024-01-01",), ("6 months ago",)]
