@@ -276,9 +276,9 @@ def _printed(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             if batch.num_rows:
                 prints = word_prints(np.frombuffer(b"\n".join(texts_of(batch.column("word"))), np.uint8))[1]
-                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), batch.column("trained").cast(pa.int32())], names=["print", "trained"])
+                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), batch.column("trained")], names=["print", "trained"])
 
-    rows = words.mapInArrow(run, "print long, trained int").toArrow()
+    rows = words.mapInArrow(run, "print long, trained long").toArrow()
     order = np.argsort(prints := rows["print"].to_numpy().view(np.uint64))
     prints = prints[order]
     if (prints[1:] == prints[:-1]).any():
