@@ -28,6 +28,17 @@ def line_of(symbol: Column) -> Column:
     return F.coalesce(F.regexp_extract(symbol, r":(\d+)$", 1).try_cast("int"), F.lit(1))
 
 
+#: Kinds of symbols (fixed values).
+SYMBOL_KINDS = ("function", "class", "variable", "type", "interface", "enum", "method", "property", "static-method", "static-property")
+
+
+def symbol_kind(node: Column) -> Column:
+    """The kind in a symbol's id, the third piece from its end; null for other ids and unknown kinds."""
+    parts = F.split(node, ":")
+    kind = F.get(parts, F.size(parts) - 3)
+    return F.when(node.startswith("symbol:") & (F.size(parts) >= 5) & kind.isin(*SYMBOL_KINDS), kind)
+
+
 def symbol_name(symbol: Column) -> Column:
     return F.split_part(symbol, F.lit(":"), F.lit(4))
 

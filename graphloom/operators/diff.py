@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.ids import module_of
+
 METRICS = ("loc", "file_count", "directory_count", "import_edge_count", "unresolved_count", "max_fan_in", "max_fan_out", "cycles", "largest_component")
 
 
@@ -179,3 +181,58 @@ def raw_marks(name: Column, email: Column, message: Column) -> Column:
     """The first match of every pattern that occurs."""
     text = _evidence(name, email, message)
     return F.array_compact(F.array(*[F.when(text.rlike(p), F.regexp_extract(text, p, 0)) for _, p in ASSISTED]))
+
+
+def details(changed: DataFrame, numstat: DataFrame, hunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stats, hunks) of the changed files only.
+
+    ``changed``: (path, kind, loc), ``numstat``: (path, added, deleted), ``hunks``: (path, old_start,
+    old_lines, new_start, new_lines). Touched lines are those of the hunks, else added and deleted ones.
+    An added file without counts counts whole, as one hunk if it has none; a modified one has no stat.
+    """
+    cut = hunks.join(changed.select("path"), "path", "left_semi")
+    per_path = cut.groupBy("path").agg(F.sum(F.when(F.col("new_lines") > 0, F.col("new_lines")).otherwise(F.col("old_lines"))).alias("cut"))
+    met = changed.join(numstat.select("path", "added", "deleted"), "path", "left").join(per_path, "path", "left")
+    lines = F.coalesce("loc", F.lit(0)).cast("long")
+    counted = F.col("added").isNotNull()
+    touched = F.when(F.col("cut") > 0, F.col("cut")).otherwise(F.col("added") + F.col("deleted"))
+    kept = met.filter(counted | (F.col("kind") == "added"))
+    stats = kept.select("path", F.coalesce("added", lines).alias("added"), F.coalesce("deleted", F.lit(0)).alias("deleted"), F.when(counted, touched).otherwise(lines).alias("touched"))
+    whole = met.filter(~counted & (F.col("kind") == "added") & (lines > 0) & F.col("cut").isNull())
+    return stats, cut.unionByName(whole.select("path", F.lit(0).alias("old_start"), F.lit(0).alias("old_lines"), F.lit(1).alias("new_start"), lines.alias("new_lines")))
+
+
+def estimated_stats(changes: DataFrame) -> DataFrame:
+    """(path, added, deleted, touched, total, ratio) of changes (path, kind, total) that nothing was counted for."""
+    total = F.greatest(F.lit(1), F.floor(F.coalesce("total", F.lit(1)) + 0.5).cast("long"))
+    new = F.col("kind") == "added"
+    touched = F.when(new, total).otherwise(F.greatest(F.lit(1), F.floor(total * 0.18 + 0.5).cast("long")))
+    return changes.select("path", F.when(new, total).otherwise(0).alias("added"), F.lit(0).cast("long").alias("deleted"), touched.alias("touched"), total.alias("total"), F.when(new, 1.0).otherwise(0.18).alias("ratio"))
+
+
+def preview_focus(files: DataFrame, changed: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(kind, id) of what a change shows: its modules, files and symbols.
+
+    ``files``: changed files (id), ``changed``: changed symbols (id, file), ``symbols``: all (id, file).
+    Of a changed file without changed symbols, all symbols show.
+    """
+    exact = changed.select("id", "file").distinct()
+    paths = files.select(F.col("id").alias("file")).union(exact.select("file")).distinct()
+    rest = symbols.select("id", "file").join(paths, "file", "left_semi").join(exact.select("file").distinct(), "file", "left_anti")
+    shown = exact.select("id").union(rest.select("id")).distinct()
+    row = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), c.alias("id"))
+    return row("module", paths.select(module_of(F.col("file")).alias("m")).distinct(), F.col("m")).union(row("file", paths, F.col("file"))).union(row("symbol", shown, F.col("id")))
+
+
+def added_edges(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The edges of ``after`` whose id ``before`` has not."""
+    return after.join(before.select("id").distinct(), "id", "left_anti")
+
+
+def recent_changes(changes: DataFrame, most: int = 20) -> DataFrame:
+    """The newest change of each id, newest first, at most ``most``.
+
+    ``changes``: (id, kind, at, pos); of changes seen together, those of lesser ``pos`` come first.
+    """
+    last = changes.groupBy("id").agg(F.max_by(F.struct("kind", "at", "pos"), F.struct(F.col("at"), -F.col("pos"))).alias("c"))
+    return last.select("id", "c.*").orderBy(F.desc("at"), "pos", "id").limit(most)

@@ -96,3 +96,10 @@ def visible(x: Column, y: Column, radius: Column, box: tuple[float, float, float
     """Whether a cell's circle meets the view (left, top, right, bottom)."""
     left, top, right, bottom = box
     return (x + radius >= left) & (x - radius <= right) & (y + radius >= top) & (y - radius <= bottom)
+
+
+def adjacency(cells: DataFrame, borders: DataFrame) -> DataFrame:
+    """(id, neighbor) both ways, once each, of borders (id, neighbor) between known ``cells`` (id)."""
+    known = cells.select("id").distinct()
+    met = borders.filter("neighbor is not null").join(known, "id", "left_semi").join(known.withColumnRenamed("id", "neighbor"), "neighbor", "left_semi")
+    return met.select("id", "neighbor").union(met.select("neighbor", "id")).distinct()

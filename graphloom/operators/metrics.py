@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.durable import settle
 from graphloom.functions.ids import dirname, module_of
 from graphloom.operators import graph
 
@@ -170,3 +171,31 @@ def test_weight(tree: DataFrame) -> DataFrame:
 
 def ranked_in(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def ancestors(tree: DataFrame, wanted: Column) -> DataFrame:
+    """(id, ancestor): the nearest of a node and its ancestors for which ``wanted`` holds; null where none does.
+
+    ``tree``: (id, parent, ...), without loops; ids are unique. One join a level of the tree.
+    """
+    marks = settle(tree.select("id", "parent", F.coalesce(wanted, F.lit(False)).alias("hit")))
+    above = marks.select(F.col("id").alias("at"), "parent", "hit")
+    rows, found = marks.select("id", F.col("id").alias("at"), "parent", "hit"), None
+    while not rows.isEmpty():
+        hits = rows.filter("hit").select("id", F.col("at").alias("ancestor"))
+        found = hits if found is None else found.unionByName(hits)
+        up = rows.filter("not hit and parent is not null").select("id", F.col("parent").alias("at"))
+        rows = settle(up.join(above, "at").select("id", "at", "parent", "hit"))
+    return marks.select("id").join(found, "id", "left") if found is not None else marks.select("id", F.lit(None).cast("string").alias("ancestor"))
+
+
+def service_levels(files: DataFrame, edges: DataFrame, services: DataFrame, flows: DataFrame, groupings: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
+    """(level nodes, level edges) below a service level, whose edges are the services' flows.
+
+    ``services``: (id, service), at most one a file; files without one belong to ``(no service)``.
+    ``flows``: (source, target, weight), one an edge; their weight is 1 where it is null.
+    """
+    homes = files.join(services.select("id", "service"), "id", "left").withColumn("service", F.coalesce("service", F.lit("(no service)")))
+    nodes, lifted, _ = levels(homes, edges, [("service", F.col("service")), *groupings])
+    native = flows.select(F.lit(0).alias("level"), "source", "target", F.coalesce("weight", F.lit(1)).cast("long").alias("weight"), F.lit("flow").alias("kind"))
+    return nodes, lifted.filter("level > 0").select(*native.columns).unionByName(native)

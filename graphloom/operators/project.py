@@ -147,3 +147,21 @@ def symbol_budget(symbols: DataFrame, budget: int, ensured: DataFrame | None = N
     shown = ranked.filter("kept").select("id", "group", "loc", F.lit(False).alias("folded"))
     rest = ranked.filter("not kept").groupBy("group").agg(F.sum("loc").alias("loc"))
     return shown.unionByName(rest.select(F.concat("group", F.lit("/(scope)")).alias("id"), "group", "loc", F.lit(True).alias("folded")))
+
+
+def port_partners(edges: DataFrame, module: DataFrame) -> DataFrame:
+    """(id, module): each port with the other modules that refer to it. ``module``: (id, module)."""
+    a, b = module.select(F.col("id").alias("source"), F.col("module").alias("sm")), module.select(F.col("id").alias("target"), F.col("module").alias("tm"))
+    return edges.join(a, "source").join(b, "target").filter("sm <> tm").select(F.col("target").alias("id"), F.col("sm").alias("module")).distinct()
+
+
+def budget_priority(weight: Column, changed: Column, dx: Column | None = None, dy: Column | None = None, width: float = 1.0) -> Column:
+    """Priority in a budget: √weight, less with the distance to the centre of a map of ``width``; changed symbols first.
+
+    Where no place is known (``dx`` or ``dy`` null or not given) it is the weight itself.
+    """
+    boost = F.when(changed, 1e6).otherwise(0.0)
+    if dx is None or dy is None:
+        return weight + boost
+    near = 1 / (1 + (dx * dx + dy * dy) / (0.6 * width * 0.6 * width))
+    return F.coalesce(F.sqrt(weight) * near, weight.cast("double")) + boost

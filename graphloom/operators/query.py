@@ -146,3 +146,13 @@ def propagate_tints(links: DataFrame, seeds: DataFrame) -> DataFrame:
         frontier = settle(step.join(seen, "id", "left_anti"))
         seen = settle(seen.unionByName(frontier))
     return seen
+
+
+def focus_dim(inside: Column) -> Column:
+    """Full where in focus, else a tenth; everything is full without a focus (null)."""
+    return F.when(F.coalesce(inside, F.lit(True)), 1.0).otherwise(0.1)
+
+
+def leaf_fill(dependency: Column, dependent: Column, cyclic: Column, test: Column) -> Column:
+    """What colours a leaf, the first that holds; ``tint`` is that of its top group."""
+    return F.when(dependency, "dependency").when(dependent, "dependent").when(cyclic, "cycle").when(test, "test").otherwise("tint")

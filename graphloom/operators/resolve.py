@@ -181,3 +181,34 @@ def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def label_of(path: Column) -> Column:
     return basename(path)
+
+
+def import_edges(imports: DataFrame, files: DataFrame, packages: DataFrame) -> DataFrame:
+    """(id, source, target, specifier, resolved, external): one import edge an id.
+
+    ``imports``: (source, specifier), ``files``: (path), ``packages``: (name, entry). A relative specifier
+    leads to the file that it resolves to, else to an ``unresolved:`` end; a bare one to the entry file of
+    the longest workspace package that it names, else to an ``external:`` end, which counts as resolved.
+    """
+    wanted = imports.select("source", "specifier").distinct()
+    relative = F.col("specifier").startswith(".")
+    near = resolve_relative(wanted.filter(relative), files).withColumn("external", F.lit(False))
+    entries = packages.join(files.select(F.col("path").alias("entry")).distinct(), "entry", "left_semi").select(F.col("name").alias("package"), "entry")
+    named = longest_prefix(wanted.filter(~relative).withColumnRenamed("specifier", "spec"), packages)
+    far = named.join(entries, "package", "left").select("source", F.col("spec").alias("specifier"), F.col("entry").alias("resolved"), F.col("entry").isNull().alias("external"))
+    both = near.select("source", "specifier", "resolved", "external").unionByName(far)
+    source = F.concat(F.lit("file:"), "source")
+    target = F.when(F.col("resolved").isNotNull(), F.concat(F.lit("file:"), "resolved")).when(F.col("external"), F.concat(F.lit("external:"), "specifier")).otherwise(F.concat_ws(":", F.lit("unresolved"), "source", "specifier"))
+    ends = both.select(source.alias("source"), target.alias("target"), "specifier", (F.col("resolved").isNotNull() | F.col("external")).alias("resolved"), "external")
+    return ends.select(F.concat(F.lit("imports:"), "source", F.lit("->"), "target", F.lit(":"), "specifier").alias("id"), "*")
+
+
+def merged_symbol_imports(known: DataFrame, added: DataFrame) -> DataFrame:
+    """``known`` whole, and of ``added`` the first row (by ``ord``) of each pair of ends that is new.
+
+    Both: (from_symbol_id, to_symbol_id, ord, ...); imports from a module's top level (null) are alike.
+    """
+    key = F.concat(F.coalesce("from_symbol_id", F.lit("")), F.lit("->"), "to_symbol_id").alias("__key")
+    fresh = added.select(key, F.struct(*added.columns).alias("row")).join(known.select(key).distinct(), "__key", "left_anti")
+    first = fresh.groupBy("__key").agg(F.min_by("row", F.col("row.ord")).alias("row")).select("row.*")
+    return known.unionByName(first)

@@ -615,3 +615,135 @@ def bundle_paths(t: Fixture) -> DataFrame:
     same = ids.module_of(F.col("source")) == ids.module_of(F.col("target"))
     legs = F.when(same, 1).when(ids.scope_of(F.col("source")) == ids.scope_of(F.col("target")), 3).otherwise(6)
     return t.edges().filter(F.size(path) >= 2).select("source", "target", same.alias("same"), legs.alias("legs"))
+
+
+# Import edges, ancestors, ports, priorities, previews
+
+
+@register(f"""WITH {GRAPH_SQL}, i AS (SELECT id AS s, module, scope, k, CASE k % 3 WHEN 0 THEN '../' || split_part(module, '/', 2) || '/p' || (k + 1) WHEN 1 THEN scope || '/x' ELSE 'lib' || (k % 7) END AS specifier FROM files),
+p AS (SELECT scope AS name, min(id) AS entry FROM files WHERE scope < 'm' GROUP BY 1),
+x AS (SELECT i.s, specifier, CASE WHEN i.k % 3 = 0 THEN f.id ELSE entry END AS path, i.k % 3 <> 0 AS bare FROM i LEFT JOIN files f ON i.k % 3 = 0 AND f.id = i.module || '/p' || (i.k + 1) || '.ts' LEFT JOIN p ON i.k % 3 = 1 AND p.name = i.scope),
+y AS (SELECT 'file:' || s AS source, CASE WHEN path IS NOT NULL THEN 'file:' || path WHEN bare THEN 'external:' || specifier ELSE 'unresolved:' || s || ':' || specifier END AS target, specifier, path IS NOT NULL OR bare AS resolved, bare AND path IS NULL AS external FROM x)
+SELECT 'imports:' || source || '->' || target || ':' || specifier AS id, * FROM y""")
+def import_edge_ids(t: Fixture) -> DataFrame:
+    files = t.files()
+    relative = F.concat(F.lit("../"), F.split_part("module", F.lit("/"), F.lit(2)), F.lit("/p"), (F.col("k") + 1).cast("string"))
+    spec = F.when(F.col("k") % 3 == 0, relative).when(F.col("k") % 3 == 1, F.concat("scope", F.lit("/x"))).otherwise(F.concat(F.lit("lib"), (F.col("k") % 7).cast("string")))
+    packages = files.filter("scope < 'm'").groupBy(F.col("scope").alias("name")).agg(F.min("id").alias("entry"))
+    return resolve.import_edges(files.select(F.col("id").alias("source"), spec.alias("specifier")), files.select(F.col("id").alias("path")), packages)
+
+
+@register(f"WITH {GRAPH_SQL}, a AS (SELECT DISTINCT source, target FROM imports WHERE year = 1996) SELECT source AS from_symbol_id, target AS to_symbol_id, CAST(1996 AS BIGINT) AS ord FROM a UNION ALL SELECT i.source, i.target, CAST(min(year) AS BIGINT) FROM imports i LEFT JOIN a ON a.source = i.source AND a.target = i.target WHERE a.source IS NULL GROUP BY 1, 2")
+def merged_symbol_imports(t: Fixture) -> DataFrame:
+    rows = t.imports().select(F.col("source").alias("from_symbol_id"), F.col("target").alias("to_symbol_id"), F.col("year").cast("long").alias("ord"))
+    return resolve.merged_symbol_imports(rows.filter("ord = 1996").distinct(), rows)
+
+
+@register(f"WITH {GRAPH_SQL} SELECT id, module AS ancestor FROM files UNION ALL SELECT DISTINCT module, module FROM files UNION ALL SELECT DISTINCT scope, CAST(NULL AS VARCHAR) FROM files")
+def module_ancestors(t: Fixture) -> DataFrame:
+    files, none = t.files(), F.lit(None).cast("string").alias("parent")
+    tree = files.select("id", F.col("module").alias("parent"), F.lit("file").alias("kind"))
+    tree = tree.union(files.select("module", "scope", F.lit("module")).distinct()).union(files.select("scope", none, F.lit("scope")).distinct())
+    return metrics.ancestors(tree, F.col("kind") == "module")
+
+
+@register(f"""WITH {GRAPH_SQL}, {MODULE_EDGES}, flows AS (SELECT 'svc' || (n_nationkey % 4) AS source, 'svc' || (n_regionkey % 4) AS target, count(*) AS weight FROM nation WHERE n_nationkey % 4 <> n_regionkey % 4 GROUP BY 1, 2)
+SELECT 0 AS level, source, target, weight, 'flow' AS kind FROM flows UNION ALL SELECT 1, source, target, weight, NULL FROM me WHERE source <> target""")
+def service_level_edges(t: Fixture) -> DataFrame:
+    return _service_levels(t)[1]
+
+
+@register(f"""WITH {GRAPH_SQL}, h AS (SELECT CASE WHEN k % 5 < 3 THEN 'svc' || (k % 4) ELSE '(no service)' END AS service, module, loc FROM files)
+SELECT 0 AS level, service AS "group", NULL AS parent, CAST(sum(loc) AS BIGINT) AS loc, count(*) AS leaves FROM h GROUP BY service UNION ALL SELECT 1, module, min(service), CAST(sum(loc) AS BIGINT), count(*) FROM h GROUP BY module""")
+def service_level_nodes(t: Fixture) -> DataFrame:
+    return _service_levels(t)[0].select("level", "group", "parent", "loc", "leaves")
+
+
+def _service_levels(t: Fixture) -> tuple[DataFrame, DataFrame]:
+    name = lambda c: F.concat(F.lit("svc"), (F.col(c) % 4).cast("string"))
+    homes = t.files().filter("k % 5 < 3").select("id", name("k").alias("service"))
+    flows = t.table("nation").filter("n_nationkey % 4 <> n_regionkey % 4").groupBy(name("n_nationkey").alias("source"), name("n_regionkey").alias("target")).agg(F.count(F.lit(1)).alias("weight"))
+    return metrics.service_levels(t.files(), t.imports(), homes, flows, [("module", ids.module_of(F.col("id")))])
+
+
+@register(f"WITH {GRAPH_SQL} SELECT DISTINCT target AS id, a.module FROM e JOIN files a ON a.id = source JOIN files b ON b.id = target WHERE a.module <> b.module")
+def port_partners(t: Fixture) -> DataFrame:
+    return project.port_partners(t.edges(), t.files().select("id", "module"))
+
+
+@register(f"WITH {GRAPH_SQL}, x AS (SELECT id, loc, k % 11 = 0 AS changed, CAST(k % 100 - 50 AS DOUBLE) AS dx, CAST(k % 37 - 18 AS DOUBLE) AS dy FROM files) SELECT id, CAST(floor((sqrt(loc) * (1 / (1 + (dx * dx + dy * dy) / CAST(3600 AS DOUBLE))) + CASE WHEN changed THEN 1000000 ELSE 0 END) * 1000 + 0.5) AS BIGINT) AS priority FROM x")
+def budget_priorities(t: Fixture) -> DataFrame:
+    at = lambda m, half: (F.col("k") % m - half).cast("double")
+    return t.files().select("id", text.round_up_half(project.budget_priority(F.col("loc"), F.col("k") % 11 == 0, at(100, 50), at(37, 18), 100.0) * 1000).alias("priority"))
+
+
+@register(f"WITH {GRAPH_SQL} SELECT source AS id, target AS neighbor FROM e UNION SELECT target, source FROM e")
+def cell_adjacency(t: Fixture) -> DataFrame:
+    return layout.adjacency(t.files(), t.edges().toDF("id", "neighbor"))
+
+
+@register("WITH x AS (SELECT o_custkey AS id, o_orderstatus AS kind, o_orderdate AS seen, o_orderkey AS pos, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS nth FROM orders) SELECT id, kind, pos FROM x WHERE nth = 1 ORDER BY seen DESC, pos, id LIMIT 20")
+def recent_changes(t: Fixture) -> DataFrame:
+    changes = t.table("orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("kind"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("pos"))
+    return diff.recent_changes(changes).select("id", "kind", "pos")
+
+
+DETAILS = f"""{GRAPH_SQL}, changed AS (SELECT id AS path, CASE WHEN k % 4 = 1 THEN 'added' ELSE 'modified' END AS kind, loc FROM files WHERE k % 4 <> 0), ns AS (SELECT id AS path, CAST(k % 20 AS BIGINT) AS added, CAST(k % 7 AS BIGINT) AS deleted FROM files WHERE k % 3 = 0),
+hk AS (SELECT path, new_start, new_lines, old_lines FROM changed JOIN (SELECT id AS path, CAST(1 + k % 30 AS BIGINT) AS new_start, CAST(k % 12 AS BIGINT) AS new_lines, CAST(k % 5 AS BIGINT) AS old_lines FROM files WHERE k % 5 < 3) h USING (path)),
+cuts AS (SELECT path, CASE WHEN new_lines > 0 THEN new_lines ELSE old_lines END AS cut FROM hk)"""
+
+
+def _details(t: Fixture) -> tuple[DataFrame, DataFrame]:
+    files = t.files().withColumnRenamed("id", "path")
+    part = lambda n, name: n.cast("long").alias(name)
+    changed = files.filter("k % 4 <> 0").select("path", F.when(F.col("k") % 4 == 1, "added").otherwise("modified").alias("kind"), "loc")
+    counts = files.filter("k % 3 = 0").select("path", part(F.col("k") % 20, "added"), part(F.col("k") % 7, "deleted"))
+    hunks = files.filter("k % 5 < 3").select("path", part(1 + F.col("k") % 30, "old_start"), part(F.col("k") % 5, "old_lines"), part(1 + F.col("k") % 30, "new_start"), part(F.col("k") % 12, "new_lines"))
+    return diff.details(changed, counts, hunks)
+
+
+@register(f"WITH {DETAILS} SELECT path, coalesce(added, loc) AS added, coalesce(deleted, 0) AS deleted, CASE WHEN added IS NULL THEN loc WHEN cut > 0 THEN cut ELSE added + deleted END AS touched FROM changed LEFT JOIN ns USING (path) LEFT JOIN cuts USING (path) WHERE added IS NOT NULL OR kind = 'added'")
+def diff_stats(t: Fixture) -> DataFrame:
+    return _details(t)[0]
+
+
+@register(f"WITH {DETAILS} SELECT path, new_start, new_lines, old_lines FROM hk UNION ALL SELECT path, 1, loc, 0 FROM changed LEFT JOIN ns USING (path) LEFT JOIN cuts USING (path) WHERE added IS NULL AND kind = 'added' AND loc > 0 AND cut IS NULL")
+def diff_hunks(t: Fixture) -> DataFrame:
+    return _details(t)[1].select("path", "new_start", "new_lines", "old_lines")
+
+
+@register(f"WITH {PAIR}, x AS (SELECT id AS path, change AS kind, f.loc AS total FROM changed JOIN files f USING (id) WHERE change <> 'removed') SELECT path, CASE kind WHEN 'added' THEN total ELSE 0 END AS added, CASE kind WHEN 'added' THEN total ELSE greatest(1, CAST(floor(total * CAST(0.18 AS DOUBLE) + 0.5) AS BIGINT)) END AS touched, total FROM x")
+def estimated_stats(t: Fixture) -> DataFrame:
+    changed = diff.changed_files(_measured(t, YEARS[0]), _measured(t, YEARS[1])).filter("change <> 'removed'").select("id", F.col("change").alias("kind"))
+    rows = changed.join(t.files().select("id", F.col("loc").alias("total")), "id").withColumnRenamed("id", "path")
+    return diff.estimated_stats(rows).select("path", "added", "touched", "total")
+
+
+@register(f"""WITH {GRAPH_SQL}, {SYMBOLS_SQL}, x AS (SELECT symbol_id AS id, path AS file FROM symbols WHERE ord % 97 = 0), p AS (SELECT id AS file FROM files WHERE k % 50 = 0 UNION SELECT file FROM x)
+SELECT DISTINCT 'module' AS kind, module AS id FROM p JOIN files ON file = files.id UNION ALL SELECT 'file', file FROM p UNION ALL SELECT 'symbol', id FROM x UNION ALL SELECT 'symbol', symbol_id FROM symbols WHERE path IN (SELECT file FROM p) AND path NOT IN (SELECT file FROM x)""")
+def preview_focus(t: Fixture) -> DataFrame:
+    symbols = t.symbols().select(F.col("symbol_id").alias("id"), F.col("path").alias("file"), "ord")
+    return diff.preview_focus(t.files().filter("k % 50 = 0"), symbols.filter("ord % 97 = 0"), symbols)
+
+
+@register(f"WITH {PAIR} SELECT source || '->' || target AS id FROM (SELECT source, target FROM snap_edges WHERE year = {YEARS[1]} EXCEPT SELECT source, target FROM snap_edges WHERE year = {YEARS[0]}) q")
+def added_imports(t: Fixture) -> DataFrame:
+    of = lambda year: t.snapshot_edges(year).select(F.concat("source", F.lit("->"), "target").alias("id"))
+    return diff.added_edges(of(YEARS[0]), of(YEARS[1]))
+
+
+@register(f"""WITH {GRAPH_SQL}, {TOP_SQL}, d AS (SELECT target AS id FROM e WHERE source IN (SELECT id FROM top)), u AS (SELECT source AS id FROM e WHERE target IN (SELECT id FROM top))
+SELECT id, CASE WHEN id IN (SELECT id FROM d) THEN 'dependency' WHEN id IN (SELECT id FROM u) THEN 'dependent' WHEN loc % 9 = 0 THEN 'cycle' WHEN layer = 'test' THEN 'test' ELSE 'tint' END AS fill, CASE WHEN id IN (SELECT id FROM d UNION SELECT id FROM u) THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END AS dim FROM files""")
+def leaf_fills(t: Fixture) -> DataFrame:
+    links, top = t.edges(), t.top()
+    ahead = graph.reach(links, top, 1).select("id", F.lit(True).alias("d"))
+    behind = graph.reach(graph.reversed_links(links), top, 1).select("id", F.lit(True).alias("u"))
+    rows = t.files().join(ahead, "id", "left").join(behind, "id", "left")
+    inside = F.coalesce("d", "u", F.lit(False))
+    return rows.select("id", query.leaf_fill(F.col("d"), F.col("u"), F.col("loc") % 9 == 0, F.col("layer") == "test").alias("fill"), query.focus_dim(inside).alias("dim"))
+
+
+@register(f"WITH {GRAPH_SQL}, {SYMBOLS_SQL} SELECT kind, count(*) AS n FROM symbols GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM files")
+def symbol_kinds(t: Fixture) -> DataFrame:
+    nodes = t.symbols().select(F.col("symbol_id").alias("id")).union(t.files().select("id"))
+    return nodes.groupBy(ids.symbol_kind(F.col("id")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
