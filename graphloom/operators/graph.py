@@ -15,6 +15,8 @@ from graphloom.durable import settle
 from graphloom.operators import kernels
 
 KERNEL_EDGES = 2_000_000
+#: Nodes of a closure in one task: it keeps a bit for each pair, at most 256 MB in all.
+CLOSURE_NODES = 65_000
 
 
 def reversed_links(links: DataFrame) -> DataFrame:
@@ -171,26 +173,37 @@ def topo_rank(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def transitive_weights(nodes: DataFrame, links: DataFrame, weight: str, limit: int = KERNEL_EDGES) -> DataFrame:
-    """(id, total): Σ ``weight`` over everything reachable, itself included, each once."""
+    """(id, total): Σ ``weight`` over everything reachable, itself included, each once.
+
+    Strong components first become single nodes of their members' summed weight. What is left runs as one
+    task if both its links and its nodes are few enough (``limit``, ``CLOSURE_NODES``), else as join rounds.
+    """
     weighed = nodes.select("id", F.col(weight).cast("double").alias("w")).dropDuplicates(["id"])
-    own = links.select("source", "target").distinct()
-    if own.limit(limit + 1).count() <= limit:
-        left = own.withColumn("g", F.lit(0)).groupBy("g")
-        right = weighed.withColumn("g", F.lit(0)).groupBy("g")
+    known = weighed.select("id")
+    own = links.select("source", "target").distinct().join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
+    own = settle(own.select("source", "target"))
+    parts = settle(strong_components(own, limit))
+    home = settle(weighed.join(parts.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    mass = settle(home.groupBy("component").agg(F.sum("w").alias("w")).withColumnRenamed("component", "id"))
+    ahead = settle(condensed(own, parts))
+    if ahead.limit(limit + 1).count() <= limit and mass.limit(CLOSURE_NODES + 1).count() <= min(limit, CLOSURE_NODES):
+        left = ahead.withColumn("g", F.lit(0)).groupBy("g")
+        right = mass.withColumn("g", F.lit(0)).groupBy("g")
 
         def kernel(edges: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-            weight = dict(zip(base["id"], base["w"], strict=True))
-            totals = kernels.closure_weights(weight, [(a, b) for a, b in zip(edges["source"], edges["target"], strict=True) if a in weight and b in weight])
+            totals = kernels.closure_weights(dict(zip(base["id"], base["w"], strict=True)), list(zip(edges["source"], edges["target"], strict=True)))
             return pd.DataFrame(list(totals.items()), columns=["id", "total"])
 
-        return left.cogroup(right).applyInPandas(kernel, f"id {links.schema['source'].dataType.simpleString()}, total double")
-    pairs = settle(weighed.select(F.col("id").alias("root"), "id"))
-    frontier = pairs
-    while not frontier.isEmpty():
-        step = frontier.join(own, frontier["id"] == own["source"]).select("root", F.col("target").alias("id")).distinct()
-        frontier = settle(step.join(pairs, ["root", "id"], "left_anti"))
-        pairs = settle(pairs.unionByName(frontier))
-    return pairs.join(weighed, "id").groupBy(F.col("root").alias("id")).agg(F.sum("w").alias("total"))
+        totals = left.cogroup(right).applyInPandas(kernel, f"id {links.schema['source'].dataType.simpleString()}, total double")
+    else:
+        pairs = settle(mass.select(F.col("id").alias("root"), "id"))
+        frontier = pairs
+        while not frontier.isEmpty():
+            step = frontier.join(ahead, frontier["id"] == ahead["source"]).select("root", F.col("target").alias("id")).distinct()
+            frontier = settle(step.join(pairs, ["root", "id"], "left_anti"))
+            pairs = settle(pairs.unionByName(frontier))
+        totals = pairs.join(mass, "id").groupBy(F.col("root").alias("id")).agg(F.sum("w").alias("total"))
+    return home.select("id", "component").join(totals.withColumnRenamed("id", "component"), "component").select("id", "total")
 
 
 def feedback_edges(links: DataFrame) -> DataFrame:
