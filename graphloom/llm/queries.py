@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, fim, gif, mixture, ngram_join, secrets, sentencepiece_codec, sharding, spotsigs, suffix_tree, toxicity, url_rules
+from . import divergence, fim, gif, minhash_join, mixture, ngram_join, secrets, sentencepiece_codec, sharding, spotsigs, suffix_tree, toxicity, url_rules
 from .common import n_words, table
 
 #: The label table's columns as the chain's categories; quality comes first, so toxicity may use it.
@@ -88,8 +88,13 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_join.components(table(spark, sf_dir, "documents"), minhash_join.shingles(2), 80)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity_chain, op2_spotsigs, op3_mixture_tree, op4_ngram_jaccard, op5_gif, op6_byte_shards, op7_suffix_tree, op8_sentencepiece, op9_url_rules, op10_secret_battery, op11_fim_ranks, op12_source_divergence)
+    own = (op1_toxicity_chain, op2_spotsigs, op3_mixture_tree, op4_ngram_jaccard, op5_gif, op6_byte_shards, op7_suffix_tree, op8_sentencepiece, op9_url_rules, op10_secret_battery, op11_fim_ranks, op12_source_divergence, op13_minhash_hamming)
     return {f.__name__: f for f in own}
 
 
