@@ -19,8 +19,10 @@ def symbol_id(path: Column, kind: Column, name: Column, line: Column) -> Column:
 
 
 def parent_file(node: Column) -> Column:
-    """The file of a symbol or cell id; other ids are their own file."""
-    return F.when(node.startswith("symbol:"), F.split_part(node, F.lit(":"), F.lit(2))).otherwise(F.split_part(node, F.lit("#"), F.lit(1)))
+    """The file of a symbol or cell id; other ids are their own file. A symbol's pieces count from the end, so paths may hold colons."""
+    parts = F.split(node, ":")
+    path = F.when(F.size(parts) >= 5, F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 4, F.lit(0))), ":")).otherwise(F.get(parts, F.lit(1)))
+    return F.when(node.startswith("symbol:"), path).otherwise(F.split_part(node, F.lit("#"), F.lit(1)))
 
 
 def line_of(symbol: Column) -> Column:
@@ -40,7 +42,9 @@ def symbol_kind(node: Column) -> Column:
 
 
 def symbol_name(symbol: Column) -> Column:
-    return F.split_part(symbol, F.lit(":"), F.lit(4))
+    """The name in a symbol's id, the second piece from its end."""
+    parts = F.split(symbol, ":")
+    return F.when(F.size(parts) >= 5, F.get(parts, F.size(parts) - 2)).otherwise("")
 
 
 def basename(path: Column) -> Column:

@@ -11,16 +11,20 @@ METRICS = ("loc", "file_count", "directory_count", "import_edge_count", "unresol
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Files (id, loc, fan_in, fan_out, in_cycle) that are new, gone, or differ in LoC or fans."""
-    b = before.select("id", *[F.col(c).alias(f"b_{c}") for c in ("loc", "fan_in", "fan_out", "in_cycle")], F.lit(True).alias("was"))
-    a = after.select("id", *[F.col(c).alias(f"a_{c}") for c in ("loc", "fan_in", "fan_out", "in_cycle")], F.lit(True).alias("now"))
+    """Files (id, loc, fan_in, fan_out) that are new, gone, or differ in LoC or fans.
+
+    Where both sides say ``in_cycle``, ``new_cycle`` marks files that only now lie in a cycle.
+    """
+    cycles = "in_cycle" in before.columns and "in_cycle" in after.columns
+    columns = ("loc", "fan_in", "fan_out", *(["in_cycle"] if cycles else []))
+    b = before.select("id", *[F.col(c).alias(f"b_{c}") for c in columns], F.lit(True).alias("was"))
+    a = after.select("id", *[F.col(c).alias(f"a_{c}") for c in columns], F.lit(True).alias("now"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    met = a.join(b, "id", "full_outer")
-    rows = met.select(
+    rows = a.join(b, "id", "full_outer").select(
         "id",
         F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("modified").alias("change"),
-        *[(zero(f"a_{c}") - zero(f"b_{c}")).alias(f"{c}_delta") for c in ("loc", "fan_in", "fan_out")],
-        (F.coalesce("a_in_cycle", F.lit(False)) & ~F.coalesce("b_in_cycle", F.lit(False))).alias("new_cycle"),
+        *[(zero(f"a_{c}") - zero(f"b_{c}")).alias(f"{c}_delta") for c in columns[:3]],
+        *([(F.coalesce("a_in_cycle", F.lit(False)) & ~F.coalesce("b_in_cycle", F.lit(False))).alias("new_cycle")] if cycles else []),
     )
     return rows.filter("change <> 'modified' or loc_delta <> 0 or fan_in_delta <> 0 or fan_out_delta <> 0")
 

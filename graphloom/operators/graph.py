@@ -1,13 +1,17 @@
 """Graph queries over link tables (source depends on target).
 
-Walks are semi-naive loops of joins that settle every round. Algorithms that need a whole graph at
-once (strong components, ranks, closures of weights) run as one grouped task per graph where the
-graph has at most ``KERNEL_EDGES`` links, which is checked, and as join loops beyond that.
+Walks are semi-naive loops of joins that settle every round. Strong components run as one grouped task
+where a graph has at most ``KERNEL_EDGES`` links, which is checked, and as join loops beyond that.
+Closures of weights are joins over rows of bits at every size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +19,10 @@ from graphloom.durable import settle
 from graphloom.operators import kernels
 
 KERNEL_EDGES = 2_000_000
-#: Nodes of a closure in one task: it keeps a bit for each pair, at most 256 MB in all.
-CLOSURE_NODES = 65_000
+#: Longs of 64 columns in a row of a closure.
+WORDS = 16
+#: Rows of a closure that are worked on together, if every node reaches every block of columns.
+SLAB_ROWS = 1 << 25
 
 
 def reversed_links(links: DataFrame) -> DataFrame:
@@ -150,62 +156,114 @@ def condensed(links: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def topo_rank(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, rank): 0 without dependencies, else one more than the highest dependency; cycles share a rank.
-
-    One round a rank: nodes whose dependencies are all ranked get theirs.
-    """
+    """(id, rank): 0 without dependencies, else one more than the highest dependency; cycles share a rank."""
     known = nodes.select("id").distinct()
     own = links.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
     parts = settle(strong_components(own))
-    left = settle(condensed(own, parts))
     component = settle(known.join(parts.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id")))
-    waiting, ranked, rank = settle(component.select("component").distinct()), None, 0
+    ranked = dag_ranks(component.select(F.col("component").alias("id")).distinct(), condensed(own, parts))
+    return component.join(ranked.withColumnRenamed("id", "component"), "component").select("id", "rank")
+
+
+def dag_ranks(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, rank) of the nodes of a graph without cycles. One round a rank: nodes whose dependencies are all ranked get theirs."""
+    left, waiting, rank = settle(links.select("source", "target").distinct()), settle(nodes.select("id").distinct()), 0
+    ranked = waiting.limit(0).withColumn("rank", F.lit(0))
     while not waiting.isEmpty():
-        blocked = left.select(F.col("source").alias("component")).distinct()
-        ready = settle(waiting.join(blocked, "component", "left_anti").withColumn("rank", F.lit(rank)))
-        ranked = ready if ranked is None else ranked.unionByName(ready)
-        waiting = settle(waiting.join(ready, "component", "left_anti"))
-        left = settle(left.join(ready.select(F.col("component").alias("target")), "target", "left_anti").select("source", "target"))
+        blocked = left.select(F.col("source").alias("id")).distinct()
+        split = settle(waiting.join(blocked.withColumn("blocked", F.lit(True)), "id", "left"))
+        ready = split.filter("blocked is null").select("id")
+        ranked = ranked.unionByName(ready.withColumn("rank", F.lit(rank)))
+        waiting = split.filter("blocked").select("id")
+        left = settle(left.join(ready.select(F.col("id").alias("target")), "target", "left_anti").select("source", "target"))
         rank += 1
         if rank % 16 == 0:
             ranked = settle(ranked)
-    return component.join(ranked, "component").select("id", "rank") if ranked is not None else known.withColumn("rank", F.lit(0))
+    return ranked
 
 
-def transitive_weights(nodes: DataFrame, links: DataFrame, weight: str, limit: int = KERNEL_EDGES) -> DataFrame:
+def transitive_weights(nodes: DataFrame, links: DataFrame, weight: str) -> DataFrame:
     """(id, total): Σ ``weight`` over everything reachable, itself included, each once.
 
-    Strong components first become single nodes of their members' summed weight. What is left runs as one
-    task if both its links and its nodes are few enough (``limit``, ``CLOSURE_NODES``), else as join rounds.
+    Strong components first become single nodes of their members' summed weight; the rest has no cycles.
+    Its nodes are dealt to blocks of ``64 * WORDS`` columns, and a row holds which columns of one block a
+    node reaches, one bit each. Rows go up the ranks by joins with the links and a bitwise-or aggregate, so
+    nothing is gathered in one task and no pair of nodes is ever a row. Blocks are worked on in slabs of at
+    most ``SLAB_ROWS`` rows, each of which is summed before the next one.
     """
     weighed = nodes.select("id", F.col(weight).cast("double").alias("w")).dropDuplicates(["id"])
     known = weighed.select("id")
     own = links.select("source", "target").distinct().join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
     own = settle(own.select("source", "target"))
-    parts = settle(strong_components(own, limit))
+    parts = settle(strong_components(own))
     home = settle(weighed.join(parts.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id")))
-    mass = settle(home.groupBy("component").agg(F.sum("w").alias("w")).withColumnRenamed("component", "id"))
-    ahead = settle(condensed(own, parts))
-    if ahead.limit(limit + 1).count() <= limit and mass.limit(CLOSURE_NODES + 1).count() <= min(limit, CLOSURE_NODES):
-        left = ahead.withColumn("g", F.lit(0)).groupBy("g")
-        right = mass.withColumn("g", F.lit(0)).groupBy("g")
-
-        def kernel(edges: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-            totals = kernels.closure_weights(dict(zip(base["id"], base["w"], strict=True)), list(zip(edges["source"], edges["target"], strict=True)))
-            return pd.DataFrame(list(totals.items()), columns=["id", "total"])
-
-        totals = left.cogroup(right).applyInPandas(kernel, f"id {links.schema['source'].dataType.simpleString()}, total double")
-    else:
-        pairs = settle(mass.select(F.col("id").alias("root"), "id"))
-        frontier = pairs
-        while not frontier.isEmpty():
-            step = frontier.join(ahead, frontier["id"] == ahead["source"]).select("root", F.col("target").alias("id")).distinct()
-            frontier = settle(step.join(pairs, ["root", "id"], "left_anti"))
-            pairs = settle(pairs.unionByName(frontier))
-        totals = pairs.join(mass, "id").groupBy(F.col("root").alias("id")).agg(F.sum("w").alias("total"))
+    totals = closure_sums(home.groupBy(F.col("component").alias("id")).agg(F.sum("w").alias("w")), condensed(own, parts))
     return home.select("id", "component").join(totals.withColumnRenamed("id", "component"), "component").select("id", "total")
 
 
+def closure_sums(mass: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, total) of a graph without cycles: Σ ``w`` over all that each node of ``mass`` (id, w) reaches, itself included."""
+    width = 64 * WORDS
+    words = [f"w{k}" for k in range(WORDS)]
+    ranks = settle(dag_ranks(mass.select("id"), links))
+    # Partitions are numbered and their rows counted, so columns of a block are neighbours in rank order.
+    columns = settle(mass.join(ranks, "id").orderBy("rank", "id").withColumn("at", F.monotonically_increasing_id()))
+    columns = columns.select("id", "w", "rank", F.floor(F.col("at") / width).cast("long").alias("block"), (F.col("at") % width).cast("int").alias("place"))
+    lines = settle(links.join(ranks.withColumnRenamed("id", "source"), "source").select("source", "target", "rank"))
+    size = columns.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("block").alias("blocks"), F.max("rank").alias("top")).first()
+    slabs = max(1, -(-size["n"] * size["blocks"] // SLAB_ROWS))
+    bit = lambda k: F.when(F.floor(F.col("place") / 64) == k, F.shiftleft(F.lit(1).cast("long"), F.col("place") % 64)).otherwise(F.lit(0).cast("long"))
+    slab = F.pmod(F.xxhash64("block"), F.lit(slabs))
+    sums = None
+    for s in range(slabs):
+        inside = columns.filter(slab == s)
+        runs: list[tuple[int, DataFrame]] = []  # sizes double, so few of them are read and rows are seldom rewritten
+        for rank in range((size["top"] or 0) + 1):
+            level = inside.filter(F.col("rank") == rank).select("id", "block", *[bit(k).alias(w) for k, w in enumerate(words)])
+            for _, run in runs:
+                above = lines.filter(F.col("rank") == rank).join(run, lines["target"] == run["id"]).select(F.col("source").alias("id"), "block", *words)
+                level = level.unionByName(above)
+            level = settle(level.groupBy("id", "block").agg(*[F.bit_or(w).alias(w) for w in words]))
+            runs.append((0, level))
+            while len(runs) > 1 and runs[-1][0] == runs[-2][0]:
+                (order, a), (_, b) = runs.pop(), runs.pop()
+                runs.append((order + 1, settle(a.unionByName(b))))
+        reached = runs[0][1]
+        for _, run in runs[1:]:
+            reached = reached.unionByName(run)
+        part = _block_sums(reached, inside.select("block", "place", "w"), words)
+        part = settle(part.groupBy("id").agg(F.sum("total").alias("total")))
+        sums = part if sums is None else sums.unionByName(part)
+    return sums.groupBy("id").agg(F.sum("total").alias("total"))
+
+
+def _block_sums(reached: DataFrame, weights: DataFrame, words: list[str], shares: int = 8) -> DataFrame:
+    """(id, total): each row's bits times its block's weights, which come first in each of the block's ``shares``."""
+    kind = reached.schema["id"].dataType.simpleString()
+    place = F.array_sort(F.collect_list(F.struct("place", "w")))  # one block's columns
+    heads = weights.groupBy("block").agg(place.alias("own")).select("block", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "own")
+    heads = heads.select("block", "share", F.lit(None).cast(kind).alias("id"), *[F.lit(0).cast("long").alias(w) for w in words], "own")
+    rows = reached.select("block", F.pmod(F.hash("id"), F.lit(shares)).cast("int").alias("share"), "id", *words, F.lit(None).cast(heads.schema["own"].dataType).alias("own"))
+    dealt = heads.unionByName(rows).repartition("block", "share").sortWithinPartitions("block", "share", F.col("own").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = np.zeros(64 * len(words))
+        for batch in batches:
+            starts = [i for i, own in enumerate(batch.column("own").is_valid().to_pylist()) if own]
+            bits = np.stack([batch.column(w).to_numpy(zero_copy_only=False) for w in words], axis=1).astype("<i8")
+            for low, high in zip([0, *starts], [*starts, batch.num_rows], strict=True):
+                if low in starts:
+                    own = batch.column("own")[low].as_py()
+                    weight = np.zeros(64 * len(words))
+                    weight[[c["place"] for c in own]] = [c["w"] for c in own]
+                    low += 1
+                if low < high:
+                    flags = np.unpackbits(bits[low:high].view(np.uint8).reshape(high - low, -1), axis=1, bitorder="little")
+                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), pa.array(flags @ weight)], names=["id", "total"])
+
+    return dealt.mapInArrow(run, f"id {kind}, total double")
+
+
 def feedback_edges(links: DataFrame) -> DataFrame:
     """Back edges and self links of a depth-first walk in link order (``ord``); graphs up to the kernel bound."""
 

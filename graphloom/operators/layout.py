@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.durable import settle
 from graphloom.operators import kernels
 
 
@@ -73,13 +74,75 @@ def rings(items: DataFrame, budget: float) -> DataFrame:
 
 
 def nearest(points: DataFrame, cell: float) -> DataFrame:
-    """(id, distance2) to the nearest other point, where it lies within ``cell``: a grid join of 3 x 3 cells."""
-    at = points.select("id", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    """(id, neighbor, distance2): the nearest other point of each point, of equally near ones the least id.
+
+    ``points``: (id, x, y), ids are unique. A grid join of 3 x 3 cells closes every point whose neighbour lies
+    within a cell's width; the rest, those in thinner areas, go on with cells twice as wide, until the grid
+    holds all points. A single point has no neighbour and no row.
+    """
+    at = settle(points.select("id", "x", "y"))
+    span = at.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0]
+    offsets = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    left, found = at, at.select("id", F.col("id").alias("neighbor"), F.lit(0.0).alias("distance2")).limit(0)
+    while not left.isEmpty():
+        on = lambda c: F.floor(F.col(c) / cell)  # noqa: B023, E731
+        grid = at.select(F.col("id").alias("neighbor"), F.col("x").alias("nx"), F.col("y").alias("ny"), on("x").alias("cx"), on("y").alias("cy"))
+        around = left.select("id", "x", "y", F.explode(offsets).alias("o"), on("x").alias("cx"), on("y").alias("cy")).select("id", "x", "y", (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"))
+        far = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
+        best = around.join(grid, ["cx", "cy"]).filter("id <> neighbor").groupBy("id").agg(F.min(F.struct(far.alias("distance2"), "neighbor")).alias("best"))
+        met = settle(left.join(best, "id", "left"))
+        last = span is None or cell > span
+        closed = F.col("best").isNotNull() if last else F.coalesce(F.col("best.distance2") <= cell * cell, F.lit(False))
+        found = found.unionByName(met.filter(closed).select("id", "best.neighbor", "best.distance2"))
+        if last:
+            break
+        left, cell = met.filter(~closed).select("id", "x", "y"), cell * 2
+    return found
+
+
+def _crossed(cell: float) -> Column:
+    """Grid cells (cx, cy) that the segment (ax, ay) to (bx, by) runs through, column by column."""
+    on = lambda v: F.floor(v / cell)
+    low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
+    slope = (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))
+    height = lambda x: F.when(F.col("ax") == F.col("bx"), F.col("ay")).otherwise(F.col("ay") + slope * (x - F.col("ax")))
+
+    def column(cx: Column) -> Column:
+        left, right = height(F.greatest(low, cx * cell)), height(F.least(high, (cx + 1) * cell))
+        upright = F.col("ax") == F.col("bx")
+        bottom, top = F.when(upright, F.least("ay", "by")).otherwise(F.least(left, right)), F.when(upright, F.greatest("ay", "by")).otherwise(F.greatest(left, right))
+        # A hair of play, so that rounding of the slope loses no cell.
+        return F.transform(F.sequence(on(bottom - cell * 1e-9), on(top + cell * 1e-9)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(on(low), on(high)), column))
+
+
+def picked_edges(points: DataFrame, edges: DataFrame, most: float, dominance: float = 1.0) -> DataFrame:
+    """(id, source, target, distance): the edge whose line passes closest to each point, within ``most``.
+
+    ``points``: (id, x, y), ``edges``: (source, target, line, ord) with ``line`` an array of (x, y). A point is
+    left out where its edge is farther than ``dominance`` times the next one's distance; of equally near edges
+    the first counts. Segments wait in every grid cell that they run through, with cells as wide as a
+    runner-up can matter, so a point asks 3 x 3 cells.
+    """
+    cell = most / dominance
+    line = F.when(F.size("line") == 1, F.concat("line", "line")).otherwise(F.col("line"))
+    ends = F.arrays_zip(F.slice(line, F.lit(1), F.size(line) - 1).alias("a"), F.slice(line, F.lit(2), F.size(line) - 1).alias("b"))
+    parts = edges.filter(F.size("line") > 0).select("source", "target", "ord", F.explode(ends).alias("s"))
+    parts = parts.select("source", "target", "ord", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+    waiting = parts.withColumn("c", F.explode(_crossed(cell))).select("*", "c.cx", "c.cy").drop("c")
     offsets = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    around = at.select("id", "x", "y", "cx", "cy", F.explode(offsets).alias("o")).select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"))
-    met = around.join(at, ["cx", "cy"]).filter("a <> id")
-    far = (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y"))
-    return met.groupBy(F.col("a").alias("id")).agg(F.min(far).alias("distance2")).filter(F.col("distance2") <= cell * cell)
+    asked = points.select("id", "x", "y", F.explode(offsets).alias("o")).select("id", "x", "y", (F.floor(F.col("x") / cell) + F.col("o.dx")).alias("cx"), (F.floor(F.col("y") / cell) + F.col("o.dy")).alias("cy"))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    length2 = dx * dx + dy * dy
+    along = F.when(length2 > 1e-12, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / length2))).otherwise(0.0)
+    qx, qy = F.col("x") - (F.col("ax") + along * dx), F.col("y") - (F.col("ay") + along * dy)
+    near = asked.join(waiting, ["cx", "cy"]).groupBy("id", "source", "target", "ord").agg(F.sqrt(F.min(qx * qx + qy * qy)).alias("distance"))
+    order = Window.partitionBy("id").orderBy("distance", "ord")
+    two = near.select("id", "source", "target", "ord", "distance", F.row_number().over(order).alias("nth")).filter("nth <= 2")
+    best = two.groupBy("id").agg(F.min_by(F.struct("source", "target", "distance"), "nth").alias("e"), F.max(F.when(F.col("nth") == 2, F.col("distance"))).alias("next"))
+    contested = F.col("e.distance") > F.coalesce("next", F.lit(float("inf"))) * dominance
+    return best.filter((F.col("e.distance") <= most) & ~contested).select("id", "e.source", "e.target", "e.distance")
 
 
 def lca_path(source: Column, target: Column) -> Column:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.ids import parent_file
 from graphloom.operators import graph
 
 
@@ -156,3 +157,31 @@ def focus_dim(inside: Column) -> Column:
 def leaf_fill(dependency: Column, dependent: Column, cyclic: Column, test: Column) -> Column:
     """What colours a leaf, the first that holds; ``tint`` is that of its top group."""
     return F.when(dependency, "dependency").when(dependent, "dependent").when(cyclic, "cycle").when(test, "test").otherwise("tint")
+
+
+def signals(nodes: DataFrame, homes: DataFrame, changed: DataFrame, heat: DataFrame, tests: DataFrame) -> DataFrame:
+    """(level, id, changed, heat, tests) of nodes (level ``symbol``, ``file`` or ``module``; id): signals folded up the levels.
+
+    One membership table says which nodes a signal's id belongs to: itself, its file, that file's module
+    (``homes``: file, module). ``changed`` (id, kind): a symbol's own change counts before its file's, a
+    module is modified if one of its files is, else added if one is. ``heat`` (id, heat): the greatest.
+    ``tests`` (signal_id, test_id, status): each once, by status and id. Nodes without a signal have
+    null, null and an empty list.
+    """
+    ids = heat.select("id").union(tests.select("signal_id")).distinct()
+    home = homes.select(F.col("file").alias("home"), "module").distinct()
+    placed = ids.withColumn("home", parent_file(F.col("id"))).join(home, "home", "left")
+    levels = F.array(F.struct(F.lit("symbol").alias("level"), F.col("id").alias("node")), F.struct(F.lit("file").alias("level"), F.col("id").alias("node")), F.struct(F.lit("file").alias("level"), F.col("home").alias("node")), F.struct(F.lit("module").alias("level"), F.col("module").alias("node")), F.struct(F.lit("module").alias("level"), F.col("id").alias("node")))
+    member = placed.select(F.col("id").alias("signal_id"), F.explode(F.array_distinct(levels)).alias("m")).select("signal_id", "m.level", F.col("m.node").alias("id")).filter("id is not null")
+
+    hot = member.join(heat.withColumnRenamed("id", "signal_id"), "signal_id").groupBy("level", "id").agg(F.max("heat").alias("heat"))
+    run = member.join(tests, "signal_id").select("level", "id", "status", "test_id").groupBy("level", "id", "test_id").agg(F.min("status").alias("status"))
+    run = run.groupBy("level", "id").agg(F.array_sort(F.collect_list(F.struct("status", "test_id"))).alias("tests"))
+
+    own = changed.select("id", "kind").groupBy("id").agg(F.max("kind").alias("kind"))  # "modified" is the greater word
+    above = own.join(home.withColumnRenamed("home", "id"), "id").groupBy(F.col("module").alias("id")).agg(F.max("kind").alias("by_module"))
+    met = nodes.withColumn("home", F.when(F.col("level") != "module", parent_file(F.col("id"))))
+    met = met.join(own.withColumnRenamed("kind", "by_id"), "id", "left").join(own.select(F.col("id").alias("home"), F.col("kind").alias("by_file")), "home", "left").join(above, "id", "left")
+    kind = F.when(F.col("level") == "symbol", F.coalesce("by_id", "by_file")).when(F.col("level") == "file", F.col("by_file")).otherwise(F.col("by_module"))
+    out = met.select("level", "id", kind.alias("changed")).join(hot, ["level", "id"], "left").join(run, ["level", "id"], "left")
+    return out.select("level", "id", "changed", "heat", F.coalesce("tests", F.array().cast("array<struct<status:string,test_id:string>>")).alias("tests"))

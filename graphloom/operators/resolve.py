@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.ids import basename, dirname, normalised
+from graphloom.durable import settle
+from graphloom.functions.ids import dirname, normalised
+from graphloom.operators import intervals
 
 #: Endings tried in this order, then the same behind ``/index`` (fixed values).
 ENDINGS = (".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs")
@@ -46,14 +48,29 @@ def enclosing(points: DataFrame, symbols: DataFrame, at: str = "line") -> DataFr
     """Add ``symbol_id``: of the symbols of the file that hold the line, the one that starts last.
 
     ``points``: (file, line, ...), ``symbols``: (path, symbol_id, start_line, end_line, ord); the first
-    of several that start alike.
+    of several that start alike. Symbols wait on the pieces of their span (``intervals``), of each piece
+    only the best one, and a line asks its pieces: a file of very many symbols and lines stays linear.
     """
     keyed = points.select(F.col("file"), F.col(at).alias("at")).distinct()
-    met = keyed.join(symbols, (F.col("file") == F.col("path")) & F.col("at").between(F.col("start_line"), F.col("end_line")))
-    best = met.groupBy("file", "at").agg(F.max_by("symbol_id", F.struct("start_line", -F.col("ord"))).alias("symbol_id"))
+    spans = symbols.select(F.col("path").alias("file"), "symbol_id", F.col("start_line").alias("low"), F.col("end_line").alias("high"), F.struct("start_line", -F.col("ord")).alias("rank"))
+    best = intervals.best_at(keyed, spans, "file", "at", "symbol_id", "rank")
     return points.join(best.withColumnRenamed("at", at), ["file", at], "left")
 
 
+def located(references: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Add ``node``: the first symbol of the file (by ``ord``) with ``start <= line < start + loc``, else
+    the first that is named like the reference, else the file itself if it is known.
+
+    ``references``: (file, line, name, ...), ``symbols``: (path, symbol_id, name, start_line, loc, ord), ``files``: (id).
+    """
+    spans = symbols.select(F.col("path").alias("file"), "symbol_id", F.col("start_line").alias("low"), (F.col("start_line") + F.col("loc") - 1).alias("high"), (-F.col("ord")).alias("rank"))
+    by_line = intervals.best_at(references.select("file", F.col("line").alias("at")).distinct(), spans, "file", "at", "symbol_id", "rank")
+    by_name = symbols.groupBy(F.col("path").alias("file"), "name").agg(F.min_by("symbol_id", "ord").alias("by_name"))
+    known = files.select(F.col("id").alias("file"), F.col("id").alias("by_file")).distinct()
+    met = references.join(by_line.withColumnRenamed("at", "line"), ["file", "line"], "left").join(by_name, ["file", "name"], "left").join(known, "file", "left")
+    return met.select(*[F.col(c) for c in references.columns], F.coalesce("symbol_id", "by_name", "by_file").alias("node"))
+
+
 def reference_edges(references: DataFrame, symbols: DataFrame) -> DataFrame:
     """(from_symbol_id, to_symbol_id) of references (file, line, target_file, name) to exported symbols."""
     targets = symbols.filter("exported").select(F.col("path").alias("target_file"), "name", F.col("symbol_id").alias("to_symbol_id"), F.col("ord").alias("to_ord"))
@@ -79,25 +96,27 @@ def package_directory_edges(imports: DataFrame, packages: DataFrame, files: Data
     return imports.join(packages, "spec").join(homes, "dir").filter("source <> target").select("source", "target", "spec").distinct()
 
 
-def reexport_targets(exports: DataFrame, rounds: int = 32) -> DataFrame:
+def reexport_targets(exports: DataFrame) -> DataFrame:
     """(file, name, home, original): where each exported name is defined, through barrels and renames.
 
     ``exports``: (file, name, from_file, original, ord); a definition has a null ``from_file``; a
-    star export has the name ``*``. Cycles end because a name is only ever resolved once.
+    star export has the name ``*``. One round for each barrel of the longest chain, in which only what
+    the last round found is followed; cycles end because a name is only ever resolved once.
     """
-    from graphloom.durable import settle
-
-    defined = exports.filter("from_file is null").groupBy("file", "name").agg(F.min("ord").alias("ord")).select("file", "name", F.col("file").alias("home"), F.col("name").alias("original"))
-    found = settle(defined)
-    for _ in range(rounds):
-        inner = found.select(F.col("file").alias("from_file"), F.col("name").alias("inner"), "home", F.col("original").alias("root"))
-        named = exports.filter("from_file is not null and name <> '*'").withColumn("inner", F.coalesce("original", "name")).join(inner, ["from_file", "inner"]).select("file", "name", "home", F.col("root").alias("original"), "ord")
-        star = exports.filter("from_file is not null and name = '*'").join(inner.filter("inner <> 'default'"), "from_file").select("file", F.col("inner").alias("name"), "home", F.col("root").alias("original"), "ord")
-        fresh = named.unionByName(star).join(found, ["file", "name"], "left_anti").groupBy("file", "name").agg(F.min_by(F.struct("home", "original"), "ord").alias("t")).select("file", "name", "t.home", "t.original")
-        fresh = settle(fresh)
-        if fresh.isEmpty():
-            break
-        found = settle(found.unionByName(fresh))
+    rows = settle(exports.select("file", "name", "from_file", "original", "ord"))
+    named = rows.filter("from_file is not null and name <> '*'").withColumn("inner", F.coalesce("original", "name")).drop("original")
+    stars = rows.filter("from_file is not null and name = '*'").select("file", "from_file", "ord")
+    fresh = settle(rows.filter("from_file is null").select("file", "name", F.col("file").alias("home"), F.col("name").alias("original")).distinct())
+    found, rounds = fresh, 0
+    while not fresh.isEmpty():
+        inner = fresh.select(F.col("file").alias("from_file"), F.col("name").alias("inner"), "home", "original")
+        one = named.join(inner, ["from_file", "inner"]).select("file", "name", "home", "original", "ord")
+        all_ = stars.join(inner.filter("inner <> 'default'"), "from_file").select("file", F.col("inner").alias("name"), "home", "original", "ord")
+        met = one.unionByName(all_).join(found, ["file", "name"], "left_anti")
+        fresh = settle(met.groupBy("file", "name").agg(F.min_by(F.struct("home", "original"), F.struct("ord", "home", "original")).alias("t")).select("file", "name", "t.home", "t.original"))
+        found, rounds = found.unionByName(fresh), rounds + 1
+        if rounds % 8 == 0:
+            found = settle(found)
     return found
 
 
@@ -145,9 +164,12 @@ def frames_to_symbols(frames: DataFrame, symbols: DataFrame) -> DataFrame:
 def hunk_overlap(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """(symbol_id, added, touched, deleted): lines of each symbol that hunks of its file cover.
 
-    A pure deletion counts where its new position lies inside the symbol.
+    A pure deletion counts where its new position lies inside the symbol. Only hunks and symbols that meet
+    are paired: one of them starts within the other.
     """
-    met = hunks.join(symbols, hunks["path"] == symbols["path"])
+    keyed = hunks.select(F.col("path").alias("file"), F.col("new_start").alias("low"), (F.col("new_start") + F.greatest(F.col("new_lines"), F.lit(1)) - 1).alias("high"), F.struct("new_start", "new_lines", "old_lines").alias("hunk"))
+    spans = symbols.select(F.col("path").alias("file"), F.col("start_line").alias("low"), F.col("end_line").alias("high"), F.struct("symbol_id", "start_line", "end_line").alias("symbol"))
+    met = intervals.overlapping(keyed, spans, "file", "hunk", "symbol").select("hunk.*", "symbol.*")
     shared = F.greatest(F.lit(0), F.least(F.col("end_line"), F.col("new_start") + F.col("new_lines") - 1) - F.greatest("start_line", "new_start") + 1)
     shared = F.when(F.col("new_lines") > 0, shared).otherwise(0)
     cut = F.when(F.col("new_lines") > 0, F.least(shared, F.col("old_lines"))).when(F.col("new_start").between(F.col("start_line"), F.col("end_line")), F.col("old_lines")).otherwise(0)
@@ -174,15 +196,6 @@ def call_hierarchy(edges: DataFrame, file: str, symbol: str) -> DataFrame:
     return incoming.unionByName(outgoing).distinct()
 
 
-def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
-
-
-def label_of(path: Column) -> Column:
-    return basename(path)
-
-
 def import_edges(imports: DataFrame, files: DataFrame, packages: DataFrame) -> DataFrame:
     """(id, source, target, specifier, resolved, external): one import edge an id.
 
@@ -212,3 +225,26 @@ def merged_symbol_imports(known: DataFrame, added: DataFrame) -> DataFrame:
     fresh = added.select(key, F.struct(*added.columns).alias("row")).join(known.select(key).distinct(), "__key", "left_anti")
     first = fresh.groupBy("__key").agg(F.min_by("row", F.col("row.ord")).alias("row")).select("row.*")
     return known.unionByName(first)
+
+
+def bound_imports(bindings: DataFrame, usage: DataFrame, symbols: DataFrame, origins: DataFrame | None = None) -> DataFrame:
+    """(file, target_file, imported, local, kind, from_symbol_id, to_symbol_id): named bindings led to the exports that they mean.
+
+    ``bindings``: (file, target_file, imported, local, kind, type_only), ``usage``: (file, local, from_symbol_id),
+    ``symbols``: (path, name, symbol_id, exported, ord), ``origins``: (file, name, home, original) of names that
+    a file passes on. Type-only, ``*``, side-effect, dynamic and required bindings lead nowhere. The export
+    of a name is the last one; a name that the target only passes on is looked up where it is defined. Each
+    symbol that uses the local name gives a row; names that nothing uses, and named re-exports, come from the
+    file itself (null).
+    """
+    kept = bindings.filter((~F.coalesce("type_only", F.lit(False))) & (F.col("imported") != "*") & ~F.col("kind").isin("side-effect", "dynamic", "require"))
+    exported = symbols.filter("exported").groupBy(F.col("path").alias("target_file"), F.col("name").alias("imported")).agg(F.max_by("symbol_id", "ord").alias("direct"))
+    met = kept.join(exported, ["target_file", "imported"], "left")
+    if origins is not None:
+        first = symbols.groupBy(F.col("path").alias("home"), F.col("name").alias("original")).agg(F.min_by("symbol_id", "ord").alias("passed"))
+        led = origins.join(first, ["home", "original"]).select(F.col("file").alias("target_file"), F.col("name").alias("imported"), "passed")
+        met = met.join(led, ["target_file", "imported"], "left").withColumn("direct", F.coalesce("direct", "passed"))
+    met = met.filter("direct is not null")
+    used = met.join(usage.select("file", "local", "from_symbol_id").distinct(), ["file", "local"], "left")
+    source = F.when(F.col("kind") != "reexport-named", F.col("from_symbol_id"))
+    return used.select("file", "target_file", "imported", "local", "kind", source.alias("from_symbol_id"), F.col("direct").alias("to_symbol_id")).distinct()

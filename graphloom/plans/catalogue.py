@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import ids, text
 from graphloom.operators import diff, graph, layout, metrics, project, query, resolve, services, traces
-from graphloom.plans.fixture import FILES_SQL, GRAPH_SQL, SNAP_SQL, SYMBOLS_SQL, TOP_SQL, Fixture
+from graphloom.plans.fixture import FILES_SQL, GRAPH_SQL, LANES_SQL, LOST_SQL, SNAP_SQL, SYMBOLS_SQL, TOP_SQL, Fixture
 from graphloom.sources import artifacts, git, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +130,67 @@ def module_communities(t: Fixture) -> DataFrame:
     return graph.communities(metrics.lifted_edges(t.files(), t.imports()).select("source", "target", "weight", F.row_number().over(order).alias("ord")))
 
 
+# The same on a sparse projection, where components, ranks and sums differ
+
+LANE_SETS = "s(a, b) AS (SELECT id, id FROM lanes UNION SELECT s.a, le.target FROM s JOIN le ON s.b = le.source)"
+LANE_PARTS = "r(a, b) AS (SELECT source, target FROM le UNION SELECT r.a, le.target FROM r JOIN le ON r.b = le.source), m AS (SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1)"
+LANE_HOME = "home AS (SELECT lanes.id, coalesce(m.component, lanes.id) AS c FROM lanes LEFT JOIN m USING (id)), ce AS (SELECT DISTINCT a.c AS s, b.c AS t FROM le JOIN home a ON a.id = source JOIN home b ON b.id = target WHERE a.c <> b.c)"
+
+
+@register(f"WITH RECURSIVE {FILES_SQL}, {LANES_SQL}, {LANE_PARTS} SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM m")
+def lane_components(t: Fixture) -> DataFrame:
+    return graph.strong_components(t.lane_links()).filter("cyclic").select("id", "component", "size")
+
+
+@register(f"WITH RECURSIVE {FILES_SQL}, {LANES_SQL}, nb AS (SELECT source AS a, target AS b FROM le UNION SELECT target, source FROM le), w(id, low) AS (SELECT a, least(a, min(b)) FROM nb GROUP BY a UNION SELECT nb.b, w.low FROM w JOIN nb ON nb.a = w.id WHERE w.low < nb.b) SELECT low AS component, count(*) AS lanes FROM (SELECT id, min(low) AS low FROM w GROUP BY id) q GROUP BY low")
+def lane_islands(t: Fixture) -> DataFrame:
+    return graph.weak_components(t.lane_links()).groupBy("component").agg(F.count(F.lit(1)).alias("lanes"))
+
+
+@register(f"WITH RECURSIVE {FILES_SQL}, {LANES_SQL}, {LANE_PARTS}, {LANE_HOME}, k(c, n) AS (SELECT DISTINCT c, 0 FROM home UNION SELECT ce.s, n + 1 FROM k JOIN ce ON ce.t = k.c) SELECT id, max(n) AS rank FROM home JOIN k USING (c) GROUP BY id")
+def lane_ranks(t: Fixture) -> DataFrame:
+    return graph.topo_rank(t.lanes(), t.lane_links()).select("id", F.col("rank").cast("int").alias("rank"))
+
+
+@register(f"WITH RECURSIVE {FILES_SQL}, {LANES_SQL}, k(c, n) AS (SELECT id, 0 FROM lanes UNION SELECT source, n + 1 FROM k JOIN ladder ON target = k.c) SELECT c AS id, max(n) AS rank FROM k GROUP BY c")
+def ladder_ranks(t: Fixture) -> DataFrame:
+    return graph.topo_rank(t.lanes(), t.ladder_links()).select("id", F.col("rank").cast("int").alias("rank"))
+
+
+@register(f"WITH RECURSIVE {FILES_SQL}, {LANES_SQL}, s(a, b) AS (SELECT id, id FROM lanes UNION SELECT s.a, ladder.target FROM s JOIN ladder ON s.b = ladder.source) SELECT a AS id, CAST(sum(loc) AS BIGINT) AS total FROM s JOIN lanes ON b = id GROUP BY a")
+def ladder_weight(t: Fixture) -> DataFrame:
+    return graph.transitive_weights(t.lanes(), t.ladder_links(), "loc").select("id", F.col("total").cast("long").alias("total"))
+
+
+@register(f"WITH RECURSIVE {FILES_SQL}, {LANES_SQL}, {LANE_SETS} SELECT a AS id, CAST(sum(loc) AS BIGINT) AS total FROM s JOIN lanes ON b = id GROUP BY a")
+def lane_weight(t: Fixture) -> DataFrame:
+    return graph.transitive_weights(t.lanes(), t.lane_links(), "loc").select("id", F.col("total").cast("long").alias("total"))
+
+
+@register(f"WITH RECURSIVE {FILES_SQL}, {LANES_SQL}, {LANE_SETS} SELECT b AS id, CAST(sum(loc) AS BIGINT) AS total FROM s JOIN lanes ON a = id GROUP BY b")
+def lane_dependent_weight(t: Fixture) -> DataFrame:
+    return graph.transitive_weights(t.lanes(), graph.reversed_links(t.lane_links()), "loc").select("id", F.col("total").cast("long").alias("total"))
+
+
+@register(f"WITH RECURSIVE {FILES_SQL}, {LANES_SQL}, {LANE_SETS}, n AS (SELECT b AS id, count(*) - 1 AS dependents FROM s GROUP BY b) SELECT lanes.id, CAST(floor(greatest(dependents, 1) * sqrt(greatest(loc, 1)) * 1000 + 0.5) AS BIGINT) AS importance FROM lanes JOIN n USING (id)")
+def lane_importance(t: Fixture) -> DataFrame:
+    lanes = t.lanes()
+    n = graph.transitive_weights(lanes.withColumn("one", F.lit(1)), graph.reversed_links(t.lane_links()), "one").select("id", (F.col("total") - 1).alias("dependents"))
+    return lanes.join(n, "id").select("id", text.round_up_half(metrics.importance(F.col("dependents"), F.col("loc")) * 1000).alias("importance"))
+
+
+@register(f"""WITH RECURSIVE {FILES_SQL}, {LANES_SQL}, {LANE_PARTS}, {LANE_HOME}, inside(id) AS (SELECT id FROM lanes WHERE id NOT IN (SELECT target FROM le WHERE source <> target) UNION SELECT target FROM inside JOIN le ON source = inside.id),
+ih AS (SELECT home.* FROM home JOIN inside USING (id)), k(c, n) AS (SELECT DISTINCT c, 0 FROM ih UNION SELECT ce.s, n + 1 FROM k JOIN ce ON ce.t = k.c WHERE ce.s IN (SELECT c FROM ih)), z AS (SELECT id, max(n) AS rank FROM ih JOIN k USING (c) GROUP BY id)
+SELECT id, rank, CAST(floor(CAST(rank AS DOUBLE) / (SELECT max(rank) FROM z) * 1000000 + 0.5) AS BIGINT) AS height FROM z""")
+def lane_elevation(t: Fixture) -> DataFrame:
+    return metrics.elevation(t.lanes(), t.lane_links()).select("id", F.col("rank").cast("int").alias("rank"), text.round_up_half(F.col("height") * 1_000_000).alias("height"))
+
+
+@register(f"WITH RECURSIVE {FILES_SQL}, {LANES_SQL}, {LANE_PARTS} SELECT id, (SELECT count(*) FROM le WHERE target = lanes.id) AS fan_in, (SELECT count(*) FROM le WHERE source = lanes.id) AS fan_out, id IN (SELECT id FROM m) AS in_cycle FROM lanes")
+def lane_fan_metrics(t: Fixture) -> DataFrame:
+    return metrics.file_metrics(t.lanes(), t.lane_links())
+
+
 # Metrics and roll-ups
 
 
@@ -138,9 +199,32 @@ def file_fan_metrics(t: Fixture) -> DataFrame:
     return metrics.file_metrics(t.files(), t.imports())
 
 
-@register(f"WITH {GRAPH_SQL}, i AS (SELECT target, count(*) AS n FROM imports GROUP BY 1), o AS (SELECT source, count(*) AS n FROM imports GROUP BY 1) SELECT CAST((SELECT sum(loc) FROM files) AS BIGINT) AS loc, (SELECT count(*) FROM files) AS file_count, (SELECT count(DISTINCT module) + count(DISTINCT scope) FROM files) AS directory_count, (SELECT count(*) FROM imports) AS import_edge_count, (SELECT max(n) FROM i) AS max_fan_in, (SELECT max(n) FROM o) AS max_fan_out")
+YEARS = (1996, 1997)
+#: Of each of two years: what each file reaches, its strong component, its undirected component.
+YEARLY = f"""{GRAPH_SQL}, {SNAP_SQL}, {LOST_SQL}, ys AS (SELECT * FROM snap WHERE year IN {YEARS}), ye AS (SELECT * FROM snap_edges WHERE year IN {YEARS}),
+r(y, a, b) AS (SELECT year, source, target FROM ye UNION SELECT r.y, r.a, x.target FROM r JOIN ye x ON x.year = r.y AND x.source = r.b),
+scc AS (SELECT p.y, p.a AS id, min(p.b) AS component FROM r p JOIN r q ON p.y = q.y AND p.a = q.b AND p.b = q.a GROUP BY 1, 2),
+nb AS (SELECT year AS y, source AS a, target AS b FROM ye UNION SELECT year, target, source FROM ye),
+w(y, id, low) AS (SELECT y, a, least(a, min(b)) FROM nb GROUP BY y, a UNION SELECT w.y, nb.b, w.low FROM w JOIN nb ON nb.y = w.y AND nb.a = w.id WHERE w.low < nb.b),
+wcc AS (SELECT y, low, count(*) AS n FROM (SELECT y, id, min(low) AS low FROM w GROUP BY 1, 2) q GROUP BY 1, 2)"""
+
+
+def _metrics_sql(year: int) -> str:
+    edges = f"ye WHERE year = {year}"
+    return f"""SELECT CAST((SELECT sum(loc) FROM ys WHERE year = {year}) AS BIGINT) AS loc, (SELECT count(*) FROM ys WHERE year = {year}) AS file_count,
+(SELECT count(DISTINCT f.module) + count(DISTINCT f.scope) FROM ys JOIN files f USING (id) WHERE year = {year}) AS directory_count, (SELECT count(*) FROM {edges}) AS import_edge_count, (SELECT count(*) FROM lost WHERE year = {year}) AS unresolved_count,
+(SELECT max(n) FROM (SELECT count(*) AS n FROM {edges} GROUP BY target) q) AS max_fan_in, (SELECT max(n) FROM (SELECT count(*) AS n FROM {edges} GROUP BY source) q) AS max_fan_out,
+(SELECT count(DISTINCT component) FROM scc WHERE y = {year}) AS cycles, (SELECT greatest(max(n), 1) FROM wcc WHERE y = {year}) AS largest_component"""
+
+
+def _year_metrics(t: Fixture, year: int) -> DataFrame:
+    return metrics.graph_metrics(t.snapshot(year), t.snapshot_edges(year), t.lost_imports(year))
+
+
+@register(f"WITH RECURSIVE {YEARLY} {' UNION ALL '.join(f'SELECT {y} AS year, m.* FROM ({_metrics_sql(y)}) m' for y in YEARS)}")
 def snapshot_metrics(t: Fixture) -> DataFrame:
-    return metrics.graph_metrics(t.files(), t.imports()).select("loc", "file_count", "directory_count", "import_edge_count", "max_fan_in", "max_fan_out")
+    before, after = (_year_metrics(t, y).select(F.lit(y).alias("year"), *diff.METRICS) for y in YEARS)
+    return before.unionByName(after)
 
 
 @register(f"WITH {GRAPH_SQL} SELECT module AS id, CAST(sum(loc) AS BIGINT) AS loc, count(*) AS files FROM files GROUP BY module")
@@ -341,7 +425,6 @@ def package_imports(t: Fixture) -> DataFrame:
 
 # Snapshots, history, changes
 
-YEARS = (1996, 1997)
 PAIR = f"""{GRAPH_SQL}, {SNAP_SQL}, b AS (SELECT id, loc FROM snap WHERE year = {YEARS[0]}), a AS (SELECT id, loc FROM snap WHERE year = {YEARS[1]}),
 bi AS (SELECT target AS id, count(*) AS n FROM snap_edges WHERE year = {YEARS[0]} GROUP BY 1), bo AS (SELECT source AS id, count(*) AS n FROM snap_edges WHERE year = {YEARS[0]} GROUP BY 1),
 ai AS (SELECT target AS id, count(*) AS n FROM snap_edges WHERE year = {YEARS[1]} GROUP BY 1), ao AS (SELECT source AS id, count(*) AS n FROM snap_edges WHERE year = {YEARS[1]} GROUP BY 1),
@@ -352,8 +435,13 @@ changed AS (SELECT * FROM ch WHERE change <> 'modified' OR loc_delta <> 0 OR fan
 
 
 def _measured(t: Fixture, year: int) -> DataFrame:
-    files, edges = t.snapshot(year), t.snapshot_edges(year)
-    return files.join(metrics.file_metrics(files, edges), "id")
+    files = t.snapshot(year)
+    return files.join(metrics.fans(files, t.snapshot_edges(year)), "id")
+
+
+def _measured_cycles(t: Fixture, year: int) -> DataFrame:
+    files = t.snapshot(year)
+    return files.join(metrics.file_metrics(files, t.snapshot_edges(year)), "id")
 
 
 @register(f"WITH {PAIR} SELECT id, change, loc_delta, fan_in_delta, fan_out_delta FROM changed")
@@ -361,16 +449,21 @@ def snapshot_diff_files(t: Fixture) -> DataFrame:
     return diff.changed_files(_measured(t, YEARS[0]), _measured(t, YEARS[1])).select("id", "change", "loc_delta", "fan_in_delta", "fan_out_delta")
 
 
-@register(f"WITH {PAIR} SELECT id, CAST(round((greatest(loc_delta, 0) * 5 + CASE WHEN change = 'added' AND loc_delta >= 100 THEN 2000 ELSE 0 END + 200 * greatest(fan_in_delta, 0) + 200 * greatest(fan_out_delta, 0))) AS BIGINT) AS score FROM changed WHERE change <> 'removed' AND (loc_delta > 0 OR fan_in_delta > 0 OR fan_out_delta > 0)")
+@register(f"""WITH RECURSIVE {PAIR}, {LOST_SQL}, r(y, a, b) AS (SELECT year, source, target FROM snap_edges WHERE year IN {YEARS} UNION SELECT r.y, r.a, x.target FROM r JOIN snap_edges x ON x.year = r.y AND x.source = r.b),
+nl AS (SELECT DISTINCT source AS id FROM (SELECT source, specifier FROM lost WHERE year = {YEARS[1]} EXCEPT SELECT source, specifier FROM lost WHERE year = {YEARS[0]}) q),
+x AS (SELECT *, id IN (SELECT a FROM r WHERE y = {YEARS[1]} AND a = b) AND id NOT IN (SELECT a FROM r WHERE y = {YEARS[0]} AND a = b) AS cyc, id IN (SELECT id FROM nl) AS lost_now, change = 'added' AND loc_delta >= 100 AS big FROM changed WHERE change <> 'removed'),
+z AS (SELECT id, CAST(greatest(loc_delta, 0) * 5 + CASE WHEN big THEN 2000 ELSE 0 END + 200 * greatest(fan_in_delta, 0) + 200 * greatest(fan_out_delta, 0) + CASE WHEN cyc THEN 3000 ELSE 0 END + CASE WHEN lost_now THEN 1000 ELSE 0 END AS BIGINT) AS score,
+ concat_ws(',', CASE WHEN loc_delta >= 100 THEN 'large-growth' END, CASE WHEN big THEN 'large-new-file' END, CASE WHEN fan_in_delta > 0 THEN 'fan-in-growth' END, CASE WHEN fan_out_delta > 0 THEN 'fan-out-growth' END, CASE WHEN cyc THEN 'new-cycle' END, CASE WHEN lost_now THEN 'new-unresolved-import' END) AS reasons FROM x)
+SELECT * FROM z WHERE score > 0 OR reasons <> ''""")
 def hotspots(t: Fixture) -> DataFrame:
-    changes = diff.changed_files(_measured(t, YEARS[0]), _measured(t, YEARS[1])).withColumn("new_cycle", F.lit(False))
-    return diff.hotspots(changes).select("id", text.round_up_half(F.col("score") * 100).alias("score"))
+    changes = diff.changed_files(_measured_cycles(t, YEARS[0]), _measured_cycles(t, YEARS[1]))
+    fresh = t.lost_imports(YEARS[1]).join(t.lost_imports(YEARS[0]), ["source", "specifier"], "left_anti").select(F.col("source").alias("id"))
+    return diff.hotspots(changes, fresh).select("id", text.round_up_half(F.col("score") * 100).alias("score"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@register(f"WITH {PAIR} SELECT CAST((SELECT sum(loc) FROM a) - (SELECT sum(loc) FROM b) AS BIGINT) AS loc, (SELECT count(*) FROM a) - (SELECT count(*) FROM b) AS file_count, (SELECT count(*) FROM snap_edges WHERE year = {YEARS[1]}) - (SELECT count(*) FROM snap_edges WHERE year = {YEARS[0]}) AS import_edge_count")
+@register(f"WITH RECURSIVE {YEARLY}, b AS ({_metrics_sql(YEARS[0])}), a AS ({_metrics_sql(YEARS[1])}) SELECT {', '.join(f'a.{c} - b.{c} AS {c}' for c in diff.METRICS)} FROM a, b")
 def metric_delta(t: Fixture) -> DataFrame:
-    of = lambda year: metrics.graph_metrics(t.snapshot(year), t.snapshot_edges(year))
-    return diff.metric_delta(of(YEARS[0]), of(YEARS[1])).select("loc", "file_count", "import_edge_count")
+    return diff.metric_delta(_year_metrics(t, YEARS[0]), _year_metrics(t, YEARS[1]))
 
 
 @register(f"WITH {PAIR} SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.loc <> b.loc")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.ids import basename, layer_of, module_of
+from graphloom.operators.resolve import resolve_relative
 
 FILES_SQL = """files AS (SELECT p_partkey AS k, lower(p_type) || '/' || lower(replace(p_brand, '#', '')) || '/p' || p_partkey || CASE p_partkey % 10 WHEN 3 THEN '.test.ts' WHEN 7 THEN '_test.go' ELSE '.ts' END AS id,
   CAST(p_size AS BIGINT) AS loc, lower(p_type) || '/' || lower(replace(p_brand, '#', '')) AS module, lower(p_type) AS scope,
@@ -26,6 +27,15 @@ SYMBOLS_SQL = """symbols AS (SELECT DISTINCT f.id AS path, 'symbol:' || f.id ||
 SNAP_SQL = """parts_of AS (SELECT l_partkey AS k, year(l_shipdate) AS year, count(*) AS n FROM lineitem GROUP BY 1, 2),
 snap AS (SELECT CAST(year AS VARCHAR) AS graph_id, year, f.id, f.loc + 40 * CAST(n AS BIGINT) AS loc FROM parts_of JOIN files f USING (k)),
 snap_edges AS (SELECT DISTINCT year, source, target FROM imports)"""
+#: A sparse projection of all line items: a lane is a part with one of fifty groups of suppliers, followed by its order's next lane.
+LANES_SQL = """lane_lines AS (SELECT l_partkey AS p, l_suppkey % 50 AS n, lead(l_partkey) OVER w AS p2, lead(l_suppkey % 50) OVER w AS n2 FROM lineitem
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)),
+lanes AS (SELECT DISTINCT f.id || '@' || n AS id, f.loc FROM lane_lines JOIN files f ON f.k = p),
+le AS (SELECT DISTINCT a.id || '@' || n AS source, b.id || '@' || n2 AS target FROM lane_lines JOIN files a ON a.k = p JOIN files b ON b.k = p2),
+ladder AS (SELECT DISTINCT CASE WHEN p < p2 THEN a.id || '@' || n ELSE b.id || '@' || n2 END AS source, CASE WHEN p < p2 THEN b.id || '@' || n2 ELSE a.id || '@' || n END AS target FROM lane_lines JOIN files a ON a.k = p JOIN files b ON b.k = p2 WHERE p <> p2)"""
+#: Imports by relative specifier of which some lead to no file, by the year of their line item.
+LOST_SQL = """asked AS (SELECT DISTINCT year(l_shipdate) AS year, f.id AS source, '../' || split_part(f.module, '/', 2) || '/p' || (l_partkey + l_linenumber % 2) AS specifier, f.module || '/p' || (l_partkey + l_linenumber % 2) || '.ts' AS path FROM lineitem JOIN files f ON l_partkey = f.k),
+lost AS (SELECT asked.year, source, specifier FROM asked LEFT JOIN files g ON g.id = asked.path WHERE g.id IS NULL)"""
 
 
 class Fixture:
@@ -79,6 +89,34 @@ class Fixture:
     def snapshot_edges(self, year: int) -> DataFrame:
         return self.imports().filter(F.col("year") == year).select("source", "target").distinct()
 
+    def lost_imports(self, year: int) -> DataFrame:
+        """(source, specifier) of the year's relative imports that lead to no file."""
+        files = self.files()
+        own = self.table("lineitem").filter(F.year("l_shipdate") == year).select(F.col("l_partkey").alias("k"), (F.col("l_partkey") + F.col("l_linenumber") % 2).alias("other")).distinct()
+        asked = own.join(files.select("k", "id", "module"), "k").select(F.col("id").alias("source"), F.concat(F.lit("../"), F.split_part("module", F.lit("/"), F.lit(2)), F.lit("/p"), F.col("other").cast("string")).alias("specifier"))
+        return resolve_relative(asked, files.select(F.col("id").alias("path"))).filter("resolved is null").select("source", "specifier")
+
+    def _lane_lines(self) -> DataFrame:
+        order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+        ids = self.files().select(F.col("k").alias("l_partkey"), "id", "loc")
+        here = self.table("lineitem").select("l_partkey", (F.col("l_suppkey") % 50).alias("n"), F.lead("l_partkey").over(order).alias("p2"), F.lead(F.col("l_suppkey") % 50).over(order).alias("n2")).join(ids, "l_partkey")
+        there = ids.select(F.col("l_partkey").alias("p2"), F.col("id").alias("id2"))
+        lane = lambda c, n: F.concat(c, F.lit("@"), F.col(n).cast("string"))
+        return here.join(there, "p2", "left").select(F.col("l_partkey").alias("p"), "p2", lane(F.col("id"), "n").alias("here"), F.when(F.col("id2").isNotNull(), lane(F.col("id2"), "n2")).alias("there"), "loc")
+
+    def lanes(self) -> DataFrame:
+        """(id, loc) of all lanes: far more of them than of files, so their links are sparse."""
+        return self._lane_lines().select(F.col("here").alias("id"), "loc").distinct()
+
+    def lane_links(self) -> DataFrame:
+        """Links from each lane to the next one of its order: small cycles and many components."""
+        return self._lane_lines().filter("there is not null").select(F.col("here").alias("source"), F.col("there").alias("target")).distinct()
+
+    def ladder_links(self) -> DataFrame:
+        """The same links from the lower to the higher part: no cycles, many ranks."""
+        up = F.col("p") < F.col("p2")
+        return self._lane_lines().filter("p <> p2").select(F.when(up, F.col("here")).otherwise(F.col("there")).alias("source"), F.when(up, F.col("there")).otherwise(F.col("here")).alias("target")).distinct()
+
     def samples(self) -> DataFrame:
         """(plane, seq, symbol_id, slice_us): events of a user as profile samples; errors have no symbol."""
         symbol = F.when(F.col("event_type") != "error", F.col("event_type"))
