@@ -14,7 +14,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain, trained on the labelled ones, does not reject."""
+    """Documents that the classifier chain, trained on the labelled ones, does not reject.
+
+    Null and empty texts have the base rate, are never rejected and stay; rows alike in text stand or fall
+    together; null ids and repeated rows are judged like others; without labels all documents stay.
+    """
     judged = toxicity.classify(docs, queries.chain(spark, sf_dir, docs))
     return judged.filter(~F.col("is_toxic")).select(*COLUMNS)
 
@@ -37,14 +41,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with what the scan reports replaced by a mark."""
+    """All documents, with what the scan reports replaced by a mark.
+
+    Null and empty texts and texts without a report stay as they are; ``n_chars`` is counted again only
+    where something was replaced; spans that overlap are replaced as one; repeated rows change alike.
+    """
     found = secrets.find(docs, into="spans")
     masked = found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans")))
     return masked.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: whole documents, as often as each source's target draws them, shuffled into shards."""
+    """The mix: whole documents, as often as each source's target draws them, shuffled into shards.
+
+    A null source is a source of its own; null and empty texts weigh nothing and are drawn in whole passes
+    only; rows that hash alike are ordered by all their columns; a document drawn twice is there twice.
+    """
     drawn = mixture.drawn_rows(mixture.mix(docs.select(*COLUMNS), whole=True))
     pieces = F.pmod(F.col("mix.order"), F.lit(PIECES))
     shards = drawn.repartition("mix.shard", pieces).sortWithinPartitions("mix.shard", "mix.order")
@@ -52,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the mix's texts."""
+    """Token counts and digests of the mix's texts, one row a drawn document; null counts as the empty text."""
     return queries.encoded_digests(docs)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,29 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table of its own in the shared checkpoint folder.
+
+    Like ``settle``, for loops of many rounds: a table read back has neither lineage nor what the optimiser
+    derived about earlier rounds, which a checkpointed frame carries along and which doubles by rounds.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unused(taken: list[str], name: str = "text") -> str:
+    """A column name that none of ``taken`` has, whatever their case."""
+    known = {c.lower() for c in taken}
+    while name in known:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; every other code point stays."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -13,6 +13,7 @@ pattern's span are reported as ``random``. Evidence for an encoding is a digit b
 upper-case letter behind a lower-case one. Runs of one case without digits, capitalised words, and
 numbers with a digit outside 2-7 have none and infer no encoding. Digits beside
 letters of one case are read without the signs between them (as in a UUID); other runs keep their signs.
+Runs of digits and letters of both cases without any sign are read as base 62, with strata of their own.
 
 The procedure works on counts of p-values in bins of a twentieth of a decade, taken at their upper
 ends: a few thousand counts at most, whatever the input.
@@ -41,7 +42,7 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE36 = "0123456789abcdefghijklmnopqrstuvwxyz"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Encodings a run can infer: each has an alphabet, and strata of its own in the procedure.
-ENCODINGS = {"hex": HEX, "base32": BASE32, "base32_lower": BASE32.lower(), "base36": BASE36.upper(), "base36_lower": BASE36, "base52": BASE64[:52], "base64": BASE64, "base64_letters": BASE64}
+ENCODINGS = {"hex": HEX, "base32": BASE32, "base32_lower": BASE32.lower(), "base36": BASE36.upper(), "base36_lower": BASE36, "base52": BASE64[:52], "base62": BASE64[:62], "base64": BASE64, "base64_letters": BASE64}
 #: Coefficients of a published approximation of the normal tail (error under 1e-7).
 TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 BIN = 20
@@ -111,7 +112,7 @@ def tested(text: Column) -> Column:
         encoding = (
             F.when(single & flat.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
             .when((single & upper & flat.rlike("^[A-Z2-7]+$")) | bare.rlike("^[2-7]+$"), "base32").when(single & flat.rlike("^[a-z2-7]+$"), "base32_lower")
-            .when(single & upper, "base36").when(single, "base36_lower").when(digit & lower & upper, "base64")
+            .when(single & upper, "base36").when(single, "base36_lower").when(digit & lower & upper, F.when(bare == flat, "base62").otherwise("base64"))
             .when(bare.rlike("[a-z].*[A-Z]"), F.when(bare == flat, "base52").otherwise("base64_letters"))
         )
         straight = F.when(encoding == "hex", F.lower(flat)).when(single, flat).otherwise(F.translate(bare, "-_=", "+/"))

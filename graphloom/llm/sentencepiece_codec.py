@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import texts_of
+from .common import texts_of, unused
 
 SPACE = "▁"
 #: Kinds of pieces in the model file (fixed values of the public model format).
@@ -438,7 +438,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] |
     ``keep`` names the columns carried along (default: all). Without ``spans`` both lists are empty.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("ids", "begins", "ends")]
-    source = docs.select(*kept, docs[text].cast("string").alias("__text"))
+    source = docs.select(*kept, docs[text].cast("string").alias(unused(kept)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(_model(model))
@@ -464,7 +464,7 @@ def digests(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "tex
     (key, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256, covered_bytes: where
     the last span ends, spans_sha256 of begins and then ends as little-endian 32-bit integers.)
     """
-    source = docs.select(docs[key].alias(key), docs[text].cast("string").alias("__text"))
+    source = docs.select(docs[key].alias(key), docs[text].cast("string").alias(unused([key])))
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes", "spans_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 WORDS = re.compile(r"[^\W\d_]+")
 FOLDS = 5
 #: A word's likelihood-ratio statistic must exceed this times the logarithm of the number of words.
@@ -105,8 +107,13 @@ def best_threshold(p: np.ndarray, y: np.ndarray, beta: float = 0.5) -> float:
     return float((p[best] + p[best + 1]) / 2) if best + 1 < len(p) else float(p[best])
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc_id: str = "doc_id", text: str = "text", sample: int = 20_000, features: int = 100) -> Chain:
-    """Fit a chain. ``categories``: name to a 0/1 column of ``labels``, in the chain's order."""
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc_id: str = "doc_id", text: str = "text", sample: int = 20_000, features: int = 100, least: int = 3) -> Chain:
+    """Fit a chain. ``categories``: name to a 0/1 column of ``labels``, in the chain's order.
+
+    ``sample`` bounds the labelled documents learned from, ``features`` the words of each category (those
+    of lesser statistics are no features), ``least`` the documents of the sample that a word must be in
+    (rarer words are no features). All three bound the training alone; every document is scored.
+    """
     names = list(categories)
     marked = labels.select(labels[doc_id].alias("id"), *[c.cast("int").alias(f"y{k}") for k, c in enumerate(categories.values())]).dropna()
     marked = marked.groupBy("id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(names))])
@@ -127,14 +134,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc
     if not n:
         return Chain(tuple(names), {}, tuple(np.append([-40.0], np.zeros(k)) for k in range(len(names))), 2.0)
     seen = worded.select(F.explode("words").alias("word"), *[f"y{k}" for k in range(len(names))]).groupBy("word").agg(F.count(F.lit(1)).alias("c"), *[F.sum(f"y{k}").alias(f"y{k}") for k in range(len(names))])
-    least = SIGNIFICANT * float(np.log(max(2, seen.count())))
+    bar = SIGNIFICANT * float(np.log(max(2, seen.count())))
     kept: set[str] = set()
     for k in range(len(names)):
         total, c, a = float(totals[f"y{k}"]), F.col("c").cast("double"), F.col(f"y{k}").cast("double")
         if 0 < total < n:
             cell = lambda o, e: F.when(o > 0, 2 * o * F.log(o / e)).otherwise(0.0)
             ratio = cell(a, c * total / n) + cell(c - a, c * (n - total) / n) + cell(total - a, (n - c) * total / n) + cell(n - c - total + a, (n - c) * (n - total) / n)
-            kept |= {r["word"] for r in seen.filter("c >= 3").select("word", ratio.alias("ratio")).filter(F.col("ratio") > least).orderBy(F.desc("ratio"), "word").limit(features).collect()}
+            kept |= {r["word"] for r in seen.filter(F.col("c") >= least).select("word", ratio.alias("ratio")).filter(F.col("ratio") > bar).orderBy(F.desc("ratio"), "word").limit(features).collect()}
     slots = {w: i for i, w in enumerate(sorted(kept))}
     allowed = F.array(*[F.lit(w) for w in slots]) if slots else F.array().cast("array<string>")
     got = worded.select("id", *[f"y{k}" for k in range(len(names))], F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FOLDS)).alias("fold"), F.array_intersect("words", allowed).alias("words")).orderBy("id").collect()
@@ -152,7 +159,7 @@ def classify(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str]
     """Add ``<category>_probability`` for each category and ``is_toxic``."""
     added = [*(f"{c}_probability" for c in chain.categories), "is_toxic"]
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {a.lower() for a in added}]
-    source = docs.select(*kept, docs[text].cast("string").alias("__text"))
+    source = docs.select(*kept, docs[text].cast("string").alias(unused(kept)))
     schema = T.StructType(source.schema.fields[:-1] + [T.StructField(a, T.DoubleType()) for a in added[:-1]] + [T.StructField(added[-1], T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

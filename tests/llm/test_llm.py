@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from graphloom.llm import gif, mixture, ngram_join, queries, secrets, sentencepiece_codec, sharding, spotsigs, suffix_tree, toxicity, url_rules
+from graphloom.llm import gif, mixture, ngram_join, queries, secrets, sentencepiece_codec, set_links, sharding, spotsigs, suffix_tree, toxicity, url_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SMALL = "/root/testdata/sf0.001"
@@ -75,6 +75,67 @@ def test_chain_uses_earlier_probabilities(spark):
     assert held.filter("is_toxic = (toxic = 1)").count() >= 0.97 * held.count()
 
 
+def test_chain_against_a_plain_one(spark):
+    """Words, folds, probabilities and threshold of a small table, computed again without the library."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(240):
+        a, b = rng.random() < 0.4, rng.random() < 0.35
+        body = rng.sample(["sun", "moon", "tree", "river", "stone", "cloud"], 3) + ["angry"] * (a and rng.random() < 0.9) + ["vile"] * (b and rng.random() < 0.8) + ["rare"] * (i < 2)
+        rows.append((i, " ".join(body), int(a), int(b or (a and rng.random() < 0.3))))
+    df = spark.createDataFrame(rows, "doc_id long, text string, a int, b int")
+    chain = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "a", "b"), {"a": F.col("a"), "b": F.col("b")})
+    fold = {r["doc_id"]: r["f"] for r in df.select("doc_id", F.expr("pmod(xxhash64(doc_id, 1), 5)").alias("f")).collect()}
+    sets = [set(t.split()) for _, t, *_ in rows]
+    every = sorted(set().union(*sets))
+    bar, n, kept = 1.7 * math.log(len(every)), len(rows), set()
+    for y in ([r[2] for r in rows], [r[3] for r in rows]):
+        for w in every:
+            has = [w in s for s in sets]
+            if sum(has) < 3:
+                continue
+            g = 0.0
+            for x in (True, False):
+                for z in (0, 1):
+                    o = sum(h == x and v == z for h, v in zip(has, y))
+                    e = sum(h == x for h in has) * sum(v == z for v in y) / n
+                    g += 2 * o * math.log(o / e) if o else 0.0
+            if g > bar:
+                kept.add(w)
+    assert set(chain.slots) == kept and "rare" not in kept
+
+    def fitted(x, y):  # minimised by plain gradient steps, not by Newton's
+        w, shrink = np.zeros(x.shape[1]), np.array([1e-6] + [1.0] * (x.shape[1] - 1))
+        for _ in range(60000):
+            w -= 0.01 * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) + shrink * w)
+        return w
+
+    x = np.array([[1.0] + [float(w in s) for w in sorted(kept)] for s in sets])
+    f, y = np.array([fold[r[0]] for r in rows]), np.array([r[2:] for r in rows], float)
+    outside = np.zeros((n, 0))
+    final = []
+    for k in range(2):
+        own, held = np.hstack([x, outside]), np.zeros(n)
+        for j in range(5):
+            held[f == j] = 1 / (1 + np.exp(-own[f == j] @ fitted(own[f != j], y[f != j, k])))
+        final.append(fitted(own, y[:, k]))
+        outside = np.hstack([outside, held[:, None]])
+    best = max({p for p in outside[:, 1]}, key=lambda p: (1.25 * y[outside[:, 1] >= p, 1].sum() / ((outside[:, 1] >= p).sum() + 0.25 * y[:, 1].sum()), p))
+    found = {r["doc_id"]: r for r in toxicity.classify(df, chain).collect()}
+    base = []
+    for i in [*range(n), None]:
+        own = x[i] if i is not None else np.eye(x.shape[1])[0]
+        p = []
+        for w in final:
+            p.append(1 / (1 + math.exp(-float(np.dot(w, np.append(own, p))))))
+        if i is None:
+            base = p
+        else:
+            assert abs(found[i]["a_probability"] - p[0]) < 2e-3 and abs(found[i]["b_probability"] - p[1]) < 2e-3
+    below = [p for p in outside[:, 1] if p < best - 1e-9]
+    assert min(max((max(below, default=best) + best) / 2, 0) - 2e-3, min(0.5, 2 * base[1])) <= chain.threshold <= max(best + 2e-3, min(0.5, 2 * base[1]) + 2e-3)
+
+
 def test_toxicity_of_awkward_rows(docs, empty, spark):
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"), {"toxic": F.col("toxic")})
     assert toxicity.classify(docs, none).filter("is_toxic").count() == 0
@@ -236,8 +297,8 @@ def test_a_family_without_a_centre(spark):
 
 def test_crowded_lists_and_joined_members(spark, monkeypatch):
     """A passage in most texts, near copies among them, lists that count as crowded, members fetched by a join."""
-    monkeypatch.setattr(ngram_join, "CROWD", 3)
-    monkeypatch.setattr(ngram_join, "SHIPPED", 0)
+    monkeypatch.setattr(set_links, "CROWD", 3)
+    monkeypatch.setattr(set_links, "SHIPPED", 0)
     random.seed(12)
     passage = [f"p{i}" for i in range(60)]
     rows = []
@@ -581,7 +642,7 @@ def test_battery_reads_every_encoding(spark):
     of = lambda alphabet, n=40: "".join(rng.choice(alphabet) for _ in range(n))
     makers = [
         lambda: of(secrets.BASE36), lambda: of(secrets.BASE36.upper()), lambda: of(secrets.BASE32), lambda: of(secrets.BASE32.lower()), lambda: of(secrets.BASE64[:52]),
-        lambda: of(secrets.BASE64[:52] + "+/"), lambda: "-".join(of(secrets.HEX, n) for n in (8, 4, 4, 4, 12)), lambda: "-".join(of(secrets.BASE36.upper(), 5) for _ in range(5)),
+        lambda: of(secrets.BASE64[:62]), lambda: of(secrets.BASE64[:62], 4000), lambda: of(secrets.BASE64[:52] + "+/"), lambda: "-".join(of(secrets.HEX, n) for n in (8, 4, 4, 4, 12)), lambda: "-".join(of(secrets.BASE36.upper(), 5) for _ in range(5)),
     ]
     tokens = [make() for make in makers for _ in range(40)]
     dull = ["internationalisierung", "Verantwortlichkeitsbereich", "4111111111111111", "SOME_CONSTANT_NAME", "a1" * 20, "-" * 20, "a-1" + "-" * 20]
@@ -621,8 +682,9 @@ def test_battery_against_plain_python(spark):
     rng = random.Random(8)
     tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
     of = lambda a, n: "".join(rng.choice(a) for _ in range(n))
-    cases = [("base64", secrets.BASE64, "aB1" + of(secrets.BASE64[:-2], rng.randint(20, 90))) for _ in range(60)]
-    cases += [("hex", secrets.HEX, "a1" + of(secrets.HEX, rng.randint(20, 90))) for _ in range(60)] + [("base64", secrets.BASE64, "aB1" * k) for k in range(6, 30)]
+    cases = [("base64", secrets.BASE64, "aB1+" + of(secrets.BASE64, rng.randint(20, 90))) for _ in range(60)]
+    cases += [("base62", secrets.BASE64[:62], "aB1" + of(secrets.BASE64[:62], rng.randint(20, 90))) for _ in range(60)]
+    cases += [("hex", secrets.HEX, "a1" + of(secrets.HEX, rng.randint(20, 90))) for _ in range(60)] + [("base62", secrets.BASE64[:62], "aB1" * k) for k in range(6, 30)]
     got = spark.createDataFrame([(i, c[2]) for i, c in enumerate(cases)], "i int, text string").select("i", F.col("text"), secrets.tested(F.col("text")).alias("r")).collect()
     for r in got:
         kind, alphabet, text = cases[r["i"]]
@@ -645,6 +707,27 @@ def test_battery_against_plain_python(spark):
         assert abs(min(-math.log10(max(p, 1e-20)) * secrets.BIN, 20 * secrets.BIN) - bin_) < 1.2 or p < 1e-6
 
 
+@pytest.mark.parametrize("level", [0.05, 0.5])
+def test_false_discovery_limits_against_plain_python(spark, level):
+    """Step-up procedure of each stratum on the bins' upper ends, one p-value a run."""
+    rng = random.Random(13)
+    of = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    texts = [of(a, rng.randint(18, 70)) for a in (secrets.HEX, secrets.BASE36, secrets.BASE64[:62], secrets.BASE64) for _ in range(60)]
+    texts += ["aB3" * k for k in range(7, 20)] + ["a1b2" * k for k in range(5, 15)] + ["aB3" * 5 + of(secrets.BASE64[:62], k) for k in range(10, 40)]
+    df = spark.createDataFrame([(" ".join(texts[i : i + 3]),) for i in range(0, len(texts), 3)] + [(None,), ("",)], "text string")
+    strata = {}
+    for r in df.select(secrets.tested(F.col("text")).alias("r")).collect():
+        for x in r["r"] or []:
+            strata.setdefault(f"{x['encoding']}:{x['class']}", []).append(x["bin"])
+    want = {}
+    for stratum, bins in strata.items():
+        ps = sorted((10 ** (-b / secrets.BIN), b) for b in bins)
+        hit = [b for i, (p, b) in enumerate(ps) if p <= level * sum(q <= p for q, _ in ps) / len(ps)]
+        if hit:
+            want[stratum] = min(hit)
+    assert want and secrets.limits(df, level=level) == want
+
+
 def test_scan_without_rows(empty):
     assert secrets.find(empty).count() == 0
 
@@ -688,6 +771,32 @@ def test_one_row_of_each_group_of_copies_stays(spark):
     assert left == sorted(want, key=repr)
 
 
+CLASHING = ["__text", "text_", "id", "n", "sid", "key", "size", "print", "mix", "row", "order", "spans", "output", "ids", "words"]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "spotsigs", "mixture", "ngram", "gif", "sharding", "tree", "encode", "digests", "secrets"])
+def test_columns_with_clashing_names(spark, model, name):
+    """Further columns named like anything inside the operators change nothing and break nothing."""
+    rows = [(1, "one two three four five six", "en", "a", 27), (2, "one two three four five six", "en", "b", 27), (3, None, "en", None, 0), (None, "token=abcdefgh12345678", "de", "a", 5)]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    docs = plain.select("*", *[F.lit(f"clash {c}").alias(c) for c in CLASHING])
+    none = toxicity.Chain(("toxic",), {}, (np.array([-3.0]),), 0.5)
+    run = {
+        "toxicity": lambda d: toxicity.classify(d, none).select("doc_id", "text", "toxic_probability"),
+        "spotsigs": lambda d: spotsigs.fingerprint(d).drop("near_next"),
+        "mixture": lambda d: mixture.mix(d, whole=True).select("doc_id", "mix.target"),
+        "ngram": lambda d: ngram_join.components(d, ngram_join.shingles(3), 90),
+        "gif": lambda d: gif.stored_texts(d),
+        "sharding": lambda d: sharding.shard_by_bytes(d, 4).select("doc_id", "size", "shard"),
+        "tree": lambda d: suffix_tree.score(d),
+        "encode": lambda d: sentencepiece_codec.encode(d, model).select("doc_id", "ids"),
+        "digests": lambda d: sentencepiece_codec.digests(d, model),
+        "secrets": lambda d: secrets.find(d, into="spans").select("doc_id", "spans"),
+    }[name]
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(run(docs)) == key(run(plain))
+
+
 def test_tokenizer_files_are_not_copied():
     import pathlib
 
