@@ -40,9 +40,14 @@ BROADCAST_GROUPS = 100_000
 _TERMS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
+def plain(docs: DataFrame, *columns: str) -> DataFrame:
+    """(lang, source, text) without nulls, or the first of them."""
+    return docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(name) for c, name in zip(columns, ("lang", "source", "text"), strict=False)])
+
+
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of each term; term '' counts documents alone."""
-    rows = docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(name) for c, name in ((lang, "lang"), (source, "source"), (text, "text"))])
+    """(lang, source, term, n, docs): occurrences and documents of each term, dealt by (lang, term)."""
+    rows = plain(docs, lang, source, text)
     kind = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +67,6 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
                 held -= len(d)
                 n.update(found)
                 d.update(found.keys())
-                d[b""] += 1
                 held += len(d)
                 if held >= HELD:
                     yield from flush()
@@ -70,7 +74,8 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
         yield from flush()
 
     counted = rows.mapInArrow(run, "lang string, source string, term binary, n long, docs long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).withColumn("term", F.col("term").cast("string"))
+    # Tasks have summed already; dealt like this, sums by source and then by term need no further shuffle.
+    return counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -91,10 +96,9 @@ def beside(rows: DataFrame, facts: DataFrame, on: list[str], few: bool) -> DataF
 
 def audit(docs: DataFrame, least: int = 10, top: int = 10, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """(lang, source, part, item, value, rank) for parts ``pair`` (other sources) and ``term`` (own terms)."""
-    counts = settle(term_counts(docs, lang, source, text))
-    groups = counts.filter("term = ''").select("lang", "source")
-    terms = counts.filter("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("vector"))
-    terms = settle(terms.filter(F.col("docs") >= least).select("lang", "term", "total", "vector"))
+    groups = settle(plain(docs, lang, source).distinct())
+    terms = term_counts(docs, lang, source, text).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("vector"))
+    terms = settle(terms.filter(F.col("docs") >= least).select("lang", F.col("term").cast("string").alias("term"), "total", "vector"))
     vectors = terms.groupBy("lang", "vector", "total").agg(F.count(F.lit(1)).alias("m"))
     vectors = settle(vectors.withColumn("vid", F.monotonically_increasing_id()))
 
