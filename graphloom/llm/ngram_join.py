@@ -8,85 +8,27 @@ block is equal, and a set skips its blocks of few members where they are at most
 that no list is made of sets that share little. Sets are blocked once for each class of sizes that a
 partner may have, so lists also never mix sizes that cannot meet.
 
-Within a list only one set (the leader, that of least id, which is a random but common order of all
-sets) is compared with the others: first each set with the leader that it shares most lists with, then
-with those of other leaders that are not connected to it by then. A leader's answers come with the
-differences both ways, and the answers of the others are derived from them: sets linked to the leader
-are connected, and for two sets x, y that are not yet connected,
-``|x & y| = |L| - |(L-x) | (L-y)| + |(x-L) & (y-L)|``, after skipping pairs whose distances to the
-leader, or whose bit sketches, already differ too much. So a list of ``g`` similar sets costs ``g``
-comparisons and no pairs. Links that are implied by others are not listed, but connectivity is exact:
-every linked pair is connected.
-
-A passage that very many otherwise different texts share makes crowded lists without a common leader.
-A set leaves all its crowded lists of a size class where they are so few that every link must show in
-another list as well (``skippable``): the equal blocks of a linked pair outnumber them. Only sets that
-mostly consist of such passages stay and are compared with each other, by sizes and sketches first.
-
-Equal sets are merged before anything else (a set's id is a 64-bit print of all of it), within a task
-before any row leaves it.
-
-Defined results: null and empty texts and texts without words have the empty set, are linked with
-nothing and are their own component; texts of fewer than ``k`` words have one shingle, the whole
-sequence; repeated rows have equal sets; a null id never names a component unless all its members'
-ids are null; an empty table gives no rows; other columns are ignored.
+``set_links`` does the rest along those lists: only a list's leader is compared, and the answers of sets
+similar to it are derived from the leader's, by their differences. Links that are implied by others are
+not listed, but connectivity is exact: every linked pair is connected. Its defined results hold here.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, settle, texts_of, word_prints
+from . import set_links
+from .common import mix64
+from .set_links import Index, Maker, shingles
+
+__all__ = ["block_keys", "components", "shingles", "sketch"]
 
-#: Makes the sorted distinct prints of each of a batch's texts.
-Maker = Callable[[list[bytes]], list[np.ndarray]]
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-#: Texts that a task hashes at once.
-CHUNK = 200
 #: Least bits of a sketch; larger sets have one bit a member, rounded up to a power of two.
 BITS = 512
-#: Sets of a list from which on it is crowded.
-CROWD = 64
-#: Ids that are shipped to the tasks as a filter; beyond that they are joined.
-SHIPPED = 4_000_000
-
-
-def shingles(k: int) -> Maker:
-    """Distinct shingles of ``k`` words, A-Z lower-cased."""
-
-    def make(texts: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for i in range(0, len(texts), CHUNK):
-            part = texts[i : i + CHUNK]
-            flat = _LOWER[np.frombuffer(b"\n".join(part) + b"\n", np.uint8)]
-            starts, prints = word_prints(flat)
-            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-            cuts = np.searchsorted(starts, ends)
-            run = np.zeros(max(len(prints) - k + 1, 0), np.uint64)
-            for j in range(k):
-                run = mix64(run + prints[j : j + len(run)] + np.uint64(j + 1))
-            low = 0
-            for high in cuts.tolist():
-                n = high - low
-                if n >= k:
-                    out.append(np.unique(run[low : high - k + 1]))
-                elif n:
-                    value = np.full(1, n, np.uint64)
-                    for p in prints[low:high]:
-                        value = mix64(value * np.uint64(0x9E3779B97F4A7C15) + p)
-                    out.append(value)
-                else:
-                    out.append(np.zeros(0, np.uint64))
-                low = high
-        return out
-
-    return make
 
 
 def class_starts(most: int = 1 << 40) -> list[int]:
@@ -111,19 +53,10 @@ def families(n: int, percent: int) -> Iterator[tuple[int, int, int]]:
 
 
 def few_blocks(spare: int) -> int:
-    """Blocks of few members that a set may skip; the rest of ``spare`` is for crowded lists."""
+    """Blocks of few members that a set may skip."""
     return (spare + 1) // 2
 
 
-def skippable(percent: int) -> list[int]:
-    """For each size class: blocks less those of few members less one, so what equal blocks leave over the differing members."""
-    out = []
-    for f in range(64):
-        found = [(blocks, spare) for g, blocks, spare in families(STARTS[f], percent) if g == f]
-        out.append(found[0][0] - few_blocks(found[0][1]) - 1 if found else 0)
-    return out
-
-
 def block_keys(members: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the index lists that a sorted set is on; the six low bits are those of the size class."""
     out = []
@@ -142,12 +75,6 @@ def block_keys(members: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def set_id(members: np.ndarray) -> int:
-    """A 64-bit print of a whole set."""
-    value = np.full(1, len(members), np.uint64) + np.add.reduce(mix64(members ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True)
-    return int(mix64(value).view(np.int64)[0])
-
-
 def sketch(members: np.ndarray) -> np.ndarray:
     """Parities of the members in hash classes: two sets differ in at least as many as their sketches.
 
@@ -158,116 +85,10 @@ def sketch(members: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _lists(offsets: list[int], parts: list[np.ndarray]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)))
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, CHUNK):
-            yield batch.slice(i, CHUNK)
-
-
-def described(docs: DataFrame, make: Maker) -> DataFrame:
-    """(id, n, sid, sketch): each row's set; the sketch once for each set and task."""
-    kind = docs.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for part in _chunks(batches):
-            sets = make(texts_of(part.column("text")))
-            sids, widths, sketches = [], [0], []
-            for members in sets:
-                sid = set_id(members)
-                if sid not in seen and len(members):
-                    seen.add(sid)
-                    sketches.append(sketch(members))
-                    widths.append(widths[-1] + len(sketches[-1]))
-                else:
-                    widths.append(widths[-1])
-                sids.append(sid)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), _lists(widths, sketches)], names=["id", "n", "sid", "sketch"])
-
-    return docs.mapInArrow(run, f"id {kind}, n long, sid long, sketch array<long>")
-
-
-def index_entries(docs: DataFrame, make: Maker, percent: int) -> DataFrame:
-    """(key, sid): the lists of each set, once for each set and task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for part in _chunks(batches):
-            sids, keys = [], [np.zeros(0, np.uint64)]
-            for members in make(texts_of(part.column("text"))):
-                sid = set_id(members)
-                if sid not in seen and len(members):
-                    seen.add(sid)
-                    sids.append(sid)
-                    keys.append(block_keys(members, percent))
-            own = np.repeat(np.array(sids, np.int64), [len(k) for k in keys[1:]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(own)], names=["key", "sid"])
-
-    return docs.select("text").mapInArrow(run, "key long, sid long")
-
-
-def members_of(docs: DataFrame, make: Maker, wanted: DataFrame) -> DataFrame:
-    """(sid, members) of the sets in ``wanted`` (sid), once each."""
-    few = wanted.count() <= SHIPPED
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["sid"].to_numpy())) if few else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        ids = shared.value if shared is not None else None
-        for part in _chunks(batches):
-            sids, offsets, parts = [], [0], []
-            for members in make(texts_of(part.column("text"))):
-                sid = set_id(members)
-                if sid in seen or not len(members):
-                    continue
-                seen.add(sid)
-                if ids is not None and not (len(ids) and (k := int(np.searchsorted(ids, sid))) < len(ids) and ids[k] == sid):
-                    continue
-                sids.append(sid)
-                parts.append(members)
-                offsets.append(offsets[-1] + len(members))
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), _lists(offsets, parts)], names=["sid", "members"])
-
-    found = docs.select("text").mapInArrow(run, "sid long, members array<long>")
-    return (found if few else found.join(wanted, "sid", "left_semi")).dropDuplicates(["sid"])
-
-
-def connected(links: DataFrame) -> DataFrame:
-    """(node, component): the least node of each node's component, by contracting to least neighbours."""
-    edges = settle(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct())
-    result = None
-    while not edges.isEmpty():
-        both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        parent = settle(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("component")))
-        if result is None:
-            result = parent
-        else:
-            step = parent.select(F.col("node").alias("component"), F.col("component").alias("to"))
-            result = settle(result.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-        left = edges.join(parent.select(F.col("node").alias("u"), F.col("component").alias("a")), "u").join(parent.select(F.col("node").alias("v"), F.col("component").alias("b")), "v")
-        edges = settle(left.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    return result if result is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-
-
-def components(docs: DataFrame, make: Maker, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, component) of every row: set size and the least id reachable by links.
-
-    Sets link where 100 * |x & y| >= percent * |x | y|.
-    """
-    source = docs.select(docs[doc_id].alias("id"), docs[text].cast("string").alias("text"))
-    rows = settle(described(source, make))
-    # Dealt once by list: finding the lists of several sets and picking their entries read the same exchange.
-    entries = index_entries(source, make, percent).repartition("key")
-    several = entries.groupBy("key").agg(F.min("sid").alias("leader"), F.max("sid").alias("high")).filter("leader <> high").select("key", "leader")
-    lists = settle(entries.join(several, "key").distinct())
-    info = settle(rows.filter(F.size("sketch") > 0).select("sid", F.col("n").alias("size"), "sketch").join(lists.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]))
+def index_of(percent: int) -> Index:
+    """Blocks as lists; sketches and sizes bound the number of differing members from below."""
 
     def near(x: str, y: str) -> Column:
-        """Whether sizes and sketches allow the link: both bound the number of differing members from below."""
         most = (100 - percent) * (F.col(f"{x}.size") + F.col(f"{y}.size"))  # times 100 + percent
         width = F.least(F.size(f"{x}.sketch"), F.size(f"{y}.sketch"))
         halves = lambda s: F.zip_with(F.slice(s, F.lit(1), width), F.slice(s, width + 1, width), lambda p, q: p.bitwiseXOR(q))
@@ -276,71 +97,12 @@ def components(docs: DataFrame, make: Maker, percent: int, doc_id: str = "doc_id
         apart = F.abs(F.col(f"{x}.size") - F.col(f"{y}.size"))
         return F.when(apart * (100 + percent) <= most, differ * (100 + percent) <= most).otherwise(F.lit(False))
 
-    def exact(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        """The pairs with their sets ``x`` and ``y``."""
-        wanted = pairs.select(F.col(a).alias("sid")).union(pairs.select(F.col(b).alias("sid"))).distinct()
-        sets = settle(members_of(source, make, wanted))
-        met = pairs.join(sets.select(F.col("sid").alias(a), F.col("members").alias("x")), a)
-        return met.join(sets.select(F.col("sid").alias(b), F.col("members").alias("y")), b)
-
-    def answered(pairs: DataFrame) -> DataFrame:
-        """Of (leader, sid) pairs: both sizes, the members that each has alone, and how many those are."""
-        met = exact(pairs, "sid", "leader")
-        both = met.select("leader", "sid", F.size("y").alias("n_l"), F.size("x").alias("n"), F.array_except("y", "x").alias("gone"), F.array_except("x", "y").alias("extra"))
-        return settle(both.withColumn("apart", F.size("gone") + F.size("extra")))
+    return Index(lambda members: block_keys(members, percent), sketch, near)
 
-    def linked(answers: DataFrame) -> DataFrame:
-        inter = F.col("n_l") - F.size("gone")
-        return answers.filter(100 * inter >= percent * (F.col("n_l") + F.size("extra"))).select(F.col("leader").alias("a"), F.col("sid").alias("b"))
 
-    pairs = lists.filter("sid <> leader").groupBy("leader", "sid").agg(F.count(F.lit(1)).alias("met")).alias("p")
-    close = pairs.join(info.alias("x"), F.col("p.sid") == F.col("x.sid")).join(info.alias("l"), F.col("p.leader") == F.col("l.sid")).filter(near("x", "l"))
-    close = settle(close.select("p.leader", "p.sid", "p.met"))
-    first = close.groupBy("sid").agg(F.max_by("leader", F.struct("met", "leader")).alias("leader")).select("leader", "sid")
-    answers = answered(settle(first))
-    links = linked(answers)
-    parts = connected(links)
-    part = lambda s: parts.select(F.col("node").alias(s), F.col("component").alias(f"{s}_part"))
-    others = close.join(first, ["leader", "sid"], "left_anti").join(part("leader"), "leader", "left").join(part("sid"), "sid", "left")
-    others = settle(others.filter(F.coalesce("leader_part", "leader") != F.coalesce("sid_part", "sid")).select("leader", "sid"))
-    if not others.isEmpty():
-        answers = answers.unionByName(answered(others))
-        links = linked(answers)
-        parts = connected(links)
-
-    # Lists whose sets are not all connected yet: derive the missing answers from the leader's where
-    # both sets have one, and compare the few others themselves.
-    # (Leaders have been compared with all of their lists, so a list needs two other sets in two parts.)
-    named = lists.filter("sid <> leader").join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component")
-    split = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("met")).filter("low <> high").select("key", "met")
-    open_lists = settle(named.join(split, "key").join(info.select("sid", "size"), "sid"))
-    family = F.col("key").bitwiseAND(F.lit(63))
-    crowded = open_lists.filter(F.col("met") > CROWD).groupBy("sid", family.alias("family")).agg(F.count(F.lit(1)).alias("crowds"), F.first("size").alias("size"))
-    largest = F.least(F.element_at(F.array(*[F.lit(STARTS[f + 1] - 1) for f in range(64)]), F.col("family").cast("int") + 1), F.floor(F.col("size") * 100 / percent))
-    room = F.element_at(F.array(*[F.lit(n) for n in skippable(percent)]), F.col("family").cast("int") + 1)
-    differ = F.floor((100 - percent) * (F.col("size") + largest) / (100 + percent))
-    leaves = crowded.filter((F.col("size") < STARTS[63]) & (F.col("crowds") <= room - differ)).select("sid", "family", F.lit(True).alias("leaves"))
-    stay = open_lists.withColumn("family", family).join(leaves, ["sid", "family"], "left").filter((F.col("met") <= CROWD) | F.col("leaves").isNull())
-    known = stay.select("key", "sid", "leader", "part").join(info, "sid").join(answers.select("leader", "sid", "apart"), ["leader", "sid"], "left")
-    x, y = known.alias("x"), known.alias("y")
-    bound = F.coalesce(F.abs(F.col("x.apart") - F.col("y.apart")) * (100 + percent) <= (100 - percent) * (F.col("x.size") + F.col("y.size")), F.lit(True))
-    pending = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.part") != F.col("y.part")) & bound & near("x", "y"))
-    shared_leader = F.when(F.col("x.apart").isNotNull() & F.col("y.apart").isNotNull(), F.col("x.leader"))
-    pending = settle(pending.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), shared_leader.alias("leader")).groupBy("a", "b").agg(F.min("leader").alias("leader")))
-    side = lambda s: answers.select("leader", F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), "n_l", F.col("gone").alias(f"gone_{s}"), F.col("extra").alias(f"extra_{s}"))
-    derived = pending.filter("leader is not null").join(side("a"), ["leader", "a"]).join(side("b").drop("n_l"), ["leader", "b"])
-    shared = F.col("n_l") - F.size(F.array_union("gone_a", "gone_b")) + F.size(F.array_intersect("extra_a", "extra_b"))
-    late = derived.filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
-    rest = pending.filter("leader is null").select("a", "b")
-    if not rest.isEmpty():
-        common = F.size(F.array_intersect("x", "y"))
-        late = late.unionByName(exact(rest, "a", "b").filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"))
-    late = settle(late)
-    if not late.isEmpty():
-        parts = connected(links.unionByName(late))
+def components(docs: DataFrame, make: Maker, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n, component) of every row: set size and the least id reachable by links.
 
-    least = rows.filter("n > 0").groupBy("sid").agg(F.min("id").alias("low"))
-    least = least.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component")
-    named = least.join(least.groupBy("part").agg(F.min("low").alias("component")), "part").select("sid", "component")
-    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(named, "sid", "left")
-    return out.select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    Sets link where 100 * |x & y| >= percent * |x | y|.
+    """
+    return set_links.components(docs, make, index_of(percent), percent, doc_id, text)

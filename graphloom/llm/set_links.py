@@ -6,15 +6,15 @@ share one; what follows is the same for every index and exact:
 * Equal sets are one set from the start. The leader of a list is its smallest set. It is compared with
   the others: first each set with the leader that it meets on most lists, then with those of other
   leaders that are not connected to it by then. An answer holds what the set lacks and has beside its leader.
-* Lists whose other sets are still in several parts are open. On small ones (``CROWD``) pairs from
+* Lists of one leader whose other sets are still in several parts are open. On small ones (``CROWD``) pairs from
   different parts are looked at, sizes and sketches first, and their intersections are derived from the
   answers of a shared leader: ``|x & y| = |L| - |(L-x) | (L-y)| + |(x-L) & (y-L)|``.
 * On crowded open lists no pairs are made. As the leader L is smallest, a set u that does not link to it
   shares so little of it that u links to v only if they have ``need(u) >= 1`` members outside L in common:
   with ``T = percent / (100 + percent)``, ``|u & v| >= T(|u| + |v|)`` and ``|u & L| < T(|u| + |L|)``. So the
   sets go on to lists (L, member outside L), each u with all but its last ``need(u) - 1`` members, in one
-  order for all; linked pairs of different parts meet there. A passage that all have in common is thereby
-  gone from the next round; each round leaves out the leaders, so rounds end.
+  order for all (rare ones first); linked pairs of different parts meet there. A passage that all have in
+  common is thereby gone from the next round. After ``ROUNDS`` such rounds the lists left are treated like small ones.
 
 A set's 64-bit id is checked against a second print of it; were two sets to share an id, other ids are
 drawn. Members are 64-bit prints of shingles.
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, settle, texts_of, word_prints
+from .common import mix64, stored, texts_of, word_prints
 
 #: Makes the sorted distinct prints of each of a batch's texts.
 Maker = Callable[[list[bytes]], list[np.ndarray]]
@@ -47,8 +47,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Texts that a task hashes at once.
 CHUNK = 200
-#: Sets of a list from which on it is crowded.
-CROWD = 64
+#: Sets of a leader's lists in several parts from which on those are crowded.
+CROWD = 32
+#: Times that crowded lists are dealt anew; what is crowded then is a family whose sets are all about as far
+#: apart as the threshold, which no shared passage explains, and its pairs are looked at, once a leader.
+ROUNDS = 1
+#: List entries for each file (and task) of a round's tables.
+FILE_ROWS = 50_000
+#: Links that one task connects at once (some tens of bytes each).
+TASK_LINKS = 500_000
 #: Prints of texts that are broadcast as a filter (8 bytes each); beyond that they are joined.
 SHIPPED = 500_000
 
@@ -127,7 +134,7 @@ def described(source: DataFrame, make: Maker, seed: int) -> DataFrame:
 def identified(source: DataFrame, make: Maker) -> tuple[DataFrame, int]:
     """The described rows under ids that tell all their sets apart, and the seed of those."""
     for seed in range(0, 16, 2):
-        rows = settle(described(source, make, seed))
+        rows = stored(described(source, make, seed))
         if rows.groupBy("sid").agg(F.min("second").alias("low"), F.max("second").alias("high")).filter("low <> high").isEmpty():
             return rows, seed
     raise RuntimeError("no seed tells all sets apart")
@@ -165,38 +172,72 @@ def listed_sets(source: DataFrame, make: Maker, index: Index, rows: DataFrame, l
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s, seed) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _lists(widths[0], sketches), _lists(widths[1], sets)], names=["sid", "size", "sketch", "members"])
 
     wanted = rows.filter("n > 0").groupBy("sid").agg(F.min("print").alias("print")).join(lists.select("sid").distinct(), "sid", "left_semi").select("print")
-    wanted = settle(wanted)
+    wanted = stored(wanted)
     few = wanted.limit(SHIPPED + 1).count() <= SHIPPED
     texts = source.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "print", "left_semi").select("text").distinct()
-    return settle(texts.mapInArrow(run, "sid long, size int, sketch array<long>, members array<long>"))
+    return stored(texts.mapInArrow(run, "sid long, size int, sketch array<long>, members array<long>"))
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """(node, component): the least node of each node's component, by contracting to least neighbours."""
-    edges = settle(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct())
-    result = None
+def _least_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): each node of a task's links with the least node that it is connected to by them."""
+    parent: dict[int, int] = {}
+
+    def root(n: int) -> int:
+        while (up := parent.setdefault(n, n)) != n:
+            parent[n] = parent[up]
+            n = up
+        return n
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    for i in range(0, len(nodes), 100_000):
+        part = nodes[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(n) for n in part], pa.int64())], names=["u", "v"])
+
+
+def connected(links: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """(node, component): the least node of each node's component.
+
+    Tasks of at most ``TASK_LINKS`` links first connect what they hold, which is all of it where there are no
+    more links than that; else rounds of contraction to least neighbours follow.
+    """
+    edges = keep(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct())
+    n = edges.count()
+    tasks = -(-n // TASK_LINKS)
+    local = (edges.coalesce(1) if tasks <= 1 else edges.repartition(tasks)).mapInArrow(_least_nodes, "u long, v long")
+    if tasks <= 1:
+        return keep(local).toDF("node", "component")
+    edges = keep(local.filter("u <> v").distinct())
+    steps: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        parent = settle(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("component")))
-        if result is None:
-            result = parent
-        else:
-            step = parent.select(F.col("node").alias("component"), F.col("component").alias("to"))
-            result = settle(result.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        parent = keep(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("component")))
+        steps.append(parent)
         left = edges.join(parent.select(F.col("node").alias("u"), F.col("component").alias("a")), "u").join(parent.select(F.col("node").alias("v"), F.col("component").alias("b")), "v")
-        edges = settle(left.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    return result if result is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        edges = keep(left.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    result = steps[0]
+    for parent in steps[1:]:
+        step = parent.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        result = result.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return keep(result) if len(steps) > 1 else result
 
 
 class Resolver:
-    """Compares sets along lists; ``links`` grow, and with them ``parts`` (node, component)."""
+    """Compares sets along lists; links that it finds make up ``parts`` (node, component)."""
 
-    def __init__(self, sets: DataFrame, index: Index, percent: int) -> None:
+    def __init__(self, sets: DataFrame, index: Index, percent: int, entries: int) -> None:
+        """``entries``: rows of the first lists; tables of a round have a file for each ``FILE_ROWS`` of them, not one a shuffle partition."""
         self.sets, self.index, self.percent = sets, index, percent
+        self.files = 6 + entries // FILE_ROWS
         self.answers: DataFrame | None = None
-        self.links: DataFrame | None = None
         self.parts: DataFrame | None = None
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        return stored(df.coalesce(self.files))
+
     def parted(self, rows: DataFrame, sid: str = "sid", part: str = "part") -> DataFrame:
         """``rows`` with the part of ``sid``."""
         if self.parts is None:
@@ -205,30 +246,29 @@ class Resolver:
         return rows.join(own, sid, "left").withColumn(part, F.coalesce("__part", sid)).drop("__part")
 
     def link(self, found: DataFrame) -> None:
-        if found.isEmpty():
-            return
         if self.parts is None:
-            self.links, self.parts = found, connected(found)
+            self.parts = connected(found, self.keep)
             return
         # What is connected already stays so: only parts are joined further.
-        ends = self.parted(self.parted(found, "a", "u"), "b", "v").filter("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"))
-        more = connected(ends)
+        ends = self.parted(self.parted(found, "a", "u"), "b", "v").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        more = connected(ends, self.keep)
         step = more.select(F.col("node").alias("component"), F.col("component").alias("to"))
         kept = self.parts.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         fresh = more.join(self.parts.select("node"), "node", "left_anti").select("node", "component")
-        self.parts = settle(kept.unionByName(fresh))
+        self.parts = self.keep(kept.unionByName(fresh))
 
     def members(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
         """The pairs with their sets ``x`` and ``y``."""
         own = lambda s, name: self.sets.select(F.col("sid").alias(s), F.col("members").alias(name))
         return pairs.join(own(a, "x"), a).join(own(b, "y"), b)
 
-    def answer(self, pairs: DataFrame) -> None:
+    def answer(self, pairs: DataFrame, link: bool = True) -> None:
         """Compares (leader, sid) pairs: what each has alone is kept, and links follow."""
         met = self.members(pairs.select("leader", "sid"), "sid", "leader")
-        found = settle(met.select("leader", "sid", F.size("y").alias("n_l"), F.size("x").alias("n"), F.array_except("y", "x").alias("gone"), F.array_except("x", "y").alias("extra")))
+        found = self.keep(met.select("leader", "sid", F.size("y").alias("n_l"), F.size("x").alias("n"), F.array_except("y", "x").alias("gone"), F.array_except("x", "y").alias("extra")))
         self.answers = found if self.answers is None else self.answers.unionByName(found)
-        self.link(found.filter(self.links_at(F.col("n") - F.size("extra"), F.col("n_l"), F.col("n"))).select(F.col("leader").alias("a"), F.col("sid").alias("b")))
+        if link:
+            self.link(found.filter(self.links_at(F.col("n") - F.size("extra"), F.col("n_l"), F.col("n"))).select(F.col("leader").alias("a"), F.col("sid").alias("b")))
 
     def links_at(self, shared: Column, n: Column, m: Column) -> Column:
         return shared * (100 + self.percent) >= self.percent * (n.cast("long") + m)
@@ -237,31 +277,38 @@ class Resolver:
         """(key, size, sid, leader) of the lists (key, size, sid) with sets in several parts."""
         named = self.parted(lists)
         heads = named.groupBy("key").agg(F.min(F.struct("size", "sid")).alias("head"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
-        return settle(named.select("key", "size", "sid").join(heads.select("key", F.col("head.sid").alias("leader")), "key").distinct())
+        return self.keep(named.select("key", "size", "sid").join(heads.select("key", F.col("head.sid").alias("leader")), "key").distinct())
 
     def compare_leaders(self, lists: DataFrame) -> None:
+        """Each set with its leaders, where sizes and sketches allow a link.
+
+        Sets of large families meet many leaders: then first the one on most lists, and of the others
+        those that this has not connected.
+        """
         pairs = lists.filter("sid <> leader").groupBy("leader", "sid").agg(F.count(F.lit(1)).alias("met"))
         if self.answers is not None:
             pairs = pairs.join(self.answers.select("leader", "sid"), ["leader", "sid"], "left_anti")
         facts = self.sets.select("sid", "size", "sketch")
         close = pairs.alias("p").join(facts.alias("x"), F.col("p.sid") == F.col("x.sid")).join(facts.alias("l"), F.col("p.leader") == F.col("l.sid")).filter(self.index.near("x", "l"))
-        close = settle(close.select("p.leader", "p.sid", "p.met"))
-        first = settle(close.groupBy("sid").agg(F.max_by("leader", F.struct("met", "leader")).alias("leader")))
+        close = self.keep(close.select("p.leader", "p.sid", "p.met"))
+        n = close.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("sid").alias("sets")).first()
+        if n["pairs"] <= 2 * n["sets"]:
+            self.answer(close)
+            return
+        first = self.keep(close.groupBy("sid").agg(F.max_by("leader", F.struct("met", "leader")).alias("leader")))
         self.answer(first)
         others = self.parted(self.parted(close.join(first, ["leader", "sid"], "left_anti"), "leader", "u"), "sid", "v")
-        others = settle(others.filter("u <> v").select("leader", "sid"))
-        if not others.isEmpty():
-            self.answer(others)
+        self.answer(others.filter("u <> v"))
 
     def compare_pairs(self, lists: DataFrame) -> None:
-        """Pairs of different parts on the small lists (key, size, sid, leader, part)."""
+        """Pairs of different parts among the sets (size, sid, part) of each leader."""
         known = lists.join(self.sets.select("sid", "sketch"), "sid")
         known = known.join(self.answers.select("leader", "sid", (F.size("gone") + F.size("extra")).alias("apart")), ["leader", "sid"], "left")
         x, y = known.alias("x"), known.alias("y")
         bound = F.coalesce(F.abs(F.col("x.apart") - F.col("y.apart")) * (100 + self.percent) <= (100 - self.percent) * (F.col("x.size") + F.col("y.size")), F.lit(True))
-        pending = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.part") != F.col("y.part")) & bound & self.index.near("x", "y"))
+        pending = x.join(y, (F.col("x.leader") == F.col("y.leader")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.part") != F.col("y.part")) & bound & self.index.near("x", "y"))
         leader = F.when(F.col("x.apart").isNotNull() & F.col("y.apart").isNotNull(), F.col("x.leader"))
-        pending = settle(pending.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), leader.alias("leader")).groupBy("a", "b").agg(F.min("leader").alias("leader")))
+        pending = self.keep(pending.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), leader.alias("leader")).groupBy("a", "b").agg(F.min("leader").alias("leader")))
         if pending.isEmpty():
             return
         side = lambda s: self.answers.select("leader", F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), "n_l", F.col("gone").alias(f"gone_{s}"), F.col("extra").alias(f"extra_{s}"))
@@ -270,35 +317,44 @@ class Resolver:
         late = derived.filter(self.links_at(shared, F.col("n_a"), F.col("n_b"))).select("a", "b")
         rest = pending.filter("leader is null").select("a", "b")
         plain = self.members(rest, "a", "b").filter(self.links_at(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
-        self.link(settle(late.unionByName(plain)))
+        self.link(self.keep(late.unionByName(plain)))
 
     def outside_leaders(self, lists: DataFrame) -> DataFrame:
         """(key, size, sid): the crowded lists' sets dealt anew by members that their leader lacks."""
         p = self.percent
-        pairs = settle(lists.select("leader", "sid").distinct())
-        fresh = settle(pairs.join(self.answers.select("leader", "sid"), ["leader", "sid"], "left_anti"))
-        if not fresh.isEmpty():
-            self.answer(fresh)
+        pairs = lists.select("leader", "sid")
+        # What was not compared so far is too far apart for a link, but its differences are needed.
+        self.answer(pairs.join(self.answers.select("leader", "sid"), ["leader", "sid"], "left_anti"), link=False)
         own = pairs.join(self.answers, ["leader", "sid"]).select("leader", "sid", "n", "n_l", "extra", (F.col("n") - F.size("extra")).alias("shared"))
         least = F.greatest(F.col("n_l"), F.ceil(F.col("n") * p / 100))
         need = F.when(self.links_at(F.col("shared"), F.col("n"), F.col("n_l")), 1).otherwise(F.ceil((F.col("n") + least) * p / (100 + p)) - F.col("shared"))
-        own = own.withColumn("kept", (F.size("extra") - need + 1).cast("int")).filter("kept > 0")
-        dealt = own.select("leader", "sid", F.col("n").alias("size"), F.explode(F.slice("extra", F.lit(1), F.col("kept"))).alias("member"))
-        return dealt.select(F.xxhash64("leader", "member").alias("key"), "size", "sid")
-
-    def run(self, lists: DataFrame) -> DataFrame:
+        own = self.keep(own.select("leader", "sid", F.col("n").alias("size"), "extra", (F.size("extra") - need + 1).cast("int").alias("kept")).filter("kept > 0"))
+        # Rare members first, so that what most have in common is behind the last member kept; those that one set has alone make no list.
+        members = own.select("leader", "sid", F.explode("extra").alias("member"))
+        common = members.groupBy("leader", "member").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+        order = members.join(common, ["leader", "member"]).groupBy("leader", "sid").agg(F.array_sort(F.collect_list(F.struct("times", "member"))).alias("common"))
+        dealt = own.join(order, ["leader", "sid"]).withColumn("kept", F.col("kept") - F.size("extra") + F.size("common")).filter("kept > 0")
+        dealt = dealt.select("leader", "sid", "size", F.explode(F.slice("common", F.lit(1), F.col("kept"))).alias("c"))
+        return dealt.select(F.xxhash64("leader", "c.member").alias("key"), "size", "sid")
+
+    def run(self, lists: DataFrame) -> DataFrame | None:
         """The parts once every list (key, size, sid, leader) is settled."""
-        while not lists.isEmpty():
+        for round_ in range(ROUNDS + 1):
             self.compare_leaders(lists)
-            # Leaders have been compared with all of their lists.
-            rest = self.parted(lists.filter("sid <> leader"))
-            open_ = rest.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("met")).filter("low <> high")
-            rest = settle(rest.join(open_.select("key", "met"), "key"))
+            # Leaders have been compared with all of their lists, which from here on are one list.
+            rest = self.parted(lists.filter("sid <> leader").select("leader", "sid", "size").distinct())
+            open_ = rest.groupBy("leader").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("met")).filter("low <> high")
+            rest = self.keep(rest.join(open_.select("leader", "met"), "leader"))
+            if round_ == ROUNDS:
+                self.compare_pairs(rest)
+                break
             self.compare_pairs(rest.filter(F.col("met") <= CROWD))
             crowded = rest.filter(F.col("met") > CROWD)
             if crowded.isEmpty():
                 break
             lists = self.lead(self.outside_leaders(crowded))
+            if lists.isEmpty():
+                break
         return self.parts
 
 
@@ -309,8 +365,8 @@ def components(docs: DataFrame, make: Maker, index: Index, percent: int, doc_id:
     # Dealt once by list: finding the lists of several sets and picking their entries read the same exchange.
     entries = index_entries(source, make, index, seed).repartition("key")
     several = entries.groupBy("key").agg(F.min(F.struct("size", "sid")).alias("head"), F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high")
-    lists = settle(entries.join(several.select("key", F.col("head.sid").alias("leader")), "key").distinct())
-    parts = Resolver(listed_sets(source, make, index, rows, lists, seed), index, percent).run(lists)
+    lists = stored(entries.join(several.select("key", F.col("head.sid").alias("leader")), "key").distinct())
+    parts = Resolver(listed_sets(source, make, index, rows, lists, seed), index, percent, lists.count()).run(lists)
 
     least = rows.filter("n > 0").groupBy("sid").agg(F.min("id").alias("low"))
     if parts is not None:

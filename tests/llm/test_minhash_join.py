@@ -105,3 +105,17 @@ def test_ids_are_drawn_again_where_sets_share_one(spark, monkeypatch):
     source = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("print"))
     rows, seed = set_links.identified(source, set_links.shingles(2))
     assert seed == 2 and rows.select("sid").distinct().count() == rows.select("second").distinct().count()
+
+
+@pytest.mark.parametrize("most", [500_000, 7])
+def test_components_of_links(spark, monkeypatch, most):
+    monkeypatch.setattr(set_links, "TASK_LINKS", most)
+    rng = random.Random(3)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)] + [(5, 5)]
+    root = {n: n for link in links for n in link}
+    for _ in range(200):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = set_links.connected(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == {n: r for n, r in root.items() if any(a != b and n in (a, b) for a, b in links)}
+    assert set_links.connected(spark.createDataFrame([], "a long, b long")).count() == 0
