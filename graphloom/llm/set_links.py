@@ -54,6 +54,8 @@ CROWD = 32
 ROUNDS = 1
 #: List entries for each file (and task) of a round's tables.
 FILE_ROWS = 50_000
+#: Tasks that the pairs of a large family are dealt to.
+SHARES = 16
 #: Links that one task connects at once (some tens of bytes each).
 TASK_LINKS = 500_000
 #: Prints of texts that are broadcast as a filter (8 bytes each); beyond that they are joined.
@@ -301,14 +303,17 @@ class Resolver:
         self.answer(others.filter("u <> v"))
 
     def compare_pairs(self, lists: DataFrame) -> None:
-        """Pairs of different parts among the sets (size, sid, part) of each leader."""
+        """Pairs of different parts among the sets (size, sid, part) of each leader, which has ``met`` of them."""
         known = lists.join(self.sets.select("sid", "sketch"), "sid")
         known = known.join(self.answers.select("leader", "sid", (F.size("gone") + F.size("extra")).alias("apart")), ["leader", "sid"], "left")
-        x, y = known.alias("x"), known.alias("y")
+        # Large families are dealt to several tasks: each of their sets meets all others, those in one share.
+        shares = F.when(F.col("met") > CROWD, SHARES).otherwise(1)
+        x = known.withColumn("share", F.pmod(F.xxhash64("sid"), shares).cast("int")).alias("x")
+        y = known.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).alias("y")
         bound = F.coalesce(F.abs(F.col("x.apart") - F.col("y.apart")) * (100 + self.percent) <= (100 - self.percent) * (F.col("x.size") + F.col("y.size")), F.lit(True))
-        pending = x.join(y, (F.col("x.leader") == F.col("y.leader")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.part") != F.col("y.part")) & bound & self.index.near("x", "y"))
+        pending = x.join(y, (F.col("x.leader") == F.col("y.leader")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.part") != F.col("y.part")) & bound & self.index.near("x", "y"))
         leader = F.when(F.col("x.apart").isNotNull() & F.col("y.apart").isNotNull(), F.col("x.leader"))
-        pending = self.keep(pending.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), leader.alias("leader")).groupBy("a", "b").agg(F.min("leader").alias("leader")))
+        pending = stored(pending.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), leader.alias("leader")).groupBy("a", "b").agg(F.min("leader").alias("leader")))
         if pending.isEmpty():
             return
         side = lambda s: self.answers.select("leader", F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), "n_l", F.col("gone").alias(f"gone_{s}"), F.col("extra").alias(f"extra_{s}"))
