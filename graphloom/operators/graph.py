@@ -212,7 +212,7 @@ def closure_sums(mass: DataFrame, links: DataFrame) -> DataFrame:
     lines = settle(links.join(ranks.withColumnRenamed("id", "source"), "source").select("source", "target", "rank"))
     size = columns.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("block").alias("blocks"), F.max("rank").alias("top")).first()
     slabs = max(1, -(-size["n"] * size["blocks"] // SLAB_ROWS))
-    bit = lambda k: F.when(F.floor(F.col("place") / 64) == k, F.shiftleft(F.lit(1).cast("long"), F.col("place") % 64)).otherwise(F.lit(0).cast("long"))
+    bit = lambda k: F.when(F.floor(F.col("place") / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place") % 64)).otherwise(F.lit(0).cast("long"))
     slab = F.pmod(F.xxhash64("block"), F.lit(slabs))
     sums = None
     for s in range(slabs):

@@ -27,8 +27,8 @@ SYMBOLS_SQL = """symbols AS (SELECT DISTINCT f.id AS path, 'symbol:' || f.id ||
 SNAP_SQL = """parts_of AS (SELECT l_partkey AS k, year(l_shipdate) AS year, count(*) AS n FROM lineitem GROUP BY 1, 2),
 snap AS (SELECT CAST(year AS VARCHAR) AS graph_id, year, f.id, f.loc + 40 * CAST(n AS BIGINT) AS loc FROM parts_of JOIN files f USING (k)),
 snap_edges AS (SELECT DISTINCT year, source, target FROM imports)"""
-#: A sparse projection of all line items: a lane is a part with one of fifty groups of suppliers, followed by its order's next lane.
-LANES_SQL = """lane_lines AS (SELECT l_partkey AS p, l_suppkey % 50 AS n, lead(l_partkey) OVER w AS p2, lead(l_suppkey % 50) OVER w AS n2 FROM lineitem
+#: A sparse projection of all line items: a lane is a part with a supplier, followed by its order's next lane; every tenth order is a ring.
+LANES_SQL = """lane_lines AS (SELECT l_partkey AS p, l_suppkey AS n, coalesce(lead(l_partkey) OVER w, CASE WHEN l_orderkey % 10 = 0 THEN first_value(l_partkey) OVER w END) AS p2, coalesce(lead(l_suppkey) OVER w, CASE WHEN l_orderkey % 10 = 0 THEN first_value(l_suppkey) OVER w END) AS n2 FROM lineitem
   WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)),
 lanes AS (SELECT DISTINCT f.id || '@' || n AS id, f.loc FROM lane_lines JOIN files f ON f.k = p),
 le AS (SELECT DISTINCT a.id || '@' || n AS source, b.id || '@' || n2 AS target FROM lane_lines JOIN files a ON a.k = p JOIN files b ON b.k = p2),
@@ -99,7 +99,8 @@ class Fixture:
     def _lane_lines(self) -> DataFrame:
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
         ids = self.files().select(F.col("k").alias("l_partkey"), "id", "loc")
-        here = self.table("lineitem").select("l_partkey", (F.col("l_suppkey") % 50).alias("n"), F.lead("l_partkey").over(order).alias("p2"), F.lead(F.col("l_suppkey") % 50).over(order).alias("n2")).join(ids, "l_partkey")
+        follower = lambda c: F.coalesce(F.lead(c).over(order), F.when(F.col("l_orderkey") % 10 == 0, F.first(c).over(order)))
+        here = self.table("lineitem").select("l_partkey", F.col("l_suppkey").alias("n"), follower("l_partkey").alias("p2"), follower("l_suppkey").alias("n2")).join(ids, "l_partkey")
         there = ids.select(F.col("l_partkey").alias("p2"), F.col("id").alias("id2"))
         lane = lambda c, n: F.concat(c, F.lit("@"), F.col(n).cast("string"))
         return here.join(there, "p2", "left").select(F.col("l_partkey").alias("p"), "p2", lane(F.col("id"), "n").alias("here"), F.when(F.col("id2").isNotNull(), lane(F.col("id2"), "n2")).alias("there"), "loc")

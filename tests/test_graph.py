@@ -54,7 +54,6 @@ def test_strong_components_by_kernel_and_by_loop_agree(spark):
 def test_transitive_weights_count_diamonds_once(spark, nodes, links):
     want = [("src/app/main", 40.0), ("src/app/util", 30.0), ("src/core/lib", 20.0), ("src/db/store", 10.0)]
     assert rows(graph.transitive_weights(nodes, links, "loc"), "id", "total") == want
-    assert rows(graph.transitive_weights(nodes, links, "loc", limit=0), "id", "total") == want
 
 
 def test_topo_rank_shares_cycles(spark, nodes, links):
