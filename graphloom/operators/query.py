@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +26,14 @@ def neighbourhood(links: DataFrame, target: DataFrame, depth: int = 1, direction
     return rows.groupBy("id").agg(F.min("depth").alias("depth"), role.alias("role"))
 
 
-def lens(links: DataFrame, target: DataFrame, depth: int = 1, direction: str = "both", most: int = 48, signals: DataFrame | None = None) -> DataFrame:
+def lens(links: DataFrame, target: DataFrame, depth: int = 1, direction: str = "both", most: int = 48, signals: DataFrame | None = None, named: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(id, depth, role, score): the best ``most`` nodes around a target, which always stays.
 
     ``signals``: (id, changed boolean, heat double, failed boolean, tested boolean). Scores: target 100,
-    others 80 less 8 a hop; changed 8, heat times 6, failing tests 6, else tests 2.
+    others 80 less 8 a hop; changed 8, heat times 6, failing tests 6, else tests 2. Where links hold keys, ``named``
+    gives the nodes that are found (id, depth, role) their names, by which equals are ordered.
     """
-    rows = neighbourhood(links, target, depth, direction)
+    rows = named(neighbourhood(links, target, depth, direction))
     score = F.when(F.col("role") == "target", 100).otherwise(80 - 8 * F.col("depth"))
     if signals is not None:
         rows = rows.join(signals, "id", "left")

@@ -2,7 +2,10 @@
 
 import random
 
-from graphloom.operators import layout, resolve
+import duckdb
+from pyspark.sql import functions as F
+
+from graphloom.operators import layout, query, resolve
 from graphloom.plans import catalogue
 from tests.conftest import rows
 
@@ -104,3 +107,31 @@ def test_picked_edges_of_crowded_tiles(spark, monkeypatch):
         got, moved = _shuffled(spark, lambda: layout.picked_edges(spark.createDataFrame(points, "id string, x double, y double"), frame, most, dominance).collect())  # noqa: B023
         assert sorted((r["id"], r["source"], r["target"], round(r["distance"], 9)) for r in got) == sorted(want)
         assert len(want) > 20 and moved < 60_000
+
+
+def test_a_lens_over_keys_orders_equals_by_name(spark):
+    links = spark.createDataFrame([(1, n) for n in range(2, 9)], "source long, target long")
+    names = spark.createDataFrame([(n, f"n{9 - n}") for n in range(1, 9)], "k long, name string")
+    target = spark.createDataFrame([(1,)], "id long")
+    got = query.lens(links, target, 1, most=3, named=lambda df: df.join(names, df["id"] == names["k"]).select(F.col("name").alias("id"), "depth", "role"))
+    assert rows(got, "id", "role") == [("n1", "dependency"), ("n2", "dependency"), ("n8", "target")]
+
+
+def test_frames_of_unknown_files_take_the_first_place(spark):
+    symbols = spark.createDataFrame([(1, 11, "f", 1, 2, 0, "z.ts"), (2, 12, "f", 1, 2, 0, "a.ts")], "path long, symbol_id long, name string, start_line int, end_line int, ord int, place string")
+    frames = spark.createDataFrame([(None, "f", 9), (1, "f", 9), (2, "x", 2)], "file long, name string, line int")
+    assert rows(resolve.frames_to_symbols(frames, symbols, "place"), "file", "symbol_id") == [(1, 11), (2, 12), (None, 12)]
+
+
+def test_lines_of_unknown_parts(spark, tmp_path):
+    for name in ("part", "lineitem"):
+        df = spark.read.parquet(f"{FOLDER}/{name}.parquet")
+        (df.filter("p_partkey % 5 <> 0") if name == "part" else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("located_references", "resolved_frames", "bound_imports"):
+        df = catalogue.QUERIES[name](spark, str(tmp_path))
+        cursor = con.execute(catalogue.SQL[name])
+        names = [d[0] for d in cursor.description]
+        assert rows(df, *names) == sorted(cursor.fetchall(), key=repr), name
