@@ -79,3 +79,25 @@ def test_level_edges_without_lists_gather_none(spark):
     found = metrics.levels(nodes, links, [("scope", F.split_part("id", F.lit("/"), F.lit(1)))])[1]
     assert [tuple(r) for r in found.collect()] == [(0, "a", "b", 3, None, [])]
     assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
+def test_strong_components_around_a_pivot(spark):
+    rng = random.Random(5)
+    edges = [(10 * g + rng.randrange(60) * 1000, 10 * g + rng.randrange(60) * 1000) for g in range(3) for _ in range(70)]
+    edges += [(i, i + 7) for i in range(10**6, 10**6 + 70)] + [(-1, -1), (-1, -2), (-3, -2), (-3, -4), (-4, -3)]
+    parts = kernels.strong_components(edges)
+    loops = {a for a, b in edges if a == b}
+    want = sorted((n, min(p), len(p), len(p) > 1 or n in loops) for p in parts for n in p)
+    assert len({len(p) for p in parts}) > 2
+    df = spark.createDataFrame(edges, "source long, target long")
+    for limit in (4, 40):
+        got = graph.strong_components(df, limit)
+        assert rows(got, "id", "component", "size", "cyclic") == sorted(want, key=repr)
+
+
+def test_a_dense_component_needs_no_rounds_of_colours(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_components_by_colour", _fail)
+    rng = random.Random(6)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(400)] + [(100, 0), (0, 200)]
+    want = sorted((n, len(p)) for p in kernels.strong_components(edges) for n in p)
+    assert rows(graph.strong_components(spark.createDataFrame(edges, "source long, target long"), 40), "id", "size") == sorted(want, key=repr)
