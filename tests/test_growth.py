@@ -5,7 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from graphloom.operators import layout, query, resolve
+from graphloom.operators import graph, layout, metrics, query, resolve
 from graphloom.plans import catalogue
 from tests.conftest import rows
 
@@ -135,3 +135,19 @@ def test_lines_of_unknown_parts(spark, tmp_path):
         cursor = con.execute(catalogue.SQL[name])
         names = [d[0] for d in cursor.description]
         assert rows(df, *names) == sorted(cursor.fetchall(), key=repr), name
+
+
+def test_small_rounds_of_a_walk_do_not_shuffle_links(spark):
+    n = 3000
+    links = spark.createDataFrame([(i, 2 * i + k) for i in range(n) for k in (1, 2)], "source long, target long")
+    got, moved = _shuffled(spark, lambda: graph.reach(links, spark.createDataFrame([(0,)], "id long")).count())
+    assert got == 2 * n
+    assert moved < 8 * n
+
+
+def test_hotspots_work_on_keys(spark, monkeypatch):
+    kinds = []
+    known = metrics.file_metrics
+    monkeypatch.setattr(metrics, "file_metrics", lambda nodes, edges: kinds.append(edges.schema["source"].dataType.simpleString()) or known(nodes, edges))
+    catalogue.QUERIES["hotspots"](spark, FOLDER)
+    assert kinds == ["bigint"] * 2
