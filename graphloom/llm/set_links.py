@@ -9,12 +9,13 @@ share one; what follows is the same for every index and exact:
 * Lists of one leader whose other sets are still in several parts are open. On small ones (``CROWD``) pairs from
   different parts are looked at, sizes and sketches first, and their intersections are derived from the
   answers of a shared leader: ``|x & y| = |L| - |(L-x) | (L-y)| + |(x-L) & (y-L)|``.
-* On crowded open lists no pairs are made. As the leader L is smallest, a set u that does not link to it
-  shares so little of it that u links to v only if they have ``need(u) >= 1`` members outside L in common:
-  with ``T = percent / (100 + percent)``, ``|u & v| >= T(|u| + |v|)`` and ``|u & L| < T(|u| + |L|)``. So the
-  sets go on to lists (L, member outside L), each u with all but its last ``need(u) - 1`` members, in one
-  order for all (rare ones first); linked pairs of different parts meet there. A passage that all have in
-  common is thereby gone from the next round. After ``ROUNDS`` such rounds the lists left are treated like small ones.
+* On crowded open lists no pairs are made. Their sets, each once whatever its lists, go on to lists of single
+  members. With one order of members for all, a set of n shares with a linked one at least one of its first
+  ``b(n) = n - ceil(percent * n / 100) + 1`` members, and ``1 + e`` of its first ``b(n) + e``. Those are taken
+  with ``e(n) = min(b(n), n - b(n))``; as ``e`` grows with n and a partner has at least ``percent * n / 100``
+  members, both may then leave the ``e`` of the least partner of them out again, those that most sets have.
+  The order puts members behind that a bounded sample of sets has often, so a passage that many have in common
+  is not taken at all; a wrong guess costs time and no link. After ``ROUNDS`` such rounds lists left are treated like small ones.
 
 A set's 64-bit id is checked against a second print of it; were two sets to share an id, other ids are
 drawn. Members are 64-bit prints of shingles.
@@ -58,6 +59,8 @@ FILE_ROWS = 50_000
 SHARES = 16
 #: Links that one task connects at once (some tens of bytes each).
 TASK_LINKS = 500_000
+#: Members of the sets (a sample by id) that tell which members are frequent; of those at most half are sent to the tasks.
+SAMPLE = 2_000_000
 #: Prints of texts that are broadcast as a filter (8 bytes each); beyond that they are joined.
 SHIPPED = 500_000
 
@@ -180,6 +183,42 @@ def listed_sets(source: DataFrame, make: Maker, index: Index, rows: DataFrame, l
     return stored(texts.mapInArrow(run, "sid long, size int, sketch array<long>, members array<long>"))
 
 
+def before(n: Column, percent: int) -> tuple[Column, Column]:
+    """How many members of a set of ``n`` are taken, and how many of those it may leave out again."""
+
+    def parts(size: Column) -> tuple[Column, Column]:
+        least = F.ceil(size * percent / 100)
+        first = size - least + 1
+        return first, F.least(first, least - 1)
+
+    first, more = parts(n)
+    return first + more, parts(F.ceil(n * percent / 100))[1]
+
+
+def rare_members(sets: DataFrame, known: np.ndarray, times: np.ndarray) -> DataFrame:
+    """(member, sid, size): the first ``taken`` members of each set, those that the sample has most often last.
+
+    ``known`` is sorted and has members of the sample, ``times`` how many of its sets have them.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast((np.append(known, np.iinfo(np.int64).max), np.append(times, 0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = sent.value
+        for part in _chunks(batches):
+            members = part.column("members").flatten().to_numpy(zero_copy_only=False)
+            at = np.searchsorted(names, members)
+            seen = np.where(names[at] == members, counts[at], 0)
+            ends = np.cumsum(part.column("size").to_numpy())
+            taken = part.column("taken").to_numpy()
+            picked = [np.zeros(0, np.int64)]
+            for low, high, n in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), taken.tolist(), strict=True):
+                picked.append(low + np.argsort(seen[low:high], kind="stable")[:n])
+            own = [pa.array(np.repeat(part.column(c).to_numpy(), taken)) for c in ("sid", "size")]
+            yield pa.RecordBatch.from_arrays([pa.array(members[np.concatenate(picked)]), *own], names=["member", "sid", "size"])
+
+    return sets.select("sid", "size", "taken", "members").mapInArrow(run, "member long, sid long, size int")
+
+
 def _least_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v): each node of a task's links with the least node that it is connected to by them."""
     parent: dict[int, int] = {}
@@ -261,24 +300,29 @@ class Resolver:
 
     def members(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
         """The pairs with their sets ``x`` and ``y``."""
-        own = lambda s, name: self.sets.select(F.col("sid").alias(s), F.col("members").alias(name))
+        own = lambda s, name: self.picked(pairs.select(F.col(s).alias("sid"))).select(F.col("sid").alias(s), F.col("members").alias(name))
         return pairs.join(own(a, "x"), a).join(own(b, "y"), b)
 
-    def answer(self, pairs: DataFrame, link: bool = True) -> None:
+    def picked(self, sids: DataFrame) -> DataFrame:
+        """The sets of these ids; where they are few, others are not even read into a shuffle."""
+        wanted = self.keep(sids.distinct())
+        few = wanted.limit(SHIPPED + 1).count() <= SHIPPED
+        return self.sets.join(F.broadcast(wanted) if few else wanted, "sid", "left_semi")
+
+    def answer(self, pairs: DataFrame) -> None:
         """Compares (leader, sid) pairs: what each has alone is kept, and links follow."""
-        met = self.members(pairs.select("leader", "sid"), "sid", "leader")
+        met = self.members(self.keep(pairs.select("leader", "sid")), "sid", "leader")
         found = self.keep(met.select("leader", "sid", F.size("y").alias("n_l"), F.size("x").alias("n"), F.array_except("y", "x").alias("gone"), F.array_except("x", "y").alias("extra")))
         self.answers = found if self.answers is None else self.answers.unionByName(found)
-        if link:
-            self.link(found.filter(self.links_at(F.col("n") - F.size("extra"), F.col("n_l"), F.col("n"))).select(F.col("leader").alias("a"), F.col("sid").alias("b")))
+        self.link(found.filter(self.links_at(F.col("n") - F.size("extra"), F.col("n_l"), F.col("n"))).select(F.col("leader").alias("a"), F.col("sid").alias("b")))
 
     def links_at(self, shared: Column, n: Column, m: Column) -> Column:
         return shared * (100 + self.percent) >= self.percent * (n.cast("long") + m)
 
     def lead(self, lists: DataFrame) -> DataFrame:
-        """(key, size, sid, leader) of the lists (key, size, sid) with sets in several parts."""
+        """(key, size, sid, leader) of the lists (key, size, sid, rank) with sets in several parts; the least rank leads."""
         named = self.parted(lists)
-        heads = named.groupBy("key").agg(F.min(F.struct("size", "sid")).alias("head"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+        heads = named.groupBy("key").agg(F.min(F.struct("rank", "size", "sid")).alias("head"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
         return self.keep(named.select("key", "size", "sid").join(heads.select("key", F.col("head.sid").alias("leader")), "key").distinct())
 
     def compare_leaders(self, lists: DataFrame) -> None:
@@ -324,23 +368,22 @@ class Resolver:
         plain = self.members(rest, "a", "b").filter(self.links_at(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
         self.link(self.keep(late.unionByName(plain)))
 
-    def outside_leaders(self, lists: DataFrame) -> DataFrame:
-        """(key, size, sid): the crowded lists' sets dealt anew by members that their leader lacks."""
-        p = self.percent
-        pairs = lists.select("leader", "sid")
-        # What was not compared so far is too far apart for a link, but its differences are needed.
-        self.answer(pairs.join(self.answers.select("leader", "sid"), ["leader", "sid"], "left_anti"), link=False)
-        own = pairs.join(self.answers, ["leader", "sid"]).select("leader", "sid", "n", "n_l", "extra", (F.col("n") - F.size("extra")).alias("shared"))
-        least = F.greatest(F.col("n_l"), F.ceil(F.col("n") * p / 100))
-        need = F.when(self.links_at(F.col("shared"), F.col("n"), F.col("n_l")), 1).otherwise(F.ceil((F.col("n") + least) * p / (100 + p)) - F.col("shared"))
-        own = self.keep(own.select("leader", "sid", F.col("n").alias("size"), "extra", (F.size("extra") - need + 1).cast("int").alias("kept")).filter("kept > 0"))
-        # Rare members first, so that what most have in common is behind the last member kept; those that one set has alone make no list.
-        members = own.select("leader", "sid", F.explode("extra").alias("member"))
-        common = members.groupBy("leader", "member").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-        order = members.join(common, ["leader", "member"]).groupBy("leader", "sid").agg(F.array_sort(F.collect_list(F.struct("times", "member"))).alias("common"))
-        dealt = own.join(order, ["leader", "sid"]).withColumn("kept", F.col("kept") - F.size("extra") + F.size("common")).filter("kept > 0")
-        dealt = dealt.select("leader", "sid", "size", F.explode(F.slice("common", F.lit(1), F.col("kept"))).alias("c"))
-        return dealt.select(F.xxhash64("leader", "c.member").alias("key"), "size", "sid")
+    def dealt_anew(self, crowded: DataFrame) -> DataFrame:
+        """(key, size, sid, rank): the sets of crowded lists on lists of single members, rare ones first.
+
+        The rank is the number of members taken that no other set has there: of a family, what lies in its middle leads.
+        """
+        sets = self.picked(crowded.select("sid"))
+        step = -(-sets.agg(F.sum("size")).first()[0] // SAMPLE)
+        sampled = sets.filter(F.pmod(F.xxhash64("sid"), F.lit(step)) == 0).select(F.explode("members").alias("member"))
+        known = sampled.groupBy("member").agg(F.count(F.lit(1)).cast("int").alias("times")).filter("times > 1").orderBy("member").toArrow()
+        taken, spare = before(F.col("size"), self.percent)
+        # Dealt once by member: counting and picking read the same exchange. Members that one set has alone make no list.
+        rare = rare_members(sets.withColumn("taken", taken.cast("int")), *(known.column(c).to_numpy() for c in ("member", "times"))).repartition("member")
+        shared = rare.groupBy("member").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+        order = rare.join(shared, "member").groupBy("sid", "size").agg(F.array_sort(F.collect_list(F.struct("times", "member"))).alias("shared"))
+        kept = order.withColumn("kept", F.size("shared") - spare.cast("int")).filter("kept > 0").withColumn("rank", taken - F.size("shared"))
+        return kept.select(F.explode(F.slice("shared.member", F.lit(1), F.col("kept"))).alias("key"), "size", "sid", "rank")
 
     def run(self, lists: DataFrame) -> DataFrame | None:
         """The parts once every list (key, size, sid, leader) is settled."""
@@ -357,7 +400,7 @@ class Resolver:
             crowded = rest.filter(F.col("met") > CROWD)
             if crowded.isEmpty():
                 break
-            lists = self.lead(self.outside_leaders(crowded))
+            lists = self.lead(self.dealt_anew(crowded))
             if lists.isEmpty():
                 break
         return self.parts

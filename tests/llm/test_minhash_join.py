@@ -119,3 +119,25 @@ def test_components_of_links(spark, monkeypatch, most):
     got = set_links.connected(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in got} == {n: r for n, r in root.items() if any(a != b and n in (a, b) for a, b in links)}
     assert set_links.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_crowded_sets_far_apart_are_not_compared(spark, monkeypatch):
+    """Of sets that share a passage only, no differences are shipped; they used to be, for each set and leader."""
+    monkeypatch.setattr(set_links, "CROWD", 4)
+    compared, dealt = [], []
+    real_answer, real_lead = set_links.Resolver.answer, set_links.Resolver.lead
+
+    def answer(self, pairs, *more, **named):
+        compared.append(pairs.count())
+        return real_answer(self, pairs, *more, **named)
+
+    def lead(self, lists):
+        dealt.append(lists.count())
+        return real_lead(self, lists)
+
+    monkeypatch.setattr(set_links.Resolver, "answer", answer)
+    monkeypatch.setattr(set_links.Resolver, "lead", lead)
+    rows = [(i, " ".join([f"p{j}" for j in range(60)] + [f"u{i}_{j}" for j in range(12)])) for i in range(60)]
+    found = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.shingles(3), 90)
+    assert found.filter("id <> component").count() == 0
+    assert dealt and sum(compared) == 0
