@@ -46,6 +46,25 @@ def test_pairs_of_a_package_are_not_shuffled(spark):
     assert moved < n * 40
 
 
+def test_pairs_of_packages_are_stored_small(spark, tmp_path, monkeypatch):
+    n = 1500
+    files = spark.createDataFrame([(f"standard/brand11/p{i}.ts",) for i in range(n)], "path string")
+    imports = files.select(F.col("path").alias("source"), F.lit("pkg:a").alias("spec"))
+    packages = spark.createDataFrame([("pkg:a", "standard/brand11")], "spec string, dir string")
+    _, moved = _shuffled(spark, lambda: resolve.package_directory_edges(imports, packages, files).select("source", "target").write.parquet(f"{tmp_path}/pairs"))
+    assert spark.read.parquet(f"{tmp_path}/pairs").distinct().count() == n * (n - 1)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").iterdir()) < n * n / 2
+    assert moved < n * 12
+    for name, value in (("BLOCK", 16), ("SIDE", 2), ("RUN", 5), ("TASK_PAIRS", 1000)):
+        monkeypatch.setattr(resolve, name, value)
+    some = imports.filter("length(source) < 24").unionByName(spark.createDataFrame([("x/y", "pkg:a"), ("x/y", "pkg:b"), ("x/y", "pkg:none")], "source string, spec string"))
+    both = packages.unionByName(spark.createDataFrame([("pkg:b", "standard/brand11"), ("pkg:b", "nowhere")], "spec string, dir string"))
+    got = rows(resolve.package_directory_edges(some, both, files.filter("length(path) < 25")), "source", "target", "spec")
+    own, held = [f"standard/brand11/p{i}.ts" for i in range(100)], [f"standard/brand11/p{i}.ts" for i in range(1000)]
+    want = [(a, b, "pkg:a") for a in own for b in held if a != b] + [("x/y", b, f"pkg:{s}") for b in held for s in "ab"]
+    assert got == sorted(want, key=repr)
+
+
 def test_a_name_of_many_symbols_and_qualifiers_is_met_once(spark):
     n = 400
     symbols = spark.createDataFrame([("x", f"s{i}", i % 2 == 0, f"c{i}", i) for i in range(n)] + [("y", "t", False, "c1", 0)], "name string, symbol_id string, exported boolean, parent_class string, ord int")
